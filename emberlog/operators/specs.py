@@ -1,0 +1,140 @@
+"""Mapping specs: where an attribute's value comes from. Each compiles to struct(v, src, e): text, fields it was read from, error."""
+
+from __future__ import annotations
+
+import re
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from emberlog.functions.coerce import to_boolean, to_integer
+from emberlog.functions.network import canonical_ip
+from emberlog.functions.regex import first
+from emberlog.functions.timestamps import epoch_ms
+from emberlog.operators.conditions import condition, field
+
+VARIABLE = re.compile(r"\{([^{}]+)\}")
+
+
+def shown(value: Any) -> str | None:
+    """A constant as text."""
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return ",".join(map(str, value)) if isinstance(value, list) else str(value)
+
+
+class Steps:
+    """Columns worked out one after the other: what a later one uses more than once is a column, not a copy of its expression."""
+
+    def __init__(self):
+        self.levels: list[dict[str, Column]] = []
+
+    def put(self, level: int, value: Column) -> tuple[Column, int]:
+        """Adds a column at a level; the columns that it reads are of lower levels. Returns it and the next level."""
+        while len(self.levels) <= level:
+            self.levels.append({})
+        name = f"_{level}_{len(self.levels[level])}"
+        self.levels[level][name] = value
+        return F.col(name), level + 1
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with all columns."""
+        for columns in self.levels:
+            rows = rows.withColumns(columns)
+        return rows
+
+    def names(self) -> list[str]:
+        return [n for columns in self.levels for n in columns]
+
+
+def resolved(v: Column, src: Column, e: Column | None = None) -> Column:
+    return F.struct(v.cast("string").alias("v"), src.alias("src"), (F.lit(None).cast("string") if e is None else e).alias("e"))
+
+
+def texts(*names: str) -> Column:
+    return F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+
+
+class Fields:
+    """The three views of a row's fields that specs read: all, those that aren't empty, and those that are neither empty nor ``-``.
+
+    Filtering the map once keeps every look-up a plain one.
+    """
+
+    def __init__(self, all_: Column, filled: Column, present: Column):
+        self.all, self.filled, self.present = all_, filled, present
+
+    @staticmethod
+    def of(name: str) -> Fields:
+        return Fields(F.col(name), F.col(f"{name}_filled"), F.col(f"{name}_present"))
+
+    @staticmethod
+    def add(df, name: str = "fields"):
+        """``df`` with the filtered views of a column of fields."""
+        filled = F.map_filter(F.col(name), lambda k, v: v.isNotNull() & (v != ""))
+        return df.withColumn(f"{name}_filled", filled).withColumn(f"{name}_present", F.map_filter(F.col(f"{name}_filled"), lambda k, v: v != "-"))
+
+
+def cast_to(v: Column, kind: str | None, fmt: str | None, tz: str | None, now: Column | None) -> Column:
+    """A value after ``cast``; null where it can't be."""
+    kinds = {"int": lambda: to_integer(v).cast("string"), "float": lambda: v.try_cast("double").cast("string"), "bool": lambda: to_boolean(v).cast("string"), "ip": lambda: canonical_ip(v), "timestamp": lambda: epoch_ms(v, fmt, tz, now).cast("string"), "lower": lambda: F.lower(v), "upper": lambda: F.upper(v)}
+    return kinds[kind]() if kind in kinds else v
+
+
+def spec(doc: Any, f: Fields, steps: Steps, tz: str | None = None, now: Column | None = None) -> tuple[Column, int]:
+    """The spec's value for a row as a column of ``steps``, null if it has none, and the level from which it can be read.
+
+    A text names a field, a list takes the first value that is there. A dict goes through ``when``, then ``const``,
+    ``template`` or ``field`` with ``join``, then ``split``, ``regex``, ``map``, ``default``, ``cast`` and ``scale``; a default
+    is neither cast nor scaled.
+    """
+    nothing = F.lit(None).cast("string")
+    if isinstance(doc, str):
+        v, at = steps.put(0, field(f.present, doc))
+        return steps.put(at, F.when(v.isNotNull(), resolved(v, texts(doc))))
+    if isinstance(doc, list):
+        parts = [spec(d, f, steps, tz, now) for d in doc]
+        return steps.put(max(at for _, at in parts), F.coalesce(*[F.when(F.coalesce(p["v"] != "", F.lit(False)) | p["e"].isNotNull(), p) for p, _ in parts]))
+    names = doc.get("field") or []
+    names = [names] if isinstance(names, str) else names
+    if "const" in doc:
+        v, src = F.lit(shown(doc["const"])).cast("string"), texts()
+    elif "template" in doc:
+        used, parts = VARIABLE.findall(doc["template"]), VARIABLE.split(doc["template"])
+        v = F.concat(*[field(f.filled, p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+        src = F.array_compact(F.array(*[F.when(field(f.filled, n).isNotNull(), F.lit(n)) for n in used])) if used else texts()
+    elif names:
+        v = field(f.present, names[0])
+        for n in names[1:]:
+            v = F.concat(v, F.lit(doc.get("join", " ")), field(f.present, n))
+        src = F.when(v.isNotNull(), texts(*names)).otherwise(texts())
+    else:
+        v, src = nothing, texts()
+    src, _ = steps.put(0, src)
+    v, at = steps.put(0, v)
+    if s := doc.get("split"):
+        v, at = steps.put(at, F.try_element_at(F.split(v, "\\Q" + s["sep"] + "\\E"), F.lit(s["index"] + 1 if s["index"] >= 0 else s["index"])))
+    if doc.get("regex"):
+        v, at = steps.put(at, first(v, doc["regex"]))
+    if doc.get("map"):
+        table = {str(k).lower(): shown(x) for k, x in doc["map"].items()}
+        out = v if doc.get("map_default_passthrough") else nothing
+        by_value: dict[str | None, list[str]] = {}
+        for k, t in table.items():
+            by_value.setdefault(t, []).append(k)
+        for t, keys in by_value.items():
+            out = F.when(F.lower(v).isin(keys), F.lit(t).cast("string")).otherwise(out)
+        v, at = steps.put(at, out)
+    done, at = steps.put(at, cast_to(v, doc.get("cast"), doc.get("format"), doc.get("tz", tz), now))
+    e = F.when(done.isNull(), F.concat(F.lit(f"not a valid {doc.get('cast')}: "), v)) if doc.get("cast") else nothing
+    if "scale" in doc:
+        scaled, at = steps.put(at, (done.try_cast("double") * doc["scale"]).try_cast("bigint").cast("string"))
+        e = F.coalesce(e, F.when(scaled.isNull(), F.concat(F.lit("not a number: "), v)))
+        done = scaled
+    out = F.when(F.coalesce(v != "", F.lit(False)), resolved(done, texts("const") if "const" in doc else src, e))
+    if doc.get("default") is not None:
+        out = F.coalesce(out, resolved(F.lit(shown(doc["default"])), F.when(F.size(src) > 0, src).otherwise(texts("default"))))
+    return steps.put(at, F.when(condition(doc["when"], f.all), out) if doc.get("when") else out)
