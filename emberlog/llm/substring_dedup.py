@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import Interned, as_bytes, join_groups, keep, mixed, small_batches, table
+from emberlog.llm.common import as_bytes, join_groups, keep, mixed, small_batches, table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -30,27 +31,31 @@ NO_ID = -(1 << 63)
 
 
 class Words:
-    """The words of some texts, one after the other: exact numbers, hashes, and for each position its document and place."""
+    """The words of some texts, one after the other: exact numbers, and for each position its document and place."""
 
     def __init__(self, texts: list[list[bytes]]):
-        known = Interned()
+        coded = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode()
+        self.known, self.id = coded.dictionary, coded.indices.to_numpy()
         self.count = np.array([len(t) for t in texts], np.int64)
-        self.id = np.fromiter((known[w] for t in texts for w in t), np.int32, int(self.count.sum()))
-        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[self.id] if len(known) else np.empty(0, np.uint64)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         self.doc = np.repeat(np.arange(len(texts)), self.count)
         self.place = np.arange(len(self.id)) - self.first[self.doc]
 
+    def hashes(self) -> np.ndarray:
+        """Hashes of the words that are the same in every task."""
+        known = np.fromiter(map(xxhash.xxh3_64_intdigest, self.known.to_pylist()), np.uint64, len(self.known))
+        return known[self.id] if len(known) else known
+
     def starts(self, k: int) -> np.ndarray:
         """Positions where a window of k words of one document starts."""
         return np.flatnonzero(self.place + k <= self.count[self.doc])
 
     def window_hash(self, at: np.ndarray, k: int) -> np.ndarray:
-        """A hash of the k words from each position, from running sums of a polynomial modulo 2^64."""
+        """A hash of the k words from each position, for these texts alone: running sums of a polynomial modulo 2^64."""
         n = len(self.id)
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]), dtype=np.uint64)
         back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]), dtype=np.uint64)
-        run = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.hash) * power[:n], dtype=np.uint64)])
+        run = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.id.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
         return mixed((run[at + k] - run[at]) * back[at])
 
     def same(self, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -64,8 +69,10 @@ class Words:
 def repeats(w: Words, at: np.ndarray, doc: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     """Flags of the windows at ``at`` whose word sequence also starts at a smaller (doc, place) among them."""
     out = np.zeros(len(at), bool)
-    todo = np.arange(len(at))
     h = w.window_hash(at, k)
+    order = np.argsort(h)
+    near = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    todo = order[np.union1d(near, near + 1)]  # windows alone with their hash repeat nothing
     while len(todo) > 1:
         order = todo[np.lexsort((place[todo], doc[todo], h[todo]))]
         new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
@@ -100,9 +107,10 @@ def super_kmers(w: Words, sent: np.ndarray, k: int, m: int) -> tuple[np.ndarray,
     """Splits the windows ``sent`` (sorted positions) into runs that share a minimiser: first, last, minimiser hash."""
     if not len(sent):
         return sent, sent, np.empty(0, np.uint64)
-    piece = mixed(w.hash)
+    h = w.hashes()
+    piece = mixed(h)
     for i in range(1, m):
-        piece = piece[:-1] * BASE + w.hash[i : i + len(piece) - 1]
+        piece = piece[:-1] * BASE + h[i : i + len(piece) - 1]
     least = least_in(mixed(piece), k - m + 1)[sent]
     cut = np.flatnonzero((np.diff(sent) != 1) | (np.diff(w.doc[sent]) != 0) | (least[1:] != least[:-1]))
     a, z = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(sent) - 1]])
