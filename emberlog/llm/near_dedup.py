@@ -6,13 +6,15 @@ with probability s. Nodes of a few sets are compared exhaustively; larger ones b
 a pair of the least similarity with probability 1 - (1 - s) ** trees at least where nodes are small. Links are confirmed
 on the full sets.
 
-Only connected components are asked for, so of the similar pairs in a node those are confirmed that would join parts:
-first a spanning forest of them, then every pair whose ends the confirmed links leave in different components.
+Only connected components are asked for. First a spanning forest of the pairs with similar signatures is confirmed. Nodes that
+still hold several components then get their sets' texts, and every similar pair of different components is tested there. In nodes
+that stay large, sets outside the main component are compared with all others in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +59,13 @@ def shingle_hashes(text: bytes, width: int, memo: WordHash) -> np.ndarray:
     return np.unique(mixed(out + np.uint64(n)))
 
 
-SKETCH = "doc_id long, n long, sh binary, sig array<int>"
+SKETCH = "doc_id long, n long, sh binary, roots array<int>, sig binary"
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """For each row: the size of its set, a 128-bit hash of the set and its signature; nulls where the set is empty."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int) -> DataFrame:
+    """For each row: the size of its set, a 128-bit hash of the set, the minwise hashes at the trees' first places and one byte of
+    each place's; nulls where the set is empty."""
+    first = np.arange(trees) * 37 % PLACES
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash(xxhash.xxh3_64_intdigest)
@@ -70,7 +74,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 sets = [shingle_hashes(t, width, memo) for t in as_bytes(b.column("t"))]
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
-                sh, sig = np.full(len(n), None, object), np.full(len(n), None, object)
+                sh, roots, sig = (np.full(len(n), None, object) for _ in range(3))
                 if len(full):
                     s = np.concatenate([sets[i] for i in full])
                     starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
@@ -79,103 +83,165 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     mins = np.empty((len(full), PLACES), np.int32)
                     for j in range(PLACES):
                         mins[:, j] = np.minimum.reduceat((low ^ TURN[j]) * STRETCH[j], starts).view(np.int32)
+                    tails = mixed(mins.view(np.uint32)).astype(np.uint8)
                     for k, i in enumerate(full):
-                        sh[i], sig[i] = sums[k].tobytes(), mins[k]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sh, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n", "sh", "sig"])
+                        sh[i], roots[i], sig[i] = sums[k].tobytes(), mins[k, first], tails[k].tobytes()
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sh, pa.binary()), pa.array(roots, pa.list_(pa.int32())), pa.array(sig, pa.binary())], ["doc_id", "n", "sh", "roots", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(sketched, SKETCH)
 
 
-def child(place) -> list:
-    """One value of the signature at a place, as a column."""
-    return F.get(F.col("sig"), place.cast("int"))
-
-
-def grow(reps: DataFrame, trees: int, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The trees' leaves: distinct lists of 2 to ``small`` sets, and (node, v) of nodes that are larger at the last level."""
-    roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get(F.col("sig"), (t * 37 % PLACES).cast("int"))))
-    rows = reps.select("v", F.explode(roots).alias("node"))
+def grow(reps: DataFrame, small: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """The trees' leaves: distinct lists of 2 to ``small`` sets, and (node, v) of nodes that are larger at the last level (None: no such node)."""
+    rows = reps.select("v", F.explode(F.transform("roots", lambda value, tree: F.xxhash64(tree, value))).alias("node"))
     lists = None
     for level in range(depth):
         count = keep(rows.groupBy("node").count().filter("count > 1"))
-        leaves = rows.join(count.filter(F.col("count") <= small).select("node"), "node").groupBy("node").agg(F.array_sort(F.collect_set("v")).alias("vs")).filter("size(vs) > 1").select("vs")
+        nodes, wide = count.agg(F.count("*"), F.count_if(F.col("count") > small)).first()
+        placed = rows.join(F.broadcast(count) if nodes <= BROADCAST_ROWS else count, "node")
+        placed = keep(placed) if wide else placed
+        leaves = placed.filter(F.col("count") <= small).groupBy("node").agg(F.array_sort(F.collect_set("v")).alias("vs")).filter("size(vs) > 1").select("vs")
         lists = leaves if lists is None else lists.unionByName(leaves)
-        large = keep(count.filter(F.col("count") > small).select("node"))
-        rows = with_key(rows, large, "node", "left_semi")
-        if level + 1 == depth or large.isEmpty():
-            break
-        place = F.pmod(F.xxhash64("node", F.lit("place")), F.lit(PLACES))
-        rows = keep(rows.join(reps.select("v", "sig"), "v").select("v", F.xxhash64("node", child(place)).alias("node")))
-    return keep(lists.distinct()), rows
+        rows = placed.filter(F.col("count") > small).select("v", "node")
+        if not wide:
+            return keep(lists.distinct()), None
+        if level + 1 < depth:
+            place = F.pmod(F.xxhash64("node", F.lit("place")), F.lit(PLACES))
+            rows = keep(rows.join(reps.select("v", "sig"), "v").select("v", F.xxhash64("node", F.substring("sig", place.cast("int") + 1, F.lit(1))).alias("node")))
+    return keep(lists.distinct()), keep(rows)
+
+
+def unpacked(members: pa.Array, least: float) -> Iterator[tuple[int, dict[str, list | np.ndarray], np.ndarray, np.ndarray]]:
+    """For each list of members that has pairs of different parts with similar sizes and signatures: its place, its columns, and the pairs
+    (places x, y), the likeliest first."""
+    agree = PLACES * least - SLACK * np.sqrt(PLACES * least * (1 - least))
+    flat, off = members.flatten(), members.offsets.to_numpy() - members.offsets[0].as_py()
+    v, n, part = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    sig = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(-1, PLACES)
+    texts = flat.field(4) if flat.type.num_fields > 4 else None
+    for at, (i, j) in enumerate(zip(off, off[1:], strict=False)):
+        s, m, c = sig[i:j], n[i:j], part[i:j]
+        x, y = np.triu_indices(j - i, 1)
+        ok = (c[x] != c[y]) & (np.minimum(m[x], m[y]) >= least * np.maximum(m[x], m[y]))
+        x, y = x[ok], y[ok]
+        same = np.concatenate([(s[x[k : k + 8192]] == s[y[k : k + 8192]]).sum(axis=1) for k in range(0, len(x), 8192)] or [np.empty(0, int)])
+        ok = np.flatnonzero(same >= agree)
+        ok = ok[np.argsort(-same[ok], kind="stable")]
+        if len(ok):
+            yield at, {"v": v[i:j], "part": c, "text": texts.slice(i, j - i) if texts is not None else None}, x[ok], y[ok]
+
+
+class Parts(dict):
+    """Components by union: each points to a smaller one of its own, or is missing."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = self[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        p, q = self.find(x), self.find(y)
+        if p != q:
+            self[max(p, q)] = min(p, q)
+        return p != q
+
+
+def similar(members: DataFrame, least: float) -> DataFrame:
+    """From rows (node, list of (v, n, part, sig)): pairs (node, a, b), a < b, of similar signatures that span the list, where no pair joins
+    what earlier ones of the list have joined; and (node, a, null) for each member of any similar pair."""
 
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, cols, x, y in unpacked(b.column(1), least):
+                seen, v, node = Parts(), cols["v"], b.column(0)[k].as_py()
+                out += [(node, min(v[i], v[j]), max(v[i], v[j])) for i, j in zip(x, y, strict=True) if seen.join(v[i], v[j])]
+                out += [(node, v[i], None) for i in np.union1d(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["node", "a", "b"])
 
-def similar(members: DataFrame, least: float, forest: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of similar signatures within each row's list of (v, n, part, sig); ends in one part make no pair.
+    return members.mapInArrow(paired, "node long, a long, b long")
 
-    With ``forest``, only pairs that join parts that earlier pairs of the list haven't joined.
-    """
-    agree = PLACES * least - SLACK * np.sqrt(PLACES * least * (1 - least))
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def thinned(pairs: DataFrame, most: int = 200_000) -> DataFrame:
+    """Tasks of about ``most`` pairs each leave out those whose ends others of theirs connect."""
+    tasks = 1 + pairs.count() // most
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Parts()
         for b in batches:
-            col = b.column(0)
-            flat, off = col.flatten(), col.offsets.to_numpy() - col.offsets[0].as_py()
-            v, n, part = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sig = flat.field(3).flatten().to_numpy().reshape(len(v), PLACES)
-            left, right = [], []
-            for i, j in zip(off, off[1:], strict=False):
-                s, m, c, ids = sig[i:j], n[i:j], part[i:j], v[i:j]
-                x, y = np.triu_indices(j - i, 1)
-                ok = (c[x] != c[y]) & (ids[x] != ids[y]) & (np.minimum(m[x], m[y]) >= least * np.maximum(m[x], m[y]))
-                x, y = x[ok], y[ok]
-                same = (s[x] == s[y]).sum(axis=1) if len(x) else np.empty(0, int)
-                ok = np.flatnonzero(same >= agree)
-                root = {}
-
-                def find(a, root=root):
-                    while a in root:
-                        a = root[a]
-                    return a
-
-                for k in ok[np.argsort(-same[ok], kind="stable")]:
-                    if forest:
-                        p, q = find(c[x[k]]), find(c[y[k]])
-                        if p == q:
-                            continue
-                        root[max(p, q)] = min(p, q)
-                    left.append(min(ids[x[k]], ids[y[k]]))
-                    right.append(max(ids[x[k]], ids[y[k]]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return members.mapInArrow(paired, "a long, b long").distinct()
-
-
-def candidates(lists: DataFrame, large: DataFrame, reps: DataFrame, parts: DataFrame | None, least: float, pivots: int = 8) -> DataFrame:
-    """Candidate pairs of all leaves, given the components so far (none: each set on its own).
-
-    A node that stayed large holds sets that agree all along its path: each is paired with the node's pivots, its sets with the
-    least hashes.
+            yield b.filter(pa.array([seen.join(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    return pairs.repartition(tasks, "a").mapInArrow(spanning, "a long, b long")
+
+
+def settled(members: DataFrame, least: float, width: int, num: int, den: int) -> DataFrame:
+    """Confirmed links (a, b) between the parts of each row's list of (v, n, part, sig, text): all similar pairs that aren't connected
+    yet are tested on their full sets."""
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash(xxhash.xxh3_64_intdigest)
+        for b in batches:
+            out = []
+            for _, cols, x, y in unpacked(b.column(0), least):
+                seen, v, part = Parts(), cols["v"], cols["part"]
+                texts = as_bytes(cols["text"])
+                sets = {i: set(shingle_hashes(texts[i], width, memo).tolist()) for i in np.union1d(x, y)}
+                for i, j in zip(x, y, strict=True):
+                    if seen.find(part[i]) != seen.find(part[j]):
+                        s, t = sets[i], sets[j]
+                        both = len(s & t)
+                        if den * both >= num * (len(s) + len(t) - both) and linked(texts[i], texts[j], width, num, den):
+                            seen.join(part[i], part[j])
+                            out.append((min(v[i], v[j]), max(v[i], v[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return members.mapInArrow(tested, "a long, b long").distinct()
+
+
+def linked(x: bytes, y: bytes, width: int, num: int, den: int) -> bool:
+    """Whether den * intersection >= num * union holds for the two texts' sets."""
+    s, t = shingle_set(x, width), shingle_set(y, width)
+    both = len(s & t)
+    return den * both >= num * (len(s) + len(t) - both)
+
+
+def several(placed: DataFrame) -> DataFrame:
+    """The rows (node, v, part) of nodes with more than one part."""
+    apart = keep(placed.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("node"))
+    return with_key(placed, apart, "node", "left_semi")
+
+
+def star_pairs(large: DataFrame, pivots: int = 8) -> DataFrame:
+    """Candidate pairs of nodes that stayed large, from rows (node, v, part).
+
+    Their sets agree all along the path: each is paired with the node's pivots, sets of as many components as there are pivots, but
+    not with one of its own component.
+    """
+    first = keep(pivot_table(large, pivots))
+    return with_key(large, first, "node", "inner").select("v", "part", F.explode("p").alias("w")).filter("part != w.part").select(F.least("v", "w.v").alias("a"), F.greatest("v", "w.v").alias("b")).distinct()
+
+
+def stray_lists(large: DataFrame, block: int = 192, chunk: int = 64) -> DataFrame:
+    """Lists (node, v, part) in which every set outside its large node's main component meets every other member of the node.
+
+    A node's members are dealt to blocks and its strays to chunks; a list is one block with one chunk, so none grows with the node.
     """
-    known = reps.select("v", "n", "sig")
-    known = known.withColumn("part", F.col("v")) if parts is None else known.join(parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
-    one = F.struct("v", "n", "part", "sig")
-    placed = lists.select(F.xxhash64("vs").alias("node"), F.explode("vs").alias("v")).join(known, "v")
-    pairs = similar(placed.groupBy("node").agg(F.collect_list(one).alias("m")).select("m"), least, parts is None)
-    if large.isEmpty():
-        return pairs
-    mine = large.distinct()
-    first = pivot_table(mine, pivots)
-    star = with_key(mine, first, "node", "inner").select("v", F.explode("p").alias("w")).filter("v != w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    if parts is not None:
-        pa_, pb_ = parts.select(F.col("v").alias("a"), F.col("part").alias("pa")), parts.select(F.col("v").alias("b"), F.col("part").alias("pb"))
-        star = star.join(pa_, "a", "left").join(pb_, "b", "left").filter("coalesce(pa, a) != coalesce(pb, b)").select("a", "b")
-    return pairs.unionByName(star).distinct()
+    sizes = large.groupBy("node", "part").count().groupBy("node").agg(F.max_by("part", "count").alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    sizes = keep(sizes.select("node", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("chunks")))
+    rows = with_key(large, sizes, "node", "inner")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda seed, n: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(n)).cast("int")
+    members = rows.select("node", "v", "part", at(1, "blocks").alias("b"), every("chunks").alias("c"))
+    strays = rows.filter("part != main").select("node", "v", "part", every("blocks").alias("b"), at(2, "chunks").alias("c"))
+    return members.unionByName(strays).select(F.xxhash64("node", "b", "c").alias("node"), "v", "part").distinct()
 
 
 def pivot_table(rows: DataFrame, pivots: int) -> DataFrame:
-    """Up to ``pivots`` members of each node: of each class of hashes the one with the least hash."""
-    slots = rows.groupBy("node", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(pivots)).alias("slot")).agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("first"))
-    return slots.groupBy("node").agg(F.collect_list(F.col("first")["v"]).alias("p"))
+    """Up to ``pivots`` members of each node: of each class of components the member with the least hash."""
+    slots = rows.groupBy("node", F.pmod(F.xxhash64("part", F.lit(1)), F.lit(pivots)).alias("slot")).agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v", "part")).alias("first"))
+    return slots.groupBy("node").agg(F.collect_list(F.struct("first.v", "first.part")).alias("p"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
@@ -189,20 +255,35 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
-                s, t = shingle_set(x, width), shingle_set(y, width)
-                both = len(s & t)
-                ok.append(den * both >= num * (len(s) + len(t) - both))
-            keepers = pa.array(ok, pa.bool_())
+            keepers = pa.array([linked(x, y, width, num, den) for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keepers), b.column(1).filter(keepers)], ["a", "b"])
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(tested, "a long, b long").distinct()
 
 
+def contracted(links: DataFrame, most: int = 200_000) -> tuple[DataFrame, int]:
+    """The same components with fewer links: tasks of about ``most`` links each join what theirs connect, and give (a, b) with b the
+    smallest id of that. Returns them and the number of tasks; after one task alone, b is the component."""
+    tasks = 1 + links.count() // most
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, ids = Parts(), {}
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.join(x, y)
+                ids[x] = ids[y] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.int64()), pa.array([seen.find(x) for x in ids], pa.int64())], ["a", "b"])
+
+    return keep(links.repartition(tasks, "a").mapInArrow(joined, "a long, b long")), tasks
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(v, part): for each end of a link the smallest id that it reaches. Labels spread along links and then jump to their label's label."""
-    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    """(v, part): for each end of a link the smallest id that it reaches. Where one task can't hold the links, labels spread along
+    the contracted ones and then jump to their label's label."""
+    links, tasks = contracted(links.select("a", "b"))
+    if tasks == 1:
+        return links.select(F.col("a").alias("v"), F.col("b").alias("part"))
+    both = keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("part")))
     while True:
         near = both.join(labels, both["b"] == labels["v"]).groupBy(both["a"].alias("v")).agg(F.min("part").alias("low"))
@@ -215,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, trees: int = 10, small: int = 64, depth: int = 8) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, trees: int = 10, small: int = 256, depth: int = 4) -> DataFrame:
     """Groups documents of similar shingle sets: one row for each row of ``docs`` with doc_id, n_shingles, component_id, kept.
 
     Sets of ``width``-word shingles are linked when den * intersection >= num * union; component_id is the smallest
@@ -227,20 +308,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     least = num / den
-    rows = keep(sketches(docs, id_col, text_col, width))
+    rows = keep(sketches(docs, id_col, text_col, width, trees))
     total = rows.count()
     full = rows.filter("n > 0")
-    classes = keep(full.groupBy("sh").agg(F.min("doc_id").alias("v"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    reps = classes.filter("v is not null").select("v", "n", "sig")
-    lists, large = grow(reps, trees, small, depth)
-    tried = keep(candidates(lists, large, reps, None, least))
-    links = keep(confirmed(tried, docs, id_col, text_col, width, num, den))
+    classes = keep(full.groupBy("sh").agg(F.min("doc_id").alias("v"), F.count("*").alias("size"), F.first(F.struct("n", "roots", "sig")).alias("s")))
+    reps = classes.filter("v is not null").select("v", "s.*")
+    lists, large = grow(reps, small, depth)
+    placed = keep(lists.select(F.xxhash64("vs").alias("node"), F.explode("vs").alias("v")))
+
+    def part(df: DataFrame) -> DataFrame:
+        return df.join(parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
+
+    def compared(mine: DataFrame) -> DataFrame:
+        sets = mine.join(reps.select("v", "n", "sig"), "v")
+        return keep(similar(sets.groupBy("node").agg(F.collect_list(F.struct("v", "n", "part", "sig")).alias("m")), least))
+
+    def members(found: DataFrame) -> DataFrame:  # those without a similar one are done
+        return found.filter("b is null").select("node", F.col("a").alias("v"))
+
+    def within(mine: DataFrame) -> DataFrame:
+        mine = keep(several(mine))
+        need = keep(mine.select("v").distinct())
+        texts = with_key(docs.select(F.col(id_col).cast("long").alias("v"), F.col(text_col).cast("string").alias("t")), need, "v", "left_semi")
+        sets = mine.join(reps.select("v", "n", "sig"), "v").join(texts, "v")
+        return settled(sets.groupBy("node").agg(F.collect_list(F.struct("v", "n", "part", "sig", "t")).alias("m")).select("m"), least, width, num, den)
+
+    def between(pairs: DataFrame) -> DataFrame:
+        return confirmed(keep(pairs), docs, id_col, text_col, width, num, den)
+
+    first = compared(placed.withColumn("part", F.col("v")))
+    found = [between(thinned(keep(first.filter("b is not null").select("a", "b").distinct())))]
+    if large is not None:
+        found.append(between(star_pairs(large.withColumn("part", F.col("v")))))
+    links = keep(reduce(DataFrame.unionByName, found))
+    parts = components(links)
+    found = [links, within(part(members(first)))]
+    if large is not None:
+        found.append(between(star_pairs(several(part(large)))))
+    links = keep(reduce(DataFrame.unionByName, found))
     parts = components(links)
-    more = keep(candidates(lists, large, reps, parts, least).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = keep(confirmed(more, docs, id_col, text_col, width, num, den))
-        if not found.isEmpty():
-            parts = components(links.unionByName(found))
+    if large is not None:
+        found = compared(keep(stray_lists(several(part(large)))))
+        links = keep(links.unionByName(within(part(members(found)))))
+        parts = components(links)
     groups = classes.select("sh", "v", "size").join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, "v", "left").select("sh", "size", F.coalesce("part", "v").alias("component_id"))
     out = join_groups(full.select("doc_id", "n", "sh"), groups, "sh", "size", total).select("doc_id", "n", "component_id")
     out = out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
