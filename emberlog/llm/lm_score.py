@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import VECTORS, WordHash, as_bytes, rows_of, small_batches, sum_vectors, table, vector_rows
+from emberlog.llm.common import VECTORS, WordHash, as_bytes, keep, rows_of, small_batches, sum_vectors, table, vector_rows
 
 BUCKETS = 1 << 16
 GROUPS = 32
@@ -38,7 +39,7 @@ def bucketed(texts: list[bytes], memo: WordHash) -> tuple[np.ndarray, np.ndarray
     """Buckets of all words of some texts, in lower case, and the number of words of each text."""
     words = [t.lower().split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    return np.fromiter((memo[w] for ws in words for w in ws), np.int32, int(n.sum())), n
+    return np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int32, int(n.sum())), n
 
 
 def contexts(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -91,41 +92,45 @@ class WindowNetwork:
         h = np.tanh(x @ p["w1"] + p["b1"])
         return x, h, softmax(h @ p["wg"] + p["bg"])
 
-    def groups(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The places whose token is in each group."""
+    def within(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Places in the order of their token's group, their hidden values and scores of the tokens in the group, and each group's part."""
         group = (ids // GROUPS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
         edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            if edge[g + 1] > edge[g]:
-                yield g, order[edge[g] : edge[g + 1]]
+        parts = [(g, slice(edge[g], edge[g + 1])) for g in range(GROUPS) if edge[g + 1] > edge[g]]
+        hs, z = h[order], np.empty((len(ids), GROUPS), np.float32)
+        for g, at in parts:
+            np.matmul(hs[at], self.p["wt"][g], out=z[at])
+            z[at] += self.p["bt"][g]
+        return order, hs, z, parts
 
     def log_probability(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """The log-probability of each token given its context."""
         _, h, pg = self.forward(ctx)
-        out = np.log(np.maximum(pg[np.arange(len(ids)), ids // GROUPS], 1e-30)).astype(np.float64)
-        for g, at in self.groups(ids):
-            q = softmax(h[at] @ self.p["wt"][g] + self.p["bt"][g])
-            out[at] += np.log(np.maximum(q[np.arange(len(at)), ids[at] % GROUPS], 1e-30))
-        return out
+        row, out = np.arange(len(ids)), np.empty(len(ids))
+        order, _, z, _ = self.within(h, ids)
+        out[order] = np.log(np.maximum(softmax(z)[row, ids[order] % GROUPS], 1e-30))
+        return out + np.log(np.maximum(pg[row, ids // GROUPS], 1e-30))
 
     def step(self, ids: np.ndarray, ctx: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> None:
         """One step of gradient descent on a batch, each parameter by its own past gradients."""
         p, n = self.p, len(ids)
+        row = np.arange(n)
         x, h, pg = self.forward(ctx)
-        pg[np.arange(n), ids // GROUPS] -= 1
+        pg[row, ids // GROUPS] -= 1
         grad = {"wg": h.T @ pg, "bg": pg.sum(axis=0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
-        dh = pg @ p["wg"].T
-        for g, at in self.groups(ids):
-            q = softmax(h[at] @ p["wt"][g] + p["bt"][g])
-            q[np.arange(len(at)), ids[at] % GROUPS] -= 1
-            grad["wt"][g], grad["bt"][g] = h[at].T @ q, q.sum(axis=0)
-            dh[at] += q @ p["wt"][g].T
+        order, hs, z, parts = self.within(h, ids)
+        q, dh = softmax(z), np.empty_like(h)
+        q[row, ids[order] % GROUPS] -= 1
+        for g, at in parts:
+            grad["wt"][g], grad["bt"][g] = hs[at].T @ q[at], q[at].sum(axis=0)
+            np.matmul(q[at], p["wt"][g].T, out=z[at])
+        dh[order] = z
+        dh += pg @ p["wg"].T
         dz = dh * (1 - h * h)
         grad["w1"], grad["b1"] = x.T @ dz, dz.sum(axis=0)
         dx = (dz @ p["w1"].T).reshape(n, 2 * SIDE, WIDTH)
-        where = (ctx[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-        grad["embed"] = np.bincount(where, dx.ravel(), (TOKENS + 1) * WIDTH).reshape(TOKENS + 1, WIDTH)
+        grad["embed"] = np.stack([np.bincount(ctx.ravel(), dx[:, :, j].ravel(), TOKENS + 1) for j in range(WIDTH)], axis=1)
         for k, d in grad.items():
             d = (d / n).astype(np.float32)
             memory[k] += d * d
@@ -133,24 +138,45 @@ class WindowNetwork:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
+    """Shares of each row, in float32; changes its argument."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
 
+def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (a hash of id and text), n (words) and the words' buckets, two bytes each: every later pass reads these, not the texts."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash(bucket)
+        for whole in batches:
+            for b in rows_of(whole, 1 << 20, "t"):
+                ids, n = bucketed(as_bytes(b.column("t")), memo)
+                packed = np.split(ids.astype(np.uint16), np.cumsum(n)[:-1])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "h", "n", "words"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("doc_id", "t"))
+    return rows.mapInArrow(coded, "doc_id long, h long, n long, words binary")
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words of a batch, and the number of words of each text."""
+    return np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint16).astype(np.int32), b.column("n").to_numpy(zero_copy_only=False)
+
+
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """How many words of the corpus fall in each bucket."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sums = WordHash(bucket), np.zeros(BUCKETS)
+        sums = np.zeros(BUCKETS)
         for b in batches:
-            ids, _ = bucketed(as_bytes(b.column(0)), memo)
-            sums += np.bincount(ids, minlength=BUCKETS)
+            sums += np.bincount(unpacked(b)[0], minlength=BUCKETS)
         if sums.any():
             for pdf in vector_rows("n", sums, 1):
                 yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
 
-    found = sum_vectors(docs.select("t").mapInArrow(counted, VECTORS))
+    found = sum_vectors(docs.select("n", "words").mapInArrow(counted, VECTORS))
     return found["n"][1] if found else np.zeros(BUCKETS)
 
 
@@ -164,10 +190,10 @@ def train(docs: DataFrame, rounds: int, batch: int, rate: float, seed: int) -> W
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             mine = shared.value.filled(shared.value.flat())
             memory = {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}
-            memo, seen = WordHash(bucket), 0
+            seen = 0
             for whole in batches:
-                for b in rows_of(whole, 1 << 20, "t"):
-                    ids, n = bucketed(as_bytes(b.column(0)), memo)
+                for b in rows_of(whole, 1 << 18, "words"):
+                    ids, n = unpacked(b)
                     ids = mine.token[ids]
                     ctx = contexts(ids, n)
                     for at in range(0, len(ids), batch):
@@ -177,8 +203,8 @@ def train(docs: DataFrame, rounds: int, batch: int, rate: float, seed: int) -> W
                 for pdf in vector_rows("p", mine.flat() * float(seen), seen):
                     yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
 
-        part = docs.filter(F.pmod(F.xxhash64("doc_id", "t"), F.lit(rounds)) == r)
-        found = sum_vectors(part.select("t").mapInArrow(learn, VECTORS))
+        part = docs.filter(F.pmod("h", F.lit(rounds)) == r)
+        found = sum_vectors(part.select("n", "words").mapInArrow(learn, VECTORS))
         if found:
             net = net.filled(found["p"][1] / found["p"][0])
     return net
@@ -192,14 +218,14 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = keep(words_of(docs, id_col, text_col))
     shared = spark.sparkContext.broadcast(train(rows, rounds, batch, rate, seed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, memo = shared.value, WordHash(bucket)
+        net = shared.value
         for whole in batches:
-            for b in rows_of(whole, 1 << 20, "t"):
-                ids, n = bucketed(as_bytes(b.column(1)), memo)
+            for b in rows_of(whole, 1 << 18, "words"):
+                ids, n = unpacked(b)
                 ids = net.token[ids]
                 ctx, lp = contexts(ids, n), np.zeros(len(ids) + 1)
                 for at in range(0, len(ids), batch):
@@ -209,7 +235,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
                 mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total, pa.float64()), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return rows.select("doc_id", "n", "words").mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
