@@ -51,7 +51,7 @@ def packed(text: Column) -> Column:
     runs = [":" + "0:" * n for n in range(8, 1, -1)]
     run = F.coalesce(*[F.when(text.contains(r), F.lit(r)) for r in runs])
     trimmed = F.regexp_replace(text, "^:|:$", "")
-    return F.when(run.isNull(), trimmed).otherwise(F.concat(F.regexp_replace(F.regexp_replace(F.substring_index(text, run, 1), "^:", ""), ":$", ""), F.lit("::"), F.regexp_replace(F.regexp_replace(F.substring(text, F.instr(text, run) + F.length(run), F.length(text)), "^:", ""), ":$", "")))
+    return F.when(run.isNull(), trimmed).otherwise(F.concat(F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(1), F.instr(text, run) - 1), "^:", ""), ":$", ""), F.lit("::"), F.regexp_replace(F.regexp_replace(F.substring(text, F.instr(text, run) + F.length(run), F.length(text)), "^:", ""), ":$", "")))
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -75,7 +75,8 @@ def sibling_captions(attrs: Column) -> Column:
 def required_enums(attrs: Column) -> Column:
     """Unknown (0) for each required enum of an object that is present without it."""
     paths = F.map_keys(attrs)
-    wanted = [F.when(F.exists(paths, lambda p, o=o: p.startswith(f"{o}.")) & ~F.array_contains(paths, f"{o}.{e}"), F.lit(f"{o}.{e}")) for o, e in REQUIRED_ENUMS.items()]
+    has = lambda o: F.exists(paths, lambda p: p.startswith(f"{o}."))
+    wanted = [F.when(has(o) & ~F.array_contains(paths, f"{o}.{e}"), F.lit(f"{o}.{e}")) for o, e in REQUIRED_ENUMS.items()]
     return F.map_from_entries(F.transform(F.array_compact(F.array(*wanted)), lambda p: F.struct(p.alias("key"), F.lit("0").alias("value"))))
 
 

@@ -207,9 +207,14 @@ def json(text: Column, options: dict, levels: int = 6) -> Column:
     top = F.try_parse_json(F.trim(text))
     is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT<") & (F.schema_of_variant(v) != "OBJECT<>")
     entries_of = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+
+    def spread(e: Column) -> Column:
+        inner = F.transform(entries_of(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(is_object(e["value"]), inner).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
     entries = entries_of(top)
     for _ in range(levels - 1 if options.get("flatten", True) else 0):
-        entries = F.flatten(F.transform(entries, lambda e: F.when(is_object(e["value"]), F.transform(entries_of(e["value"]), lambda x, e=e: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
+        entries = F.flatten(F.transform(entries, spread))
     shown = F.transform(entries, lambda e: F.struct(e["key"], F.try_variant_get(e["value"], "$", "string").alias("value")))
     whole = F.when(top.isNotNull() & ~F.schema_of_variant(top).startswith("OBJECT<"), F.create_map(F.lit("value"), F.try_variant_get(top, "$", "string")))
     return F.coalesce(F.map_from_entries(F.filter(shown, lambda e: e["value"].isNotNull())), whole)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberlog.functions.network import let
 from emberlog.operators.extract import syslog
 
 # What a priority, a key=value pair and the start of a syslog header look like.
@@ -20,7 +21,11 @@ def count_of(text: Column, char: str) -> Column:
 
 def payload_format(payload: Column) -> Column:
     """struct(format, confidence) of a text without its syslog header."""
-    s = F.trim(payload)
+    return let(F.trim(payload), trimmed_format)
+
+
+def trimmed_format(s: Column) -> Column:
+    """The same of a trimmed text."""
     pairs, commas, blanks, tabs = F.regexp_count(s, F.lit(PAIR)), count_of(s, ","), count_of(s, " "), count_of(s, "\t")
     found = lambda name, c: F.struct(F.lit(name).alias("format"), c.cast("double").alias("confidence"))
     return (
@@ -41,8 +46,11 @@ def sniff(raw: Column) -> Column:
     s = F.regexp_replace(raw, "^﻿+", "")
     headed = s.rlike(PRI) | s.rlike(HEADED)
     payload = F.when(headed, F.try_element_at(syslog(s, {}), F.lit("message"))).otherwise(s)
-    p = payload_format(payload)
-    plain = headed & (p["format"] == "text")
-    name = F.when(plain, "syslog").otherwise(p["format"])
-    envelope = F.when(headed & ~plain, F.lit("syslog"))
-    return F.struct(name.alias("format"), envelope.alias("envelope"), F.when(plain, F.lit(0.7)).otherwise(p["confidence"]).alias("confidence"), F.array_compact(F.array(name, envelope)).alias("tags"))
+
+    def named(p: Column) -> Column:
+        plain = headed & (p["format"] == "text")
+        name = F.when(plain, "syslog").otherwise(p["format"])
+        envelope = F.when(headed & ~plain, F.lit("syslog"))
+        return F.struct(name.alias("format"), envelope.alias("envelope"), F.when(plain, F.lit(0.7)).otherwise(p["confidence"]).alias("confidence"), F.array_compact(F.array(name, envelope)).alias("tags"))
+
+    return let(payload_format(payload), named)

@@ -30,9 +30,10 @@ def lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.select(guard.decoded(F.col(raw)).alias("raw"), source.alias("source"), received.alias("received_ms"))
 
 
-def routed(df: DataFrame, registry: Registry) -> DataFrame:
-    """Lines with ``rejected`` (why, or null), ``sniffed`` and ``candidates`` (packs to try, in order)."""
-    df = guard.not_blank(df).withColumn("sniffed", sniff(F.col("raw")))
+def routed(df: DataFrame, registry: Registry, path: str) -> DataFrame:
+    """Lines with ``rejected`` (why, or null), ``sniffed`` and ``candidates`` (packs to try, in order). The sniffed lines are staged: each pack's
+    match reads the format, and would work it out again."""
+    df = staged(guard.not_blank(df).withColumn("sniffed", sniff(F.col("raw"))), path, None)
     df = df.withColumn("rejected", guard.rejection(F.col("raw"), F.col("sniffed.format")))
     return df.withColumn("candidates", registry.candidates(F.col("raw"), F.col("sniffed.tags"), F.try_element_at("source", F.lit("source_hint"))))
 
@@ -72,9 +73,9 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
     prepare(spark)
     registry = packs if isinstance(packs, Registry) else Registry(library() if packs is None else packs)
     now = F.lit(now_ms).cast("bigint") if now_ms is not None else F.unix_millis(F.current_timestamp())
-    todo = routed(lines(df, raw), registry)
-    todo = todo.withColumn("pack_no", F.when(F.col("rejected").isNotNull(), -2).otherwise(F.coalesce(F.get("candidates", F.lit(0)), F.lit(-1))))
     path = f"{staging or folder(spark)}/{uuid.uuid4().hex}"
+    todo = routed(lines(df, raw), registry, f"{path}/sniffed")
+    todo = todo.withColumn("pack_no", F.when(F.col("rejected").isNotNull(), -2).otherwise(F.coalesce(F.get("candidates", F.lit(0)), F.lit(-1))))
     made: list[DataFrame] = []
     rest: list[DataFrame] = []
     dead = None
