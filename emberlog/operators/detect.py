@@ -1,11 +1,10 @@
-"""Detection: values of single-event rules as boolean Columns, and threshold correlation over lanes."""
+"""Detection: values of single-event rules as boolean Columns."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.functions.network import in_network
@@ -54,22 +53,3 @@ def selection(fields: dict[str, Column], doc: dict) -> Column:
             hit = hit & value(fields[field], w, kind) if every else hit | value(fields[field], w, kind)
         out = out & hit
     return out
-
-
-def threshold(hits: DataFrame, lane: str, at_ms: str, least: int, window_ms: int) -> DataFrame:
-    """(lane, at_ms) of each alert: ``least`` hits of a lane within the window, both ends included; an alert forgets the hits before it.
-
-    ``hits`` are the rows that a rule's predicate has let through already, so a lane holds few. Rows of equal time count in any order.
-    """
-
-    def alerts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[int] = []
-        out = []
-        for t in sorted(pdf[at_ms]):
-            held = [x for x in held if t - x <= window_ms] + [t]
-            if len(held) >= least:
-                out.append(t)
-                held = []
-        return pd.DataFrame({lane: pd.Series([key[0]] * len(out), dtype=object), at_ms: pd.Series(out, dtype="int64")})
-
-    return hits.select(F.col(lane).cast("string"), F.col(at_ms).cast("long")).groupBy(lane).applyInPandas(alerts, f"{lane} string, {at_ms} long")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from emberlog.functions.coerce import to_boolean, to_integer
 from emberlog.functions.text import snake
 from emberlog.functions.timestamps import epoch_ms
-from emberlog.operators import detect, extract, guard, lineage
+from emberlog.operators import correlate, detect, extract, guard, ledger, lineage, mining, rules
 from emberlog.operators.sniff import sniff
+from emberlog.plans import store
 from emberlog.plans.normalize import normalize
+from emberlog.sources import sinks
 
 KV = "concat('<189>date=2024-01-01 time=00:00:01 devname=\"fw 1\" devid=\"FG1\" logid=\"0000000013\" type=\"traffic\" subtype=\"forward\" level=\"notice\" srcip=10.0.', event_id % 200, '.', user_id % 200, ' srcport=', 1024 + event_id % 5000, ' dstip=192.0.2.', event_id % 9, ' dstport=443 proto=6 action=\"', CASE WHEN event_type = 'error' THEN 'deny' ELSE 'accept' END, '\" user=\"u ', user_id, '\" sentbyte=', event_id, ' empty= note=\"', event_type, '\"')"
 CEF = "concat('CEF:0|Acme|Gate \\\\| One|1.0|', event_id % 7, '|', event_type, '|5|src=10.1.0.', user_id % 250, ' spt=', 1000 + event_id % 100, ' msg=it was ', event_type, ' here act=', event_type)"
@@ -106,7 +108,7 @@ def sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rows(spark, sf_dir).filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("lane"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at_ms"))
-    return detect.threshold(hits, "lane", "at_ms", 3, 86_400_000)
+    return correlate.threshold(hits, "lane", "at_ms", 3, 86_400_000)
 
 
 def by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +120,90 @@ def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).filter("event_type = 'purchase' AND value >= 5").orderBy(F.desc("event_id")).limit(100).select("event_id", "user_id")
 
 
+FAILURES = "concat('user ', user_id, ' ', event_type, ' from 10.1.', event_id % 250, '.7 port ', event_id)"
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view, then a purchase of the same user within an hour, and an error within another."""
+    e = rows(spark, sf_dir).withColumn("at_ms", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    fits = [F.col("event_type") == t for t in ("view", "purchase", "error")]
+    return correlate.sequence(e, "user_id", "at_ms", fits, [correlate.Stage()] * 3, window_ms=7_200_000, gap_ms=3_600_000, order=("event_id",))
+
+
+def rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each whole rule fits."""
+    e = rows(spark, sf_dir)
+    fields = {"type": F.col("event_type"), "value": F.col("value").cast("string"), "props": F.col("props")}
+    made = {
+        "loud_errors": {"detection": {"sel_a": {"type": "error"}, "sel_b": {"value|gte": 10}, "skip": {"props|contains": '"k": 1'}, "condition": "all of sel_* and not skip"}},
+        "either": {"detection": {"a": {"type|startswith": "pur"}, "b": [{"value|lt": 1}, {"type": "cl?ck"}], "condition": "1 of them"}},
+        "words": {"detection": {"keywords": ["SIGN", "err*r"], "condition": ["keywords and not keywords", "keywords"]}},
+    }
+    return rules.matched(e, made, fields).select(F.explode("alerts").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def chain_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = rows(spark, sf_dir)
+    return e.select((F.col("event_id") % 4).cast("string").alias("shard"), F.expr("event_id div 4").alias("seq"), lineage.leaf(F.sha2("event_type", 256), F.sha2("props", 256)).alias("leaf"))
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.chained(ledger.batches(chain_leaves(spark, sf_dir)))
+
+
+def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's leaf against its proof, its batch and the chain; every hundredth event is altered first."""
+    leaves = chain_leaves(spark, sf_dir)
+    tampered = leaves.withColumn("leaf", F.when(F.col("seq") % 100 == 7, F.sha2("leaf", 256)).otherwise(F.col("leaf")))
+    return ledger.verified(tampered, ledger.proofs(leaves), ledger.chained(ledger.batches(leaves)))
+
+
+def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of lines that no pack knows, by fingerprint."""
+    e = lines(spark, sf_dir, SYSLOG).withColumn("received_ms", F.col("event_id"))
+    e = e.withColumn("print", mining.fingerprint(F.col("raw"), sniff(F.col("raw"))["format"], extract.syslog(F.col("raw"), {})))
+    return mining.clusters(e).select("fingerprint", "count", "first_ms", "last_ms", F.get("samples", F.lit(0)).alias("newest"))
+
+
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.templates(lines(spark, sf_dir, FAILURES))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table in the columns of stored events."""
+    e = rows(spark, sf_dir)
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("uid"), F.expr("event_id % 7").alias("severity_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("pack"), F.expr("round(value, 2)").alias("confidence"), (F.col("event_id") % 3 > 0).alias("valid"), F.col("event_id").alias("time"), F.concat(F.lit("class|"), "event_type").alias("type_name"), F.col("event_type").alias("class_name"), (F.col("event_id") % 5).alias("type_uid"), F.concat(F.lit("10.0.0."), F.col("event_id") % 250).alias("src_ip"), F.create_map(F.lit("message"), F.concat(F.lit("a=b "), "props")).alias("attrs"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.found(stored(spark, sf_dir), severity_min=3, valid=True, since=100, fallback=False).select("seq", "pack", "severity_id")
+
+
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest(stored(spark, sf_dir)).select("uid", "seq", "class_name", "src_ip")
+
+
+def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.by_pack(stored(spark, sf_dir)).select("pack", "n", F.round("avg_confidence", 3).alias("avg_confidence"), F.round("valid_ratio", 4).alias("valid_ratio"))
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.counters(stored(spark, sf_dir), rows(spark, sf_dir, "documents").filter(guard.rejection(F.col("text"), max_bytes=4096).isNotNull()))
+
+
+def cef_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stored(spark, sf_dir)
+    return e.select(F.col("seq").alias("event_id"), sinks.cef_line(e).alias("line"))
+
+
 QUERIES = {
     "normalize_traffic": traffic, "extract_kv": kv, "extract_cef": cef, "extract_leef": leef, "extract_syslog": syslog, "extract_json": json, "sniff_formats": formats, "guard_oversize": oversize,
     "cast_timestamps": stamps, "cast_values": casts, "snake_names": snakes, "leaf_hash": leaves, "merkle_root": roots, "sigma_values": sigma, "corr_threshold": alerts, "summary_by_class": by_class, "events_newest": newest,
+    "corr_sequence": sequences, "sigma_rules": rule_alerts, "ledger_chain": chain, "ledger_verify": chain_checks, "unknown_clusters": unknown, "mine_templates": mined, "store_filter": found, "store_latest": latest, "store_by_pack": packs, "store_counters": counts, "sink_cef": cef_out,
 }
 LEVEL = "l{k} AS (SELECT batch_id, pos // 2 AS pos, CASE WHEN count(*) = 2 THEN sha256(unhex('01') || unhex(min_by(leaf, pos)) || unhex(max_by(leaf, pos))) ELSE min(leaf) END AS leaf FROM l{j} GROUP BY ALL)"
 LEAF = "SELECT event_id, sha256(unhex('00') || unhex(sha256(event_type)) || unhex(sha256(props))) AS leaf FROM events"
+CHAIN_ROOTS = "l0 AS (SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 // 256 AS batch_id, event_id // 4 % 256 AS pos, leaf FROM (" + LEAF + ")), " + ", ".join(LEVEL.format(k=k + 1, j=k).replace("SELECT batch_id", "SELECT shard, batch_id") for k in range(8)) + ", roots AS (SELECT l8.shard, l8.batch_id, n.count, leaf AS merkle_root FROM l8 JOIN (SELECT shard, batch_id, count(*) AS count FROM l0 GROUP BY ALL) n ON l8.shard = n.shard AND l8.batch_id = n.batch_id)"
 SQL = {
     "normalize_traffic": "SELECT 'fortinet.fortigate@1.0' AS pack, 'network_activity' AS class_name, '10.0.' || (event_id % 200) AS net, count(*) AS n, min(1024 + event_id % 5000) AS min_port, CAST(443 AS BIGINT) AS max_dst_port, count(*) AS n_valid FROM events GROUP BY ALL",
     "extract_kv": "SELECT event_id, 'fw 1' AS devname, '10.0.' || event_id % 200 || '.' || user_id % 200 AS srcip, 'u ' || user_id AS user_name, '' AS empty, event_type AS note, CAST(event_id AS VARCHAR) AS sentbyte FROM events",
@@ -141,4 +221,14 @@ SQL = {
     "sigma_values": "SELECT count_if(event_type ILIKE '_i%w') AS wild, count_if(event_id % 256 BETWEEN 64 AND 127) AS cidr, count_if(event_type LIKE '%r%' AND event_type LIKE '%o%') AS all_of, count_if(regexp_matches(props, '\"k\": 1[0-9]}')) AS pattern, count_if(value >= 10) AS number, count_if(event_type LIKE '%ck' OR event_type LIKE '%se') AS either FROM events",
     "summary_by_class": "SELECT event_type, count(*) AS n, round(avg(value), 3) AS avg_value FROM events GROUP BY 1",
     "events_newest": "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value >= 5 ORDER BY event_id DESC LIMIT 100",
+    "sigma_rules": "SELECT 'loud_errors' AS rule, count(*) AS n FROM events WHERE event_type = 'error' AND value >= 10 AND NOT contains(props, '\"k\": 1') HAVING count(*) > 0 UNION ALL SELECT 'either', count(*) FROM events WHERE event_type LIKE 'pur%' OR value < 1 OR event_type = 'click' HAVING count(*) > 0 UNION ALL SELECT 'words', count(*) FROM events WHERE contains(event_type, 'sign') OR contains(event_type, 'error') HAVING count(*) > 0",
+    "ledger_chain": f"WITH RECURSIVE {CHAIN_ROOTS}, walk AS (SELECT shard, batch_id, count, merkle_root, repeat('0', 64) AS prev_chain, sha256(concat_ws('|', repeat('0', 64), merkle_root, batch_id, count)) AS chain_hash FROM roots WHERE batch_id = 0 UNION ALL SELECT r.shard, r.batch_id, r.count, r.merkle_root, w.chain_hash, sha256(concat_ws('|', w.chain_hash, r.merkle_root, r.batch_id, r.count)) FROM walk w JOIN roots r ON r.shard = w.shard AND r.batch_id = w.batch_id + 1) SELECT * FROM walk",
+    "ledger_verify": "SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 AS seq, true AS known, event_id // 4 % 100 <> 7 AS leaf_match, event_id // 4 % 100 <> 7 AS proof_match, true AS link_match, event_id // 4 % 100 <> 7 AS verified FROM events",
+    "unknown_clusters": "SELECT substr(sha256('syslog:app:did ' || event_type), 1, 12) AS fingerprint, count(*) AS count, min(event_id) AS first_ms, max(event_id) AS last_ms, max_by('<' || event_id % 190 || '>Jan  2 03:04:05 host' || user_id % 20 || ' app[' || event_id || ']: did ' || event_type, event_id) AS newest FROM events GROUP BY event_type",
+    "mine_templates": "SELECT CASE WHEN count(DISTINCT event_type) = 1 THEN 'user <NUM> ' || min(event_type) || ' from <IP> port <NUM>' ELSE 'user <NUM> <*> from <IP> port <NUM>' END AS template, count(*) AS count FROM events",
+    "store_filter": "SELECT event_id AS seq, event_type AS pack, event_id % 7 AS severity_id FROM events WHERE event_id % 7 >= 3 AND event_id % 3 > 0 AND event_id >= 100 AND event_type <> 'error'",
+    "store_latest": "SELECT user_id AS uid, max(event_id) AS seq, max_by(event_type, event_id) AS class_name, '10.0.0.' || max(event_id) % 250 AS src_ip FROM events GROUP BY user_id",
+    "store_by_pack": "SELECT CASE WHEN event_type = 'error' THEN 'fallback' ELSE event_type END AS pack, count(*) AS n, round(avg(round(value, 2)), 3) AS avg_confidence, round(avg(CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END), 4) AS valid_ratio FROM events GROUP BY 1",
+    "store_counters": "SELECT 'processed' AS name, '' AS label, count(*) AS value FROM events UNION ALL SELECT 'validation_errors', '', count(*) FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'fallback', '', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'by_pack', CASE WHEN event_type = 'error' THEN 'fallback' ELSE event_type END, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'by_class', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'dead_letter', '', count(*) FROM documents WHERE strlen(text) > 4096",
+    "sink_cef": "SELECT event_id, concat('CEF:0|Unknown||emberlog|', event_id % 5, '|class\\|', event_type, '|', CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 7 WHEN 5 THEN 9 ELSE 10 END, '|rt=', event_id, ' src=10.0.0.', event_id % 250, ' msg=a\\=b ', props, ' cs1Label=ocsf_class cs1=', event_type, ' cs2Label=event_uid cs2=', user_id, ' cs3Label=raw_sha256') AS line FROM events",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.network import canonical_ip, in_network
 from emberlog.functions.text import snake
-from emberlog.operators import detect, extract, lineage
+from emberlog.operators import correlate, detect, extract, lineage
 
 
 def one(spark, column):
@@ -55,4 +55,4 @@ def test_merkle_roots_of_odd_and_single_batches(spark):
 
 def test_threshold_is_inclusive_and_forgets(spark):
     hits = spark.createDataFrame([("a", t) for t in (0, 5, 10, 11, 12, 13)] + [("b", 0), ("b", 11), ("b", 22)], "lane string, t long")
-    assert sorted(map(tuple, detect.threshold(hits, "lane", "t", 3, 10).collect())) == [("a", 10), ("a", 13)]
+    assert sorted(map(tuple, correlate.threshold(hits, "lane", "t", 3, 10).collect())) == [("a", 10), ("a", 13)]
