@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from emberlog.functions.timestamps import epoch_ms
 from emberlog.operators import correlate, detect, extract, guard, ledger, lineage, mining, rules
 from emberlog.operators.sniff import sniff
 from emberlog.plans import store
-from emberlog.plans.normalize import normalize
+from emberlog.plans.normalize import folder, normalize, staged
 from emberlog.sources import sinks
 
 KV = "concat('<189>date=2024-01-01 time=00:00:01 devname=\"fw 1\" devid=\"FG1\" logid=\"0000000013\" type=\"traffic\" subtype=\"forward\" level=\"notice\" srcip=10.0.', event_id % 200, '.', user_id % 200, ' srcport=', 1024 + event_id % 5000, ' dstip=192.0.2.', event_id % 9, ' dstport=443 proto=6 action=\"', CASE WHEN event_type = 'error' THEN 'deny' ELSE 'accept' END, '\" user=\"u ', user_id, '\" sentbyte=', event_id, ' empty= note=\"', event_type, '\"')"
@@ -159,9 +161,11 @@ def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of lines that no pack knows, by fingerprint."""
+    """Clusters of lines that no pack knows, by fingerprint. Format and header are staged, as ``normalize`` stages them: the fingerprint reads them often."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     e = lines(spark, sf_dir, SYSLOG).withColumn("received_ms", F.col("event_id"))
-    e = e.withColumn("print", mining.fingerprint(F.col("raw"), sniff(F.col("raw"))["format"], extract.syslog(F.col("raw"), {})))
+    e = staged(e.withColumns({"format": sniff(F.col("raw"))["format"], "fields": extract.syslog(F.col("raw"), {})}), f"{path}/read", None)
+    e = staged(e.select("raw", "received_ms", mining.fingerprint(F.col("raw"), F.col("format"), F.col("fields")).alias("print")), f"{path}/printed", None)
     return mining.clusters(e).select("fingerprint", "count", "first_ms", "last_ms", F.get("samples", F.lit(0)).alias("newest"))
 
 
