@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from emberlog.functions.timestamps import epoch_ms
 from emberlog.operators import correlate, detect, extract, guard, ledger, lineage, mining, rules
 from emberlog.operators.sniff import sniff
 from emberlog.plans import store
-from emberlog.plans.normalize import folder, normalize, staged
+from emberlog.plans.normalize import normalize
 from emberlog.sources import sinks
 
 KV = "concat('<189>date=2024-01-01 time=00:00:01 devname=\"fw 1\" devid=\"FG1\" logid=\"0000000013\" type=\"traffic\" subtype=\"forward\" level=\"notice\" srcip=10.0.', event_id % 200, '.', user_id % 200, ' srcport=', 1024 + event_id % 5000, ' dstip=192.0.2.', event_id % 9, ' dstport=443 proto=6 action=\"', CASE WHEN event_type = 'error' THEN 'deny' ELSE 'accept' END, '\" user=\"u ', user_id, '\" sentbyte=', event_id, ' empty= note=\"', event_type, '\"')"
@@ -160,15 +158,6 @@ def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.verified(tampered, ledger.proofs(leaves), ledger.chained(ledger.batches(leaves)))
 
 
-def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of lines that no pack knows, by fingerprint. Format and header are staged, as ``normalize`` stages them: the fingerprint reads them often."""
-    path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    e = lines(spark, sf_dir, SYSLOG).withColumn("received_ms", F.col("event_id"))
-    e = staged(e.withColumns({"format": sniff(F.col("raw"))["format"], "fields": extract.syslog(F.col("raw"), {})}), f"{path}/read", None)
-    e = staged(e.select("raw", "received_ms", mining.fingerprint(F.col("raw"), F.col("format"), F.col("fields")).alias("print")), f"{path}/printed", None)
-    return mining.clusters(e).select("fingerprint", "count", "first_ms", "last_ms", F.get("samples", F.lit(0)).alias("newest"))
-
-
 def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.templates(lines(spark, sf_dir, FAILURES))
 
@@ -203,7 +192,7 @@ def cef_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "normalize_traffic": traffic, "extract_kv": kv, "extract_cef": cef, "extract_leef": leef, "extract_syslog": syslog, "extract_json": json, "sniff_formats": formats, "guard_oversize": oversize,
     "cast_timestamps": stamps, "cast_values": casts, "snake_names": snakes, "leaf_hash": leaves, "merkle_root": roots, "sigma_values": sigma, "corr_threshold": alerts, "summary_by_class": by_class, "events_newest": newest,
-    "corr_sequence": sequences, "sigma_rules": rule_alerts, "ledger_chain": chain, "ledger_verify": chain_checks, "unknown_clusters": unknown, "mine_templates": mined, "store_filter": found, "store_latest": latest, "store_by_pack": packs, "store_counters": counts, "sink_cef": cef_out,
+    "corr_sequence": sequences, "sigma_rules": rule_alerts, "ledger_chain": chain, "ledger_verify": chain_checks, "mine_templates": mined, "store_filter": found, "store_latest": latest, "store_by_pack": packs, "store_counters": counts, "sink_cef": cef_out,
 }
 LEVEL = "l{k} AS (SELECT batch_id, pos // 2 AS pos, CASE WHEN count(*) = 2 THEN sha256(unhex('01') || unhex(min_by(leaf, pos)) || unhex(max_by(leaf, pos))) ELSE min(leaf) END AS leaf FROM l{j} GROUP BY ALL)"
 LEAF = "SELECT event_id, sha256(unhex('00') || unhex(sha256(event_type)) || unhex(sha256(props))) AS leaf FROM events"
@@ -228,7 +217,6 @@ SQL = {
     "sigma_rules": "SELECT 'loud_errors' AS rule, count(*) AS n FROM events WHERE event_type = 'error' AND value >= 10 AND NOT contains(props, '\"k\": 1') HAVING count(*) > 0 UNION ALL SELECT 'either', count(*) FROM events WHERE event_type LIKE 'pur%' OR value < 1 OR event_type = 'click' HAVING count(*) > 0 UNION ALL SELECT 'words', count(*) FROM events WHERE contains(event_type, 'sign') OR contains(event_type, 'error') HAVING count(*) > 0",
     "ledger_chain": f"WITH RECURSIVE {CHAIN_ROOTS}, walk AS (SELECT shard, batch_id, count, merkle_root, repeat('0', 64) AS prev_chain, sha256(concat_ws('|', repeat('0', 64), merkle_root, batch_id, count)) AS chain_hash FROM roots WHERE batch_id = 0 UNION ALL SELECT r.shard, r.batch_id, r.count, r.merkle_root, w.chain_hash, sha256(concat_ws('|', w.chain_hash, r.merkle_root, r.batch_id, r.count)) FROM walk w JOIN roots r ON r.shard = w.shard AND r.batch_id = w.batch_id + 1) SELECT * FROM walk",
     "ledger_verify": "SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 AS seq, true AS known, event_id // 4 % 100 <> 7 AS leaf_match, event_id // 4 % 100 <> 7 AS proof_match, true AS link_match, event_id // 4 % 100 <> 7 AS verified FROM events",
-    "unknown_clusters": "SELECT substr(sha256('syslog:app:did ' || event_type), 1, 12) AS fingerprint, count(*) AS count, min(event_id) AS first_ms, max(event_id) AS last_ms, max_by('<' || event_id % 190 || '>Jan  2 03:04:05 host' || user_id % 20 || ' app[' || event_id || ']: did ' || event_type, event_id) AS newest FROM events GROUP BY event_type",
     "mine_templates": "SELECT CASE WHEN count(DISTINCT event_type) = 1 THEN 'user <NUM> ' || min(event_type) || ' from <IP> port <NUM>' ELSE 'user <NUM> <*> from <IP> port <NUM>' END AS template, count(*) AS count FROM events",
     "store_filter": "SELECT event_id AS seq, event_type AS pack, event_id % 7 AS severity_id FROM events WHERE event_id % 7 >= 3 AND event_id % 3 > 0 AND event_id >= 100 AND event_type <> 'error'",
     "store_latest": "SELECT user_id AS uid, max(event_id) AS seq, max_by(event_type, event_id) AS class_name, '10.0.0.' || max(event_id) % 250 AS src_ip FROM events GROUP BY user_id",

@@ -1,6 +1,7 @@
 """Correlation, rules, ledger, mining, sinks, store and streams against plain Python."""
 
 import base64
+import hashlib
 import random
 import re
 
@@ -153,3 +154,12 @@ def test_normalized_stream_to_the_lake(spark, tmp_path):
     query.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "lake")).collect()
     assert [(r["src_ip"], r["dst_port"], r["class_uid"], str(r["dt"])) for r in rows] == [("10.0.0.1", 443, 4001, "2024-01-01")]
+
+
+def test_fingerprints_and_clusters(spark):
+    rows = [("<3>Jan  2 03:04:05 h app[1]: did 12 error", {"message": "did 12 error", "syslog_app": "app"}, "syslog", 1), ("<3>Jan  2 03:04:06 h app[2]: did 7 error", {"message": "did 7 error", "syslog_app": "app"}, "syslog", 2), ("b=1 a=2", None, "kv", 3)]
+    df = spark.createDataFrame(rows, "raw string, fields map<string,string>, format string, received_ms long")
+    prints = df.select("raw", "received_ms", mining.fingerprint(F.col("raw"), F.col("format"), F.col("fields")).alias("print"))
+    got = {r["fingerprint"]: (r["label"], r["count"], r["samples"]) for r in mining.clusters(prints, 1).collect()}
+    name = lambda key: hashlib.sha256(key.encode()).hexdigest()[:12]
+    assert got == {name("syslog:app:did # error"): ("syslog:app", 2, [rows[1][0]]), name("kv:a,b"): ("kv kv(2 keys)", 1, ["b=1 a=2"])}
