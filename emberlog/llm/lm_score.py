@@ -1,10 +1,13 @@
 """Masked pseudo-likelihood: a window network in numpy predicts every token from both sides.
 
-A token is the class of a word: the commonest of 65,536 word buckets, counted over the whole corpus, are tokens of their own, the
-others share the rest by hash. The network reads the tokens left and right of a place and gives the token between
-a probability, in two softmax steps (its group, then its place in the group). Tasks train on their documents from common
-parameters and the averages of the tasks' parameters begin the next round; each document is trained on in one round. A
-document's score is the sum of the log-probabilities of all its tokens.
+All distinct words of the corpus are counted, and a word's probability is that of its class, by the network, times that of the
+word within its class, by the counts. The commonest words are classes of their own, the others share the rest by hash; the
+number of classes grows with the vocabulary. In each class words that were never counted have a share (Witten and Bell's).
+
+The network reads the classes left and right of a place and gives the class between a probability, in two softmax steps (its
+group, then its place in the group). Tasks train on their documents from common parameters and the averages of the tasks'
+parameters begin the next round; each document is trained on in one round. A document's score is the sum of the
+log-probabilities of all its words.
 """
 
 from __future__ import annotations
@@ -19,71 +22,77 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import VECTORS, WordHash, as_bytes, keep, rows_of, small_batches, sum_vectors, table, vector_rows
+from emberlog.llm.common import VECTORS, WordHash, as_bytes, keep, rows_of, small_batches, sum_vectors, table, vector_rows, with_key
 
-BUCKETS = 1 << 16
-GROUPS = 32
-TOKENS = GROUPS * GROUPS
 SIDE, WIDTH, HIDDEN = 2, 8, 32
 INPUT = 2 * SIDE * WIDTH
-SHAPES = {"embed": (TOKENS + 1, WIDTH), "w1": (INPUT, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, GROUPS), "bg": (GROUPS,), "wt": (GROUPS, HIDDEN, GROUPS), "bt": (GROUPS, GROUPS)}
+#: Log-probabilities of words in their classes are whole numbers of this fraction: their sums don't depend on the order.
+UNIT = 10**9
 PARTS = pa.schema([("name", pa.string()), ("chunk", pa.int32()), ("task", pa.int64()), ("weight", pa.float64()), ("values", pa.list_(pa.float64()))])
 
 
-def bucket(word: bytes) -> int:
-    """The bucket of a word."""
-    return xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)
+def word_hash(word: bytes) -> int:
+    """64 bits that stand for the word, signed."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def bucketed(texts: list[bytes], memo: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words of some texts, in lower case, and the number of words of each text."""
+def hashed(texts: list[bytes], memo: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, in lower case, and the number of words of each text."""
     words = [t.lower().split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    return np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int32, int(n.sum())), n
+    return np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum())), n
 
 
-def contexts(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each place the SIDE tokens before and after it in its text; TOKENS stands where the text ends."""
+def groups_of(distinct: int) -> int:
+    """Groups of classes, and classes in a group, for so many distinct words: about 4 * sqrt(distinct) classes, as two bytes hold them."""
+    return int(min(max(np.ceil(2 * distinct**0.25), 32), 255))
+
+
+def shapes(groups: int) -> dict[str, tuple[int, ...]]:
+    """The network's parameters."""
+    return {"embed": (groups * groups + 1, WIDTH), "w1": (INPUT, HIDDEN), "b1": (HIDDEN,), "wg": (HIDDEN, groups), "bg": (groups,), "wt": (groups, HIDDEN, groups), "bt": (groups, groups)}
+
+
+def contexts(ids: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
+    """For each place the SIDE tokens before and after it in its text; ``end`` stands where the text ends."""
     doc = np.repeat(np.arange(len(n)), n)
-    padded = np.full(len(ids) + 2 * SIDE, TOKENS, np.int32)
+    padded = np.full(len(ids) + 2 * SIDE, end, np.int32)
     padded[SIDE : len(ids) + SIDE] = ids
     owner = np.full(len(ids) + 2 * SIDE, -1)
     owner[SIDE : len(ids) + SIDE] = doc
     out = np.empty((len(ids), 2 * SIDE), np.int32)
     for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         at = slice(SIDE + d, SIDE + d + len(ids))
-        out[:, k] = np.where(owner[at] == doc, padded[at], TOKENS)
+        out[:, k] = np.where(owner[at] == doc, padded[at], end)
     return out
 
 
 @dataclass
 class WindowNetwork:
-    """The parameters by name, and the token of each bucket."""
+    """The parameters by name, and the number of groups."""
 
     p: dict[str, np.ndarray]
-    token: np.ndarray
+    groups: int
 
     @staticmethod
-    def begun(counts: np.ndarray, seed: int) -> WindowNetwork:
-        """Small random parameters; tokens by the buckets' counts, three quarters of them for the commonest."""
-        own = TOKENS * 3 // 4
-        token = own + np.arange(BUCKETS) * 2654435761 // 65536 % (TOKENS - own)
-        token[np.lexsort((np.arange(BUCKETS), -counts))[:own]] = np.arange(own)
+    def begun(groups: int, seed: int) -> WindowNetwork:
+        """Small random parameters."""
         draw = np.random.default_rng(seed)
-        p = {k: (draw.normal(0, 0.1, s) if len(s) > 1 and k != "bt" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
-        return WindowNetwork(p, token.astype(np.int32))
+        p = {k: (draw.normal(0, 0.1, s) if len(s) > 1 and k != "bt" else np.zeros(s)).astype(np.float32) for k, s in shapes(groups).items()}
+        return WindowNetwork(p, groups)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in SHAPES])
+        return np.concatenate([self.p[k].ravel() for k in shapes(self.groups)])
 
     def filled(self, flat: np.ndarray) -> WindowNetwork:
         """A network with these parameters."""
         at, p = 0, {}
-        for k, s in SHAPES.items():
+        for k, s in shapes(self.groups).items():
             n = int(np.prod(s))
             p[k] = flat[at : at + n].reshape(s).astype(np.float32)
             at += n
-        return WindowNetwork(p, self.token)
+        return WindowNetwork(p, self.groups)
 
     def forward(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, hidden values and the probabilities of groups."""
@@ -94,11 +103,11 @@ class WindowNetwork:
 
     def within(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
         """Places in the order of their token's group, their hidden values and scores of the tokens in the group, and each group's part."""
-        group = (ids // GROUPS).astype(np.uint8)
+        group = (ids // self.groups).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        parts = [(g, slice(edge[g], edge[g + 1])) for g in range(GROUPS) if edge[g + 1] > edge[g]]
-        hs, z = h[order], np.empty((len(ids), GROUPS), np.float32)
+        edge = np.searchsorted(group[order], np.arange(self.groups + 1))
+        parts = [(g, slice(edge[g], edge[g + 1])) for g in range(self.groups) if edge[g + 1] > edge[g]]
+        hs, z = h[order], np.empty((len(ids), self.groups), np.float32)
         for g, at in parts:
             np.matmul(hs[at], self.p["wt"][g], out=z[at])
             z[at] += self.p["bt"][g]
@@ -109,28 +118,28 @@ class WindowNetwork:
         _, h, pg = self.forward(ctx)
         row, out = np.arange(len(ids)), np.empty(len(ids))
         order, _, z, _ = self.within(h, ids)
-        out[order] = np.log(np.maximum(softmax(z)[row, ids[order] % GROUPS], 1e-30))
-        return out + np.log(np.maximum(pg[row, ids // GROUPS], 1e-30))
+        out[order] = np.log(np.maximum(softmax(z)[row, ids[order] % self.groups], 1e-30))
+        return out + np.log(np.maximum(pg[row, ids // self.groups], 1e-30))
 
     def step(self, ids: np.ndarray, ctx: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> None:
         """One step of gradient descent on a batch, each parameter by its own past gradients."""
         p, n = self.p, len(ids)
         row = np.arange(n)
         x, h, pg = self.forward(ctx)
-        pg[row, ids // GROUPS] -= 1
+        pg[row, ids // self.groups] -= 1
         grad = {"wg": h.T @ pg, "bg": pg.sum(axis=0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
         order, hs, z, parts = self.within(h, ids)
-        q, dh = softmax(z), np.empty_like(h)
-        q[row, ids[order] % GROUPS] -= 1
+        q, dh, back = softmax(z), np.empty_like(h), np.empty_like(hs)
+        q[row, ids[order] % self.groups] -= 1
         for g, at in parts:
             grad["wt"][g], grad["bt"][g] = hs[at].T @ q[at], q[at].sum(axis=0)
-            np.matmul(q[at], p["wt"][g].T, out=z[at])
-        dh[order] = z
+            np.matmul(q[at], p["wt"][g].T, out=back[at])
+        dh[order] = back
         dh += pg @ p["wg"].T
         dz = dh * (1 - h * h)
         grad["w1"], grad["b1"] = x.T @ dz, dz.sum(axis=0)
         dx = (dz @ p["w1"].T).reshape(n, 2 * SIDE, WIDTH)
-        grad["embed"] = np.stack([np.bincount(ctx.ravel(), dx[:, :, j].ravel(), TOKENS + 1) for j in range(WIDTH)], axis=1)
+        grad["embed"] = np.stack([np.bincount(ctx.ravel(), dx[:, :, j].ravel(), self.groups**2 + 1) for j in range(WIDTH)], axis=1)
         for k, d in grad.items():
             d = (d / n).astype(np.float32)
             memory[k] += d * d
@@ -146,56 +155,142 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (a hash of id and text), n (words) and the words' buckets, two bytes each: every later pass reads these, not the texts."""
+    """doc_id, h (a hash of id and text), n (words) and the words' hashes, eight bytes each."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash(bucket)
+        memo = WordHash(word_hash)
         for whole in batches:
             for b in rows_of(whole, 1 << 20, "t"):
-                ids, n = bucketed(as_bytes(b.column("t")), memo)
-                packed = np.split(ids.astype(np.uint16), np.cumsum(n)[:-1])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "h", "n", "words"])
+                ids, n = hashed(as_bytes(b.column("t")), memo)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n), pieces(ids, n)], ["doc_id", "h", "n", "words"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("doc_id", "t"))
     return rows.mapInArrow(coded, "doc_id long, h long, n long, words binary")
 
 
-def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all words of a batch, and the number of words of each text."""
-    return np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint16).astype(np.int32), b.column("n").to_numpy(zero_copy_only=False)
+def pieces(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The bytes of each text's values."""
+    return pa.array([x.tobytes() for x in np.split(values, np.cumsum(n)[:-1])], pa.binary())
+
 
+def unpacked(b: pa.RecordBatch, column: str = "tokens", kind: type = np.uint16) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all words of a batch, and the number of words of each text."""
+    return np.frombuffer(b"".join(b.column(column).to_pylist()), kind), b.column("n").to_numpy(zero_copy_only=False)
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many words of the corpus fall in each bucket."""
+
+def word_counts(rows: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """(w, count) of all distinct words; tasks add up about ``most`` words at a time before they are shuffled."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS)
-        for b in batches:
-            sums += np.bincount(unpacked(b)[0], minlength=BUCKETS)
-        if sums.any():
-            for pdf in vector_rows("n", sums, 1):
-                yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(unpacked(b, "words", np.int64)[0])
+                size += len(held[-1])
+            if size > most or b is None and size:
+                w, n = np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64))], ["w", "n"])
+
+    return rows.select("n", "words").mapInArrow(counted, "w long, n long").groupBy("w").agg(F.sum("n").alias("count"))
+
+
+@dataclass
+class Vocabulary:
+    """The commonest words' hashes in order, their tokens and log-probabilities within them; and the other words, (w, lp), or None."""
+
+    groups: int
+    own: int
+    words: np.ndarray
+    token: np.ndarray
+    lp: np.ndarray
+    rare: DataFrame | None
+    #: Log-probability of all words that weren't counted, for each token.
+    unseen: np.ndarray
+
+    def shared(self) -> int:
+        return self.groups**2 - self.own
+
+
+def vocabulary(rows: DataFrame, head: int) -> Vocabulary:
+    """Tokens and probabilities of all words from their counts. About ``head`` words at most are collected."""
+    spark = rows.sparkSession
+    counts = keep(word_counts(rows).withColumn("level", F.floor(F.log2("count") * 8).cast("int")))
+    levels = sorted(((r["level"], r["n"]) for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    distinct, held, least = sum(n for _, n in levels), 0, 1 << 30
+    for level, n in levels:
+        held += n
+        if held > head:
+            break
+        least = level
+    groups = groups_of(distinct)
+    first = [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(groups**2 * 3 // 4).collect()]
+    own, shared = len(first), groups**2 - len(first)
+    tokens = with_key(counts, spark.createDataFrame(list(zip(first, range(own), strict=True)), "w long, place int"), "w")
+    tokens = tokens.withColumn("token", F.coalesce("place", (F.lit(own) + F.pmod("w", F.lit(shared))).cast("int")))
+    totals = keep(tokens.groupBy("token").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")))
+    known = keep(tokens.join(F.broadcast(totals), "token").select("w", "token", (F.col("place").isNotNull() | (F.col("level") >= least)).alias("common"), F.round(F.log(F.col("count") / (F.col("total") + F.col("kinds"))) * UNIT).cast("long").alias("lp")))
+    common = known.filter("common").select("w", "token", "lp").toArrow().sort_by("w")
+    unseen = np.zeros(groups**2, np.int64)
+    for r in totals.collect():
+        unseen[r["token"]] = round(np.log(r["kinds"] / (r["total"] + r["kinds"])) * UNIT)
+    return Vocabulary(groups, own, *(common.column(k).to_numpy().astype(t) for k, t in (("w", np.int64), ("token", np.uint16), ("lp", np.int64))), None if len(common) == distinct else known.filter("not common").select("w", "lp"), unseen)
+
+
+def tokens_of(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """row, doc_id, h, n, the words' tokens, two bytes each, lp (the sum of the common words' log-probabilities within their tokens) and
+    the hashes of the other words: training and scoring read these."""
+    table = rows.sparkSession.sparkContext.broadcast((v.words, v.token, v.lp, v.own, v.shared()))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, token, lp, own, shared = table.value
+        for whole in batches:
+            for b in rows_of(whole, 1 << 21, "words"):
+                ids, n = unpacked(b, "words", np.int64)
+                at = np.minimum(np.searchsorted(words, ids), max(len(words) - 1, 0))
+                hit = words[at] == ids if len(words) else np.zeros(len(ids), bool)
+                if hit.all():
+                    mine, sums = token[at], lp[at]
+                else:
+                    mine, sums = (own + ids % shared).astype(np.uint16), np.zeros(len(ids), np.int64)
+                    mine[hit], sums[hit] = token[at[hit]], lp[at[hit]]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                upto, strays = np.concatenate([[0], np.cumsum(sums)]), np.concatenate([[0], np.cumsum(~hit)])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("h"), b.column("n"), pieces(mine, n), pa.array(upto[ends[1:]] - upto[ends[:-1]]), pieces(ids[~hit], strays[ends[1:]] - strays[ends[:-1]])], ["row", "doc_id", "h", "n", "tokens", "lp", "rare"])
+
+    return rows.mapInArrow(coded, "row long, doc_id long, h long, n long, tokens binary, lp long, rare binary")
+
+
+def rare_sums(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """(row, more): the sum of the rare words' log-probabilities within their tokens. A rare word has few places, so no key is large."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in rows_of(whole, 1 << 20, "rare"):
+                ids = [np.frombuffer(x, np.int64) for x in b.column("rare").to_pylist()]
+                row = np.repeat(b.column("row").to_numpy(), [len(x) for x in ids])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(ids))], ["row", "w"])
 
-    found = sum_vectors(docs.select("n", "words").mapInArrow(counted, VECTORS))
-    return found["n"][1] if found else np.zeros(BUCKETS)
+    places = rows.filter("length(rare) > 0").select("row", "rare").mapInArrow(listed, "row long, w long")
+    unseen = F.get(F.array(*[F.lit(int(x)) for x in v.unseen[v.own :]]), F.pmod("w", F.lit(v.shared())).cast("int"))
+    return places.join(v.rare, "w", "left").groupBy("row").agg(F.sum(F.coalesce("lp", unseen)).alias("more"))
 
 
-def train(docs: DataFrame, rounds: int, batch: int, rate: float, seed: int) -> WindowNetwork:
+def train(docs: DataFrame, groups: int, rounds: int, batch: int, rate: float, seed: int) -> WindowNetwork:
     """The network after all rounds; round r takes the documents whose hash is r modulo ``rounds``."""
     spark = docs.sparkSession
-    net = WindowNetwork.begun(bucket_counts(docs), seed)
+    net = WindowNetwork.begun(groups, seed)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             mine = shared.value.filled(shared.value.flat())
-            memory = {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}
+            memory = {k: np.full(s, 1e-3, np.float32) for k, s in shapes(groups).items()}
             seen = 0
             for whole in batches:
-                for b in rows_of(whole, 1 << 18, "words"):
+                for b in rows_of(whole, 1 << 18, "tokens"):
                     ids, n = unpacked(b)
-                    ids = mine.token[ids]
-                    ctx = contexts(ids, n)
+                    ctx = contexts(ids, n, groups * groups)
                     for at in range(0, len(ids), batch):
                         mine.step(ids[at : at + batch], ctx[at : at + batch], memory, rate)
                     seen += len(ids)
@@ -204,38 +299,43 @@ def train(docs: DataFrame, rounds: int, batch: int, rate: float, seed: int) -> W
                     yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
 
         part = docs.filter(F.pmod("h", F.lit(rounds)) == r)
-        found = sum_vectors(part.select("n", "words").mapInArrow(learn, VECTORS))
+        found = sum_vectors(part.select("n", "tokens").mapInArrow(learn, VECTORS))
         if found:
             net = net.filled(found["p"][1] / found["p"][0])
     return net
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, batch: int = 8192, rate: float = 0.1, seed: int = 1) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, batch: int = 8192, rate: float = 0.1, seed: int = 1, head: int = 1 << 18) -> DataFrame:
     """Trains on all texts and scores all: doc_id, n_tokens, log_prob (their sum), mean_log_prob.
 
     Null, empty and blank texts have no token: log_prob 0, mean_log_prob null. Equal texts get equal scores; ids may repeat
-    or be null. An empty table gives no rows.
+    or be null. An empty table gives no rows. Tasks hold about ``head`` of the commonest words; the probabilities of others are
+    joined, so ``head`` doesn't change the scores.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = keep(words_of(docs, id_col, text_col))
-    shared = spark.sparkContext.broadcast(train(rows, rounds, batch, rate, seed))
+    rows = keep(words_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    known = vocabulary(rows, head)
+    rows = keep(tokens_of(rows, known))
+    shared = spark.sparkContext.broadcast(train(rows, known.groups, rounds, batch, rate, seed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for whole in batches:
-            for b in rows_of(whole, 1 << 18, "words"):
+            for b in rows_of(whole, 1 << 18, "tokens"):
                 ids, n = unpacked(b)
-                ids = net.token[ids]
-                ctx, lp = contexts(ids, n), np.zeros(len(ids) + 1)
+                ctx, lp = contexts(ids, n, net.groups**2), np.zeros(len(ids) + 1)
                 for at in range(0, len(ids), batch):
                     lp[1 + at : 1 + min(at + batch, len(ids))] = net.log_probability(ids[at : at + batch], ctx[at : at + batch])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 total = np.array([lp[1 + a : 1 + z].sum() for a, z in zip(ends, ends[1:], strict=False)])
-                mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total, pa.float64()), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n), pa.array(total, pa.float64()), b.column("lp")], ["row", "doc_id", "n_tokens", "net", "lp"])
 
-    return rows.select("doc_id", "n", "words").mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    out = rows.select("row", "doc_id", "n", "tokens", "lp").mapInArrow(score, "row long, doc_id long, n_tokens long, net double, lp long")
+    if known.rare is not None:
+        out = out.join(rare_sums(rows, known), "row", "left").withColumn("lp", F.col("lp") + F.coalesce("more", F.lit(0)))
+    log_prob = F.col("net") + F.col("lp") / F.lit(float(UNIT))
+    return out.select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

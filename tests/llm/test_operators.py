@@ -1,8 +1,12 @@
 """The ten operators on small tables: null, empty, repeated and tied rows, and brute force where it is exact."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
 from emberlog.llm import decontaminate, exact_dedup, html_text, langid, lm_score, mixing, near_dedup, substring_dedup
 
@@ -92,6 +96,52 @@ def test_scores_of_odd_texts(docs):
     assert len(got) == docs.count() and got[900]["log_prob"] == 0 and got[901]["mean_log_prob"] is None and got[0]["log_prob"] < 0
 
 
+def test_scores_tell_words_of_one_bucket_apart(spark):
+    seen = {}
+    for i in range(100_000):  # two words that a hash of 16 bits doesn't tell apart
+        w = f"x{i}"
+        common = seen.setdefault(xxhash.xxh3_64_intdigest(w.encode()) & 0xFFFF, w)
+        if common != w:
+            break
+    rows = spark.createDataFrame([(i, common) for i in range(200)] + [(900, w)], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.lm_score(rows).collect()}
+    assert got[900] < got[0] - 0.5
+
+
+def test_words_in_their_classes(spark):
+    draw = random.Random(5)
+    words = [f"v{min(int(draw.paretovariate(0.5)), 10**5)}" for _ in range(17_000)] + [f"u{i}" for i in range(3_000)]
+    draw.shuffle(words)
+    rows = spark.createDataFrame([(i, " ".join(words[i * 100 : i * 100 + 100])) for i in range(200)], "doc_id long, text string").coalesce(1)
+    counts = Counter(words)
+    mine = lm_score.words_of(rows, "doc_id", "text")
+    v = lm_score.vocabulary(mine, 1 << 18)
+    assert len(v.words) == len(counts) > 3000 and v.groups == lm_score.groups_of(len(counts))
+    at = {h: k for k, h in enumerate(v.words.tolist())}
+    total, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        token = int(v.token[at[lm_score.word_hash(w.encode())]])
+        total[token] += n
+        kinds[token] += 1
+    for w, n in counts.items():
+        k = at[lm_score.word_hash(w.encode())]
+        token = int(v.token[k])
+        assert abs(v.lp[k] / lm_score.UNIT - math.log(n / (total[token] + kinds[token]))) < 1e-8
+    few = {r["doc_id"]: r["log_prob"] for r in lm_score.lm_score(rows, head=100).collect()}
+    assert few == pytest.approx({r["doc_id"]: r["log_prob"] for r in lm_score.lm_score(rows).collect()}, abs=1e-6)
+
+
+def test_network_of_more_classes_learns():
+    net = lm_score.WindowNetwork.begun(40, 1)
+    ids = np.tile(np.arange(0, 1600, 16), 20).astype(np.uint16)
+    ctx = lm_score.contexts(ids, np.array([len(ids)]), 1600)
+    before = net.log_probability(ids, ctx).mean()
+    memory = {k: np.full(s, 1e-3, np.float32) for k, s in lm_score.shapes(40).items()}
+    for _ in range(50):
+        net.step(ids, ctx, memory, 0.1)
+    assert net.log_probability(ids, ctx).mean() > before + 1
+
+
 def test_language_of_odd_texts(docs):
     model = langid.train(docs, "text", "lang")
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
