@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame functions only.
 
-Every source's documents are shuffled into one stream of words and cut into blocks of equal words. Slot i of the mix is
-the i-th golden-ratio point of [0, 1), mapped through the cumulative targets of the sources; the slots of a source,
-ranked, take its blocks in turn and begin again when the stream ends. A document gets the words of it that its blocks
+Every source's documents are shuffled into one stream of words and cut into blocks of equal words, by the source's own size. Slot i
+of the mix is the i-th golden-ratio point of [0, 1), mapped through the cumulative targets of the sources, counted in their
+blocks; the slots of a source, ranked, take its blocks in turn and begin again when the stream ends. A document gets the words of it that its blocks
 hold, as often as they are taken.
 """
 
@@ -68,9 +68,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Takes words of all sources by their targets: doc_id, size, source_size, target, taken, source, first_slot.
 
     A size is a text's words (null: 0). The sources' targets share ``share`` of all sizes by weight; none exceeds
-    ``most`` times its source's size, and the excess goes to the others. A block has so many words that there are
-    ``slots_a_source`` slots for each source, ``block_words`` at most. A source's taken words differ from its target by
-    a few blocks; blocks past ``most`` passes over a source are left out, so no document exceeds ``most`` times its size.
+    ``most`` times its source's size, and the excess goes to the others. A source's block has so many words that it
+    has ``slots_a_source`` blocks, one word at least and ``block_words`` at most. A source's taken words differ from its target by
+    a few of its blocks; blocks past ``most`` passes over a source are left out, so no document exceeds ``most`` times its size.
     first_slot is where in the mix a document's first block comes (null: never).
 
     Null sources are one source, the last. Documents without words take none and stay in the result. Rows that repeat an
@@ -80,22 +80,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = keep(rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     sizes = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = keep(sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("src").isNull(), "src"))).coalesce(1))
-    total, count = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
-    block = int(min(max(total // (slots_a_source * max(count, 1)), 1), block_words))
-    slots = int(round(total / block))
-    upto = F.sum("target").over(Window.orderBy("k"))
+    length = F.least(F.greatest(F.expr(f"source_size div {slots_a_source}"), F.lit(1)), F.lit(block_words)).cast("long")
+    sources = keep(sources.withColumn("length", length).withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long")))
+    total, count = sources.agg(F.coalesce(F.sum(F.col("target") / F.col("length")), F.lit(0.0)), F.count("*")).first()
+    slots = int(round(total))
+    upto = F.sum(F.col("target") / F.col("length")).over(Window.orderBy("k"))
     edges = sources.withColumn("hi", F.round(upto / F.lit(max(total, 1.0)) * ONE).cast("long")).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("k")), F.lit(0)))
-    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    taken = schedule(edges.select("k", "lo", "hi"), slots).join(F.broadcast(sources.select("k", blocks.alias("blocks"))) if count <= 10_000 else sources.select("k", blocks.alias("blocks")), "k")
+    taken = schedule(edges.select("k", "lo", "hi"), slots).join(F.broadcast(sources.select("k", "blocks")) if count <= 10_000 else sources.select("k", "blocks"), "k")
     taken = taken.filter(F.col("blocks") > 0).filter(F.col("turn") < F.col("blocks") * int(most)).groupBy("k", F.expr("turn % blocks").alias("block")).agg(F.count("*").alias("times"), F.min("slot").alias("first_slot"))
 
-    one = sources.select("src", "k", "source_size", "target")
+    one = sources.select("src", "k", "source_size", "target", "length")
     same = F.broadcast(one) if count <= 10_000 else one
     placed = rows.join(same, rows["src"].eqNullSafe(one["src"])).drop(one["src"])
     chunks = max(1, min(1 << 16, rows.count() // 4096))
     placed = keep(running(placed, ["k"], F.pmod("h", F.lit(chunks)), ["h", "doc_id", "size"], "size", "start"))
-    parts = placed.filter("size > 0").select("k", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    parts = placed.filter("size > 0").select("k", "start", "size", "length", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest(F.col("start"), F.col("block") * F.col("length"))
     got = parts.join(taken, ["k", "block"]).groupBy("k", "start", F.lit(True).alias("has")).agg(F.sum(words * F.col("times")).alias("taken"), F.min("first_slot").alias("first_slot"))
     out = placed.withColumn("has", F.col("size") > 0).join(got, ["k", "start", "has"], "left")  # with words, k and start name one row
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("src").alias("source"), "first_slot")

@@ -84,6 +84,16 @@ def test_mixing_keeps_targets_and_reruns_agree(docs):
     assert all(abs(taken - target) <= 0.02 * target + 2 for target, taken in by.values())
 
 
+def test_mixing_keeps_the_targets_of_small_sources(spark):
+    rows = [(i, "w " * 500, "hot") for i in range(2000)] + [(5000 + i, "w " * 5, "tiny") for i in range(4)] + [(6000 + i, "w " * 50, None) for i in range(3)]
+    by = {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        assert r["taken"] <= 2 * r["size"]
+        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert by["tiny"][0] == 40 and by[None][0] == 300
+    assert all(abs(taken - target) <= 0.02 * target + 2 for target, taken in by.values()), by
+
+
 def test_html_blocks(spark):
     page = "<html><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two</p><script>x</script></article><footer>f</footer></html>"
     rows = spark.createDataFrame([(1, "http://h/a", page), (2, None, None), (3, "http://h/b", "")], "page_id long, url string, html string")
