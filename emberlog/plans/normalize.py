@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +63,10 @@ def finished(events: DataFrame) -> DataFrame:
     return envelope.seal(events).select(*EVENT)
 
 
-def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms: int | None = None, staging: str | None = None, raw: str = "raw", rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms: int | None = None, staging: str | None = None, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Events and dead letters of the lines in ``df`` (a column of raw text; source and received_ms if there are any).
 
-    A line goes to the first pack that takes it; where that pack fails, the next one tries, up to ``rounds``; the rest becomes an
+    A line goes to the first pack that takes it; where that pack fails, the next one tries, until none is left; the rest becomes an
     event by field names. ``now_ms`` is the clock for stamps without a year. Lines are staged under ``staging``, a folder
     that driver and executors share, twice: by pack, and with their fields by class rule.
     """
@@ -79,7 +80,7 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
     made: list[DataFrame] = []
     rest: list[DataFrame] = []
     dead = None
-    for n in range(rounds):
+    for n in count():  # ends when no line has a pack left to try
         todo = staged(todo, f"{path}/lines-{n}", "pack_no")
         if dead is None:
             dead = guard.dead_letters(todo.filter("pack_no = -2"))
@@ -93,9 +94,7 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
         failed = reduce(DataFrame.unionByName, again) if again else None
         if failed is None or failed.isEmpty():
             break
-        todo = failed.withColumn("pack_no", F.coalesce(F.get("candidates", F.lit(n + 1)), F.lit(-1)) if n + 2 < rounds else F.lit(-1))
-        if n + 1 == rounds:
-            rest.append(todo)
+        todo = failed.withColumn("pack_no", F.coalesce(F.get("candidates", F.lit(n + 1)), F.lit(-1)))
     left = staged(numbered(reduce(DataFrame.unionByName, rest)), f"{path}/rest", None)
     if not made or not left.isEmpty():
         made.append(mapper.fallback_events(left, now))

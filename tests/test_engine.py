@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.network import canonical_ip, in_network
 from emberlog.functions.text import snake
 from emberlog.operators import correlate, detect, extract, lineage
+from emberlog.plans.normalize import normalize
 
 
 def one(spark, column):
@@ -56,3 +57,9 @@ def test_merkle_roots_of_odd_and_single_batches(spark):
 def test_threshold_is_inclusive_and_forgets(spark):
     hits = spark.createDataFrame([("a", t) for t in (0, 5, 10, 11, 12, 13)] + [("b", 0), ("b", 11), ("b", 22)], "lane string, t long")
     assert sorted(map(tuple, correlate.threshold(hits, "lane", "t", 3, 10).collect())) == [("a", 10), ("a", 13)]
+
+
+def test_all_candidates_are_tried(spark):
+    packs = [{"id": i, "version": "1.0", "match": {"contains": ["k="]}, "parse": [{"type": kind}], "classes": [{"name": "all", "class": "network_activity"}]} for i, kind in (("a", "json"), ("b", "json"), ("c", "json"), ("d", "kv"))]
+    lines = spark.createDataFrame([("k=1 src=10.0.0.1",)], "raw string")
+    assert [r["pack"] for r in normalize(lines, packs, now_ms=0)[0].select("pack").collect()] == ["d@1.0"]
