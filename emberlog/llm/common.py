@@ -30,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one, if they are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="emberlog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -61,6 +64,34 @@ def with_key(df: DataFrame, key: DataFrame, on: str, hint: str = "left") -> Data
     return df.join(F.broadcast(key) if key.count() <= BROADCAST_ROWS else key, on, hint)
 
 
+def text_hash(text_col: str) -> Column:
+    """A hash that names a text."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def without_rows(docs: DataFrame, id_col: str, text_col: str, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that were kept, by decisions (doc_id, th, kept, and, where rows may repeat, repeats) on their id and text.
+
+    Only ids and hashes of rows that go are joined. Of kept rows that repeat an id and a text, one stays.
+    """
+
+    def same(keys: DataFrame):
+        return docs[id_col].cast("long").eqNullSafe(keys["_gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == keys["_gone_th"])
+
+    def keys_of(rows: DataFrame) -> DataFrame:
+        rows = keep(rows.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")))
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    gone = keys_of(decisions.filter("not kept").select("doc_id", "th").distinct())
+    left = docs.join(gone, same(gone), "left_anti")
+    if "repeats" not in decisions.columns:
+        return left
+    many = keys_of(decisions.filter("kept and repeats").groupBy("doc_id", "th").count().filter("count > 1"))
+    if many.isEmpty():
+        return left
+    return left.join(many, same(many), "left_anti").unionByName(left.join(many, same(many), "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """Joins rows with one row for each group of them, where a group may hold a third of all rows.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import keep, small_batches, table, with_key
+from emberlog.llm.common import small_batches, table, text_hash, without_rows
 
 OTHER = re.compile(r"[\W_]+")
 
@@ -60,7 +60,7 @@ def myers(pattern: str, text: str) -> int:
     return best
 
 
-def machine(items: list[tuple[int, str]], rate: float) -> ahocorasick.Automaton:
+def machine(items: list[tuple[int | None, str]], rate: float) -> ahocorasick.Automaton:
     """The automaton over all pieces; each names the items and offsets that it comes from."""
     found: dict[str, list[tuple[int, int]]] = {}
     for k, (_, item) in enumerate(items):
@@ -73,7 +73,7 @@ def machine(items: list[tuple[int, str]], rate: float) -> ahocorasick.Automaton:
     return out
 
 
-def matches(text: str, items: list[tuple[int, str]], auto: ahocorasick.Automaton, rate: float) -> dict[int, int]:
+def matches(text: str, items: list[tuple[int | None, str]], auto: ahocorasick.Automaton, rate: float) -> dict[int, int]:
     """The items that occur in a plain text within their budget: {place in items: distance}."""
     places: dict[int, set[int]] = {}
     for end, (n, origins) in auto.iter(text):
@@ -104,17 +104,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``block_chars`` characters at most, one scan each, so that no broadcast grows with the benchmark.
 
     Null and empty texts quote nothing; items without a letter or digit match nothing; best_distance is null for clean
-    documents. Each row of ``docs`` gets a row, repeated ids too. Items that repeat are reported under each id.
+    documents. Each row of ``docs`` gets a row, repeated ids too. Items that repeat are reported under each id; items without
+    an id are searched like any other and reported as one null id, the last. Without items every document is clean.
     """
+    return judged(docs, benchmark, id_col, text_col, item_col, item_text_col, error_rate, block_chars).drop("th")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, block_chars: int = 8_000_000) -> DataFrame:
+    """What ``contamination`` returns, with th, a hash of the text."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).filter("t is not null and i is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).filter("t is not null")
     blocks = 1 + (items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.array().cast("array<struct<i:bigint,d:int>>").alias("found"))
     kind = "doc_id long, t string, found array<struct<i:bigint,d:int>>"
     for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(sorted((r["i"], plain(r["t"])) for r in mine if plain(r["t"]).strip()))
+        mine = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
+        shared = spark.sparkContext.broadcast(sorted(((r["i"], plain(r["t"])) for r in mine if plain(r["t"]).strip()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             auto = machine(shared.value, error_rate)
@@ -127,13 +133,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         rows = rows.mapInArrow(scan, kind)
     ids = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["i"])))
-    return rows.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.transform("found", lambda x: x["d"])).alias("best_distance"))
+    return rows.select("doc_id", text_hash("t").alias("th"), (F.size("found") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.transform("found", lambda x: x["d"])).alias("best_distance"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that quote no item. Rows with a null id can't be named and stay."""
-    gone = keep(contamination(docs, benchmark, id_col, text_col).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct())
-    return with_key(docs, gone, id_col, "left_anti")
+    """The rows of ``docs`` that quote no item, with all their columns.
+
+    A decision holds for the row's id and text together: another text of the same id, or of a null id, stays. Rows that repeat
+    both stay or go alike; null and empty texts stay. An empty table stays empty.
+    """
+    return without_rows(docs, id_col, text_col, judged(docs, benchmark, id_col, text_col).withColumn("kept", ~F.col("contaminated")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

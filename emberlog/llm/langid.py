@@ -76,7 +76,8 @@ def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: DataFrame, text_col: str, lang_col: str, rows_a_language: int = 1200, parts: tuple[int, ...] = (60, 250), cost: float = 1.0) -> LanguageModel:
-    """Fits all machines on ``rows_a_language`` rows of each language, the first by a hash of their text.
+    """Fits all machines on ``rows_a_language`` different texts of each language, the first by a hash of the text. Only their features,
+    FEATURES a text at most, come to the driver.
 
     Besides the whole text, parts of it in the sizes of ``parts`` (in bytes) are learnt, since documents may be short. Languages
     that no row names can't be predicted; without any row, everything is ``und``.
@@ -85,15 +86,20 @@ def train(rows: DataFrame, text_col: str, lang_col: str, rows_a_language: int =
     keyed = rows.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).filter("t is not null and lang is not null").withColumn("h", F.xxhash64("t"))
     count = keyed.groupBy("lang").count()
     least = keyed.join(F.broadcast(count), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.lit(float(rows_a_language << 20)) / F.col("count") * 1.5 + 64)  # about as many as are asked for
-    ranked = least.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("n") <= rows_a_language)
-    got = sorted((r["lang"], r["t"]) for r in ranked.select("lang", "t").collect())
-    x, langs = [], []
-    for k, (lang, text) in enumerate(got):
-        if letters(text):
-            whole = ready(text)
-            for t in (whole, *windows(whole, parts, k)):
-                x.append(shares(t))
-                langs.append(lang)
+    ranked = least.dropDuplicates(["lang", "t"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("n") <= rows_a_language)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lang, text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if letters(text):
+                    whole = ready(text)
+                    out += [(lang, h, k, *shares(t)) for k, t in enumerate((whole, *windows(whole, parts, h % (1 << 32))))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3].tobytes() for r in out], pa.binary()), pa.array([r[4].tobytes() for r in out], pa.binary())], ["lang", "h", "part", "at", "share"])
+
+    got = ranked.select("lang", "t", "h").mapInArrow(featured, "lang string, h long, part int, at binary, share binary").collect()
+    got.sort(key=lambda r: (r["lang"], r["h"], r["part"], r["at"]))
+    x, langs = [(np.frombuffer(r["at"], np.uint32), np.frombuffer(r["share"])) for r in got], [r["lang"] for r in got]
     known = sorted(set(langs))
     of = {lang: FAMILY.get(lang.lower().split("-")[0].split("_")[0], lang) for lang in known}
     families = sorted(set(of.values()))
@@ -126,10 +132,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.families, model.languages, model.pairs, model.weight, model.bias))  # not the class: executors may lack it
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = LanguageModel(*shared.value)
         for whole in batches:
             for b in rows_of(whole, 1 << 20, "t"):
                 texts = [x.decode() for x in as_bytes(b.column("t"))]

@@ -38,13 +38,13 @@ class QualityModel:
 def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_fit_rows: int = 6000, smoothing: float = 1.0, cost: float = 1.0, blend: float = 0.25) -> QualityModel:
     """Fits the model on rows with an id, a text and a label 0 or 1.
 
-    The counts cover every row. The fit takes the ``max_fit_rows`` rows that come first by a hash of the id, a fifth of
+    The counts cover every row. Rows that repeat an id and a text are fitted once. The fit takes the ``max_fit_rows`` rows that come first by a hash of id and text, a fifth of
     them to turn margins into probabilities. ``blend`` mixes the fitted weights with their mean size, as usual for this
     model. With one class only, or no row, every score is that class's smoothed share.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
+    rows = labelled.select(F.xxhash64(id_col, F.col(text_col).cast("string")).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sums, n = np.zeros(FEATURES, np.uint8), np.zeros((2, FEATURES)), [0, 0]
@@ -65,10 +65,10 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_f
     one, zero = ((sums[y][1] + smoothing) / (sums[y][0] + 2 * smoothing) for y in ("1", "0"))
     ratio = np.log(one / zero)
 
-    first = rows.select("i", "y").orderBy(F.xxhash64("i"), "i").limit(max_fit_rows)
-    chosen = [r["i"] for r in first.select("i").distinct().collect()]
+    first = rows.select("i").orderBy("i").limit(max_fit_rows)
+    chosen = sorted({r["i"] for r in first.collect()})
     ids = spark.createDataFrame(pd.DataFrame({"i": chosen}), rows.select("i").schema)
-    got = rows.join(F.broadcast(ids), "i").mapInArrow(featured, "i long, y int, f binary").collect()
+    got = rows.join(F.broadcast(ids), "i").dropDuplicates(["i", "y"]).mapInArrow(featured, "i long, y int, f binary").collect()
     got.sort(key=lambda r: (r["i"], r["y"], r["f"]))
     order = np.random.default_rng(7).permutation(len(got))
     data = [(np.frombuffer(got[k]["f"], np.uint32), got[k]["y"]) for k in order]
@@ -101,13 +101,13 @@ def add_score(docs: DataFrame, model: QualityModel, text_col: str = "text", scor
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.slope, model.offset))  # not the class: executors may lack it
     at = docs.columns.index(text_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FEATURES, np.uint8)
+        seen, model = np.zeros(FEATURES, np.uint8), QualityModel(*shared.value)
         for b in batches:
-            s = [shared.value.score(t, seen) for t in as_bytes(b.column(at).cast(pa.string()))]
+            s = [model.score(t, seen) for t in as_bytes(b.column(at).cast(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, score_col])
 
     return docs.mapInArrow(scored, docs.withColumn(score_col, F.lit(0.0)).schema)
@@ -127,9 +127,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
 
 
 def without_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text scores the threshold or more."""
+    """The rows of ``docs`` whose text scores the threshold or more, with all their columns.
+
+    Null and empty texts score like a text without features. Rows that repeat a text stay or go alike, whatever their id. Without
+    labels every text scores 0.5 and stays. An empty table stays empty.
+    """
     model = train(labelled_documents(docs, labels), "doc_id", "text", "label")
-    return add_score(docs, model, score_col="_score").filter(F.col("_score") >= threshold).drop("_score")
+    name = next(n for i in range(len(docs.columns) + 1) if (n := f"_score{i}") not in docs.columns)
+    return add_score(docs, model, score_col=name).filter(F.col(name) >= threshold).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
