@@ -1,7 +1,8 @@
 """Correlation over lanes: thresholds and stage sequences, folded in time order with a state of bounded size.
 
 Hits of a lane that are further apart than the rule's window can't belong to one alert. Lanes are cut there into runs, the runs are dealt
-out and sorted by Spark, and each task folds its rows one after another, so neither a hot lane nor a long run is ever held whole.
+out and sorted by Spark, and each task folds its rows one after another, so neither a hot lane nor a long run is ever held whole. A run, however
+long, is one task's: a lane that never rests for the length of a window is not divided.
 """
 
 from __future__ import annotations
@@ -15,14 +16,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def runs(hits: DataFrame, window_ms: int) -> DataFrame:
+    """``hits`` with ``run``, which rises in a lane wherever two hits in a row are further apart than the window.
+
+    Hits of one stretch of the window's length never are, so only the stretches' first and last hits, one row for each
+    lane and stretch, are put in order; a hot lane's rows are not.
+    """
+    hits = hits.withColumn("stretch", F.expr(f"floor(at_ms / {window_ms})"))
+    ends = hits.groupBy("lane", "stretch").agg(F.min("at_ms").alias("low"), F.max("at_ms").alias("high"))
+    in_time = Window.partitionBy("lane").orderBy("stretch")
+    ends = ends.withColumn("apart", F.coalesce((F.col("low") - F.lag("high").over(in_time) > window_ms).cast("int"), F.lit(0)))
+    ends = ends.withColumn("run", F.sum("apart").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return hits.join(ends.select("lane", "stretch", "run"), ["lane", "stretch"]).drop("stretch")
+
+
 def folded(hits: DataFrame, window_ms: int | None, start: Callable[[], object], order: list[str]) -> DataFrame:
     """(lane, at_ms) where ``start()(at_ms, row)`` says alert; ``hits`` has lane, at_ms and what the rule reads. ``order`` settles ties."""
-    in_time = Window.partitionBy("lane").orderBy("at_ms", *order)
-    if window_ms:
-        apart = (F.col("at_ms") - F.lag("at_ms").over(in_time) > window_ms).cast("int")
-        hits = hits.withColumn("run", apart).withColumn("run", F.coalesce(F.sum("run").over(in_time.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    else:
-        hits = hits.withColumn("run", F.lit(0).cast("bigint"))
+    hits = runs(hits, window_ms) if window_ms else hits.withColumn("run", F.lit(0).cast("bigint"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, step = None, None
@@ -38,6 +48,15 @@ def folded(hits: DataFrame, window_ms: int | None, start: Callable[[], object],
     return hits.repartition("lane", "run").sortWithinPartitions("lane", "run", "at_ms", *order).mapInPandas(fold, "lane string, at_ms long")
 
 
+def values_of(value: object) -> list:
+    """A row's values of a field: none, one or several; a missing number is none."""
+    if isinstance(value, str):
+        return [value]
+    if hasattr(value, "__len__"):
+        return [v for v in value if v is not None]
+    return [] if value is None or value != value else [value]
+
+
 class Threshold:
     """``least`` hits within the window, both ends included, of ``distinct`` values at least; an alert forgets the hits before it."""
 
@@ -48,10 +67,12 @@ class Threshold:
 
     def __call__(self, at_ms: int, row: object) -> bool:
         self.times.append(at_ms)
-        if self.distinct > 1 and row.value is not None:
-            self.values[row.value] = at_ms
-            if self.window_ms:
-                self.values = {k: t for k, t in self.values.items() if at_ms - t <= self.window_ms}
+        if self.distinct > 1:
+            for v in values_of(row.value):
+                self.values.pop(v, None)
+                self.values[v] = at_ms  # the latest last
+            while self.window_ms and self.values and at_ms - next(iter(self.values.values())) > self.window_ms:
+                del self.values[next(iter(self.values))]
         enough = len(self.times) == self.times.maxlen and not (self.window_ms and at_ms - self.times[0] > self.window_ms)
         if not enough or (self.distinct > 1 and len(self.values) < self.distinct):
             return False
@@ -85,7 +106,7 @@ class Sequence:
             if (self.window_ms and at_ms - self.began > self.window_ms) or (gap and self.last is not None and at_ms - self.last > gap):
                 self.clear()
         stage = self.stages[self.at]
-        same = all(getattr(row, mine) is not None and getattr(row, mine) == self.seen.get(n, {}).get(theirs) for mine, n, theirs in stage.same)
+        same = all(set(map(str, values_of(getattr(row, mine)))) & set(map(str, values_of(self.seen.get(n, {}).get(theirs)))) for mine, n, theirs in stage.same)
         if not (row.fits[self.at] and same):
             return False
         self.count += 1
@@ -99,10 +120,13 @@ class Sequence:
         return True
 
 
-def threshold(hits: DataFrame, lane: str, at_ms: str, least: int, window_ms: int | None, value: str | None = None, distinct: int = 0) -> DataFrame:
-    """Alerts (lane, at_ms) of a threshold over the rows that a rule's predicate let through. Rows without a lane or time are no hits."""
-    rows = hits.select(F.col(lane).cast("string").alias("lane"), F.col(at_ms).cast("long").alias("at_ms"), (F.col(value).cast("string") if value else F.lit(None).cast("string")).alias("value"))
-    return folded(rows.dropna(subset=["lane", "at_ms"]), window_ms, lambda: Threshold(least, window_ms, distinct), ["value"])
+def threshold(hits: DataFrame, lane: str, at_ms: str, least: int, window_ms: int | None, value: str | None = None, distinct: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts (lane, at_ms) of a threshold over the rows that a rule's predicate let through. Rows without a lane or time are no hits.
+
+    ``value`` is a text or an array of texts, of which an alert needs ``distinct`` different ones; ``order`` settles equal times.
+    """
+    rows = hits.select(F.col(lane).cast("string").alias("lane"), F.col(at_ms).cast("long").alias("at_ms"), (F.col(value) if value else F.lit(None).cast("string")).alias("value"), *order)
+    return folded(rows.dropna(subset=["lane", "at_ms"]), window_ms, lambda: Threshold(least, window_ms, distinct), [*order, "value"])
 
 
 def sequence(events: DataFrame, lane: str, at_ms: str, fits: list, stages: list[Stage], window_ms: int | None = None, gap_ms: int | None = None, fields: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:

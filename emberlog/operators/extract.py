@@ -46,7 +46,11 @@ def kv(text: Column, options: dict) -> Column:
     pattern = rf"([A-Za-z_][\w.\-:/\[\]@]*)\s*{eq}{'' if blank else '[ ]*'}({q}(?:[^{q}\\]|\\.)*{q}|[^{stop}]*)"
     mark = options.get("quote", '"')
     plain = lambda v: F.when((F.length(v) >= 2) & v.startswith(mark) & v.endswith(mark), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("\\" + mark), F.lit(mark))).otherwise(v)
-    return F.map_from_arrays(F.regexp_extract_all(text, F.lit(pattern), 1), F.transform(F.regexp_extract_all(text, F.lit(pattern), 2), plain))
+    cut = options.get("kv_sep", "=")
+    pairs = F.regexp_extract_all(text, F.lit(pattern), 0)  # one pass: a key has no separator, so the first one ends it
+    key = lambda p: F.rtrim(F.substring_index(p, cut, 1), F.lit(" \t\r\n\x0b\f"))
+    value = lambda p: plain(F.ltrim(F.substring(p, F.instr(p, cut) + len(cut), F.length(p))) if not blank else F.substring(p, F.instr(p, cut) + len(cut), F.length(p)))
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(key(p).alias("key"), value(p).alias("value"))))
 
 
 def csv(text: Column, options: dict) -> Column:
@@ -199,8 +203,8 @@ def regex(text: Column, options: dict) -> Column:
     return first_match(text, [(p, None) for p in options.get("patterns") or [options["pattern"]]])
 
 
-def json(text: Column, options: dict, levels: int = 6) -> Column:
-    """Fields of an object, nested ones by dotted names; lists stay whole, as JSON. Deeper than ``levels``, objects stay whole too.
+def json(text: Column, options: dict) -> Column:
+    """Fields of an object, nested ones by dotted names, as deep as MAX_DEPTH lets a line through; lists stay whole, as JSON.
 
     A value that is no object is the field ``value``. Null values are left out. Repeated keys: the last counts.
     """
@@ -213,8 +217,9 @@ def json(text: Column, options: dict, levels: int = 6) -> Column:
         return F.when(is_object(e["value"]), inner).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
     entries = entries_of(top)
-    for _ in range(levels - 1 if options.get("flatten", True) else 0):
-        entries = F.flatten(F.transform(entries, spread))
+    if options.get("flatten", True):  # as many rounds as the text has inner brackets, at most
+        rounds = F.array_repeat(F.lit(0), F.least(F.lit(MAX_DEPTH), F.regexp_count(text, F.lit(r"\{")) - 1))
+        entries = F.aggregate(rounds, entries, lambda acc, _: F.when(F.exists(acc, lambda e: is_object(e["value"])), F.flatten(F.transform(acc, spread))).otherwise(acc))
     shown = F.transform(entries, lambda e: F.struct(e["key"], F.try_variant_get(e["value"], "$", "string").alias("value")))
     whole = F.when(top.isNotNull() & ~F.schema_of_variant(top).startswith("OBJECT<"), F.create_map(F.lit("value"), F.try_variant_get(top, "$", "string")))
     return F.coalesce(F.map_from_entries(F.filter(shown, lambda e: e["value"].isNotNull())), whole)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json as jsonlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -18,10 +19,13 @@ from emberlog.operators import envelope
 from emberlog.operators.conditions import condition
 from emberlog.operators.conditions import field as value_of
 from emberlog.operators.extract import EXTRACTORS, none
+from emberlog.operators.guard import too_wide
 from emberlog.operators.specs import Fields, Steps, spec
 
 KEYS = {"id", "version", "vendor", "product", "category", "description", "priority", "match", "parse", "mapping", "severity_id", "classes", "tz", "sources", "trust", "provenance", "tests"}
 SPEC_KEYS = {"field", "const", "template", "join", "split", "regex", "map", "map_default_passthrough", "default", "cast", "format", "tz", "scale", "when"}
+#: The rule number of lines with too many fields.
+TOO_WIDE = -3
 CASTS = {"int", "float", "str", "bool", "ip", "timestamp", "lower", "upper", "auto"}
 
 
@@ -118,10 +122,11 @@ class Pack:
         return F.coalesce(*[F.when(condition(c.get("when"), fields), F.lit(i)) for i, c in enumerate(self.doc["classes"])])
 
     def parsed(self, lines: DataFrame) -> DataFrame:
-        """Lines with their fields, ``failure`` and ``rule_no``, the number of their class rule; -1 where the pack fails."""
+        """Lines with their fields, ``failure`` and ``rule_no``, the number of their class rule; -1 where the pack fails, TOO_WIDE where
+        it finds more fields than an event may have."""
         rows = self.fields(lines)
         rows = rows.withColumn("rule_no", F.when(F.col("failure").isNull(), self.class_rule(F.col("fields"))))
-        return rows.withColumns({"failure": F.when(F.col("rule_no").isNull(), F.coalesce("failure", F.lit("no class rule matched"))), "rule_no": F.coalesce("rule_no", F.lit(-1))})
+        return rows.withColumns({"failure": F.when(F.col("rule_no").isNull(), F.coalesce("failure", F.lit("no class rule matched"))), "rule_no": F.when(too_wide(F.col("fields")).isNotNull(), F.lit(TOO_WIDE)).otherwise(F.coalesce("rule_no", F.lit(-1)))})
 
     def mapped(self, rows: DataFrame, number: int, now: Column) -> DataFrame:
         """Events of the rows of one class rule."""
@@ -164,11 +169,28 @@ def reads_time(doc: Any) -> bool:
     return all(reads_time(d) for d in doc) if isinstance(doc, list) else isinstance(doc, dict) and doc.get("cast") == "timestamp"
 
 
-class Registry:
-    """The packs in use, the highest priority first; equal ones in the order of their ids."""
+def digest(doc: dict) -> str:
+    """A pack's digest, which its signature signs."""
+    return hashlib.sha256(jsonlib.dumps(doc, sort_keys=True).encode()).hexdigest()
+
 
-    def __init__(self, docs: list[dict], approved: bool = True):
-        self.packs = sorted((Pack(d, 1.0 if approved else 0.7) for d in docs), key=lambda p: (-p.priority, p.doc["id"]))
+class Registry:
+    """The packs in use, the highest priority first; equal ones in the order of their ids.
+
+    With ``verify`` (of a digest and a signature, such as ``ledger.Signer.verify``), packs whose signature in ``signatures`` holds
+    are signed; others are used with less trust, or not at all where signatures are ``required``.
+    """
+
+    def __init__(self, docs: list[dict], approved: bool = True, signatures: dict[str, bytes] | None = None, verify: Callable[[str, bytes], bool] | None = None, required: bool = False):
+        self.packs, self.refused = [], []
+        for doc in docs:
+            given = (signatures or {}).get(doc.get("id"))
+            signed = bool(verify and given and verify(digest(doc), given))
+            if required and not signed:
+                self.refused.append(doc.get("id"))
+            else:
+                self.packs.append(Pack(doc, 1.0 if signed or approved and not verify else 0.7, signed))
+        self.packs.sort(key=lambda p: (-p.priority, p.doc["id"]))
 
     @staticmethod
     def from_folder(path: str) -> Registry:
@@ -185,7 +207,7 @@ class Registry:
 
     def listed(self) -> list[dict]:
         """What is in use: id, version, vendor, product, priority, trust and a digest of each pack."""
-        return [{"id": p.doc["id"], "version": p.doc.get("version"), "vendor": p.doc.get("vendor"), "product": p.doc.get("product"), "priority": p.priority, "trust": p.trust, "signed": p.signed, "sha256": hashlib.sha256(jsonlib.dumps(p.doc, sort_keys=True).encode()).hexdigest()} for p in self.packs]
+        return [{"id": p.doc["id"], "version": p.doc.get("version"), "vendor": p.doc.get("vendor"), "product": p.doc.get("product"), "priority": p.priority, "trust": p.trust, "signed": p.signed, "sha256": digest(p.doc)} for p in self.packs]
 
     def candidates(self, raw: Column, tags: Column, hint: Column) -> Column:
         """Numbers of the packs that take a line, in the order in which they are tried. A line that a source pins goes to its packs alone."""

@@ -6,7 +6,7 @@ its own lines only, once, in a projection of its own; a union of branches over o
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from functools import reduce
 from itertools import count
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import envelope, guard, mapper
 from emberlog.operators.extract import prepare
-from emberlog.operators.packs import Registry
-from emberlog.operators.sniff import sniff
+from emberlog.operators.packs import TOO_WIDE, Registry
+from emberlog.operators.sniff import sniffed
 from emberlog.plans.library import library
+from emberlog.sources.shared import shared_dir
 
 EVENT = ["uid", "raw", "source", "received_ms", "pack", "class_uid", "class_name", "class_rule", "category_uid", "category_name", "activity_id", "activity_name", "severity_id", "severity", "type_uid", "type_name", "time", "attrs", "unmapped", "lineage", "errors", "warnings", "valid", "confidence", "format", "raw_sha256", "raw_size", "n_extracted", "n_mapped", "n_unmapped", "src_ip", "src_port", "dst_ip", "dst_port", "user_name"]
 
@@ -34,7 +35,7 @@ def lines(df: DataFrame, raw: str = "raw") -> DataFrame:
 def routed(df: DataFrame, registry: Registry, path: str) -> DataFrame:
     """Lines with ``rejected`` (why, or null), ``sniffed`` and ``candidates`` (packs to try, in order). The sniffed lines are staged: each pack's
     match reads the format, and would work it out again."""
-    df = staged(guard.not_blank(df).withColumn("sniffed", sniff(F.col("raw"))), path, None)
+    df = staged(sniffed(guard.not_blank(df)), path, None)
     df = df.withColumn("rejected", guard.rejection(F.col("raw"), F.col("sniffed.format")))
     return df.withColumn("candidates", registry.candidates(F.col("raw"), F.col("sniffed.tags"), F.try_element_at("source", F.lit("source_hint"))))
 
@@ -68,7 +69,8 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
 
     A line goes to the first pack that takes it; where that pack fails, the next one tries, until none is left; the rest becomes an
     event by field names. ``now_ms`` is the clock for stamps without a year. Lines are staged under ``staging``, a folder
-    that driver and executors share, twice: by pack, and with their fields by class rule.
+    that driver and executors share, twice: by pack, and with their fields by class rule. The events read it: remove it with
+    ``discard`` after they have been delivered.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -78,6 +80,7 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
     todo = routed(lines(df, raw), registry, f"{path}/sniffed")
     todo = todo.withColumn("pack_no", F.when(F.col("rejected").isNotNull(), -2).otherwise(F.coalesce(F.get("candidates", F.lit(0)), F.lit(-1))))
     made: list[DataFrame] = []
+    wide: list[DataFrame] = []
     rest: list[DataFrame] = []
     dead = None
     for n in count():  # ends when no line has a pack left to try
@@ -91,6 +94,7 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
             for rule in present(parsed, "rule_no"):
                 made.append(registry.packs[i].mapped(parsed.filter(F.col("rule_no") == rule), rule, now))
             again.append(parsed.filter("rule_no = -1").select(*todo.columns))
+            wide.append(guard.dead_letters(parsed.filter(F.col("rule_no") == TOO_WIDE).withColumn("rejected", guard.too_wide(F.col("fields")))))
         failed = reduce(DataFrame.unionByName, again) if again else None
         if failed is None or failed.isEmpty():
             break
@@ -99,12 +103,12 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
     if not made or not left.isEmpty():
         made.append(mapper.fallback_events(left, now))
     shared = [c for c in made[0].columns if all(c in m.columns for m in made)]
-    return reduce(DataFrame.unionByName, [finished(m.select(*shared)) for m in made]), dead
+    return reduce(DataFrame.unionByName, [finished(m.select(*shared)) for m in made]), reduce(DataFrame.unionByName, wide, dead)
 
 
 def present(df: DataFrame, column: str) -> list[int]:
-    """The numbers, from 0, that a staging column has; read from the folders' names."""
-    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] >= 0)
+    """The numbers, from 0, that a staging column has; read from the folders' names, without a job."""
+    return sorted({int(n) for f in df.inputFiles() for n in re.findall(rf"/{column}=(\d+)/", f)})
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -119,6 +123,11 @@ def staged(df: DataFrame, path: str, by: str | None) -> DataFrame:
 
 
 def folder(spark) -> str:
-    """A staging folder in the place that driver and executors share; a temporary one only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberlog-")
-    return f"{shared}/emberlog-staging"
+    """A staging folder in the place that driver and executors share."""
+    return f"{shared_dir(spark)}/emberlog-staging"
+
+
+def discard(spark, path: str) -> None:
+    """Removes a staging folder, once what was read from it has been delivered."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

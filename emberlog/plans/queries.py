@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from emberlog.functions.coerce import to_boolean, to_integer
 from emberlog.functions.text import snake
 from emberlog.functions.timestamps import epoch_ms
-from emberlog.operators import correlate, detect, extract, guard, ledger, lineage, mining, rules
-from emberlog.operators.sniff import sniff
-from emberlog.plans import store
+from emberlog.operators import detect, extract, guard, ledger, lineage, mining, rules
+from emberlog.operators.sniff import sniffed
+from emberlog.plans import detection, store, vendors
 from emberlog.plans.normalize import normalize
 from emberlog.sources import sinks
 
@@ -66,7 +66,7 @@ def json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = f"CASE event_id % 4 WHEN 0 THEN {KV} WHEN 1 THEN {LEEF} WHEN 2 THEN props ELSE {SYSLOG} END"
-    return lines(spark, sf_dir, line).select("event_id", sniff(F.col("raw"))["format"].alias("format"))
+    return sniffed(lines(spark, sf_dir, line)).select("event_id", F.col("sniffed.format").alias("format"))
 
 
 def oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,30 +106,18 @@ def sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(*[F.count_if(detect.selection(f, doc)).alias(name) for name, doc in rules.items()])
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rows(spark, sf_dir).filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("lane"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at_ms"))
-    return correlate.threshold(hits, "lane", "at_ms", 3, 86_400_000)
-
-
 def by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("avg_value"))
+    return store.by_class(stored(spark, sf_dir))
 
 
 def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report: the newest hundred of a filter."""
-    return rows(spark, sf_dir).filter("event_type = 'purchase' AND value >= 5").orderBy(F.desc("event_id")).limit(100).select("event_id", "user_id")
+    return store.newest(store.found(stored(spark, sf_dir), pack="purchase", severity_min=2), 100).select("seq", "uid")
 
 
 FAILURES = "concat('user ', user_id, ' ', event_type, ' from 10.1.', event_id % 250, '.7 port ', event_id)"
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view, then a purchase of the same user within an hour, and an error within another."""
-    e = rows(spark, sf_dir).withColumn("at_ms", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    fits = [F.col("event_type") == t for t in ("view", "purchase", "error")]
-    return correlate.sequence(e, "user_id", "at_ms", fits, [correlate.Stage()] * 3, window_ms=7_200_000, gap_ms=3_600_000, order=("event_id",))
-
-
 def rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows each whole rule fits."""
     e = rows(spark, sf_dir)
@@ -191,8 +179,8 @@ def cef_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "normalize_traffic": traffic, "extract_kv": kv, "extract_cef": cef, "extract_leef": leef, "extract_syslog": syslog, "extract_json": json, "sniff_formats": formats, "guard_oversize": oversize,
-    "cast_timestamps": stamps, "cast_values": casts, "snake_names": snakes, "leaf_hash": leaves, "merkle_root": roots, "sigma_values": sigma, "corr_threshold": alerts, "summary_by_class": by_class, "events_newest": newest,
-    "corr_sequence": sequences, "sigma_rules": rule_alerts, "ledger_chain": chain, "ledger_verify": chain_checks, "mine_templates": mined, "store_filter": found, "store_latest": latest, "store_by_pack": packs, "store_counters": counts, "sink_cef": cef_out,
+    "cast_timestamps": stamps, "cast_values": casts, "snake_names": snakes, "leaf_hash": leaves, "merkle_root": roots, "sigma_values": sigma, "summary_by_class": by_class, "events_newest": newest,
+    "sigma_rules": rule_alerts, "ledger_chain": chain, "ledger_verify": chain_checks, "mine_templates": mined, "store_filter": found, "store_latest": latest, "store_by_pack": packs, "store_counters": counts, "sink_cef": cef_out,
 }
 LEVEL = "l{k} AS (SELECT batch_id, pos // 2 AS pos, CASE WHEN count(*) = 2 THEN sha256(unhex('01') || unhex(min_by(leaf, pos)) || unhex(max_by(leaf, pos))) ELSE min(leaf) END AS leaf FROM l{j} GROUP BY ALL)"
 LEAF = "SELECT event_id, sha256(unhex('00') || unhex(sha256(event_type)) || unhex(sha256(props))) AS leaf FROM events"
@@ -212,8 +200,8 @@ SQL = {
     "leaf_hash": LEAF,
     "merkle_root": f"WITH l0 AS (SELECT event_id // 256 AS batch_id, event_id % 256 AS pos, leaf FROM ({LEAF})), " + ", ".join(LEVEL.format(k=k + 1, j=k) for k in range(8)) + ", n AS (SELECT batch_id, count(*) AS count FROM l0 GROUP BY 1) SELECT batch_id, count, leaf AS merkle_root FROM l8 JOIN n USING (batch_id)",
     "sigma_values": "SELECT count_if(event_type ILIKE '_i%w') AS wild, count_if(event_id % 256 BETWEEN 64 AND 127) AS cidr, count_if(event_type LIKE '%r%' AND event_type LIKE '%o%') AS all_of, count_if(regexp_matches(props, '\"k\": 1[0-9]}')) AS pattern, count_if(value >= 10) AS number, count_if(event_type LIKE '%ck' OR event_type LIKE '%se') AS either FROM events",
-    "summary_by_class": "SELECT event_type, count(*) AS n, round(avg(value), 3) AS avg_value FROM events GROUP BY 1",
-    "events_newest": "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value >= 5 ORDER BY event_id DESC LIMIT 100",
+    "summary_by_class": "SELECT event_type AS class_name, count(*) AS n FROM events GROUP BY 1",
+    "events_newest": "SELECT event_id AS seq, user_id AS uid FROM events WHERE event_type = 'purchase' AND event_id % 7 >= 2 ORDER BY event_id DESC LIMIT 100",
     "sigma_rules": "SELECT 'loud_errors' AS rule, count(*) AS n FROM events WHERE event_type = 'error' AND value >= 10 AND NOT contains(props, '\"k\": 1') HAVING count(*) > 0 UNION ALL SELECT 'either', count(*) FROM events WHERE event_type LIKE 'pur%' OR value < 1 OR event_type = 'click' HAVING count(*) > 0 UNION ALL SELECT 'words', count(*) FROM events WHERE contains(event_type, 'sign') OR contains(event_type, 'error') HAVING count(*) > 0",
     "ledger_chain": f"WITH RECURSIVE {CHAIN_ROOTS}, walk AS (SELECT shard, batch_id, count, merkle_root, repeat('0', 64) AS prev_chain, sha256(concat_ws('|', repeat('0', 64), merkle_root, batch_id, count)) AS chain_hash FROM roots WHERE batch_id = 0 UNION ALL SELECT r.shard, r.batch_id, r.count, r.merkle_root, w.chain_hash, sha256(concat_ws('|', w.chain_hash, r.merkle_root, r.batch_id, r.count)) FROM walk w JOIN roots r ON r.shard = w.shard AND r.batch_id = w.batch_id + 1) SELECT * FROM walk",
     "ledger_verify": "SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 AS seq, true AS known, event_id // 4 % 100 <> 7 AS leaf_match, event_id // 4 % 100 <> 7 AS proof_match, true AS link_match, event_id // 4 % 100 <> 7 AS verified FROM events",
@@ -224,3 +212,5 @@ SQL = {
     "store_counters": "SELECT 'processed' AS name, '' AS label, count(*) AS value FROM events UNION ALL SELECT 'validation_errors', '', count(*) FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'fallback', '', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'by_pack', CASE WHEN event_type = 'error' THEN 'fallback' ELSE event_type END, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'by_class', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'dead_letter', '', count(*) FROM documents WHERE strlen(text) > 4096",
     "sink_cef": "SELECT event_id, concat('CEF:0|Unknown||emberlog|', event_id % 5, '|class\\|', event_type, '|', CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 7 WHEN 5 THEN 9 ELSE 10 END, '|rt=', event_id, ' src=10.0.0.', event_id % 250, ' msg=a\\=b ', props, ' cs1Label=ocsf_class cs1=', event_type, ' cs2Label=event_uid cs2=', user_id, ' cs3Label=raw_sha256') AS line FROM events",
 }
+QUERIES |= detection.QUERIES | vendors.QUERIES
+SQL |= detection.SQL | vendors.SQL

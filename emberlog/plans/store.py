@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def found(events: DataFrame, **wanted: object) -> DataFrame:
-    """Events that fit every filter given: class_uid, pack, severity_min, src_ip, dst_ip, valid, since, until (both included), fallback.
+    """Events that fit every filter given: uid, class_uid, pack, severity_min, src_ip, dst_ip, valid, since, until (both included), fallback.
 
     All filters are plain comparisons, so they reach the scan and its partitions. An unknown filter is an error.
     """
     tests = {
         "class_uid": lambda v: F.col("class_uid") == v, "pack": lambda v: F.col("pack") == v, "severity_min": lambda v: F.col("severity_id") >= v, "src_ip": lambda v: F.col("src_ip") == v, "dst_ip": lambda v: F.col("dst_ip") == v,
-        "valid": lambda v: F.col("valid") == bool(v), "since": lambda v: F.col("time") >= v, "until": lambda v: F.col("time") <= v, "fallback": lambda v: F.col("pack").isNull() if v else F.col("pack").isNotNull(),
+        "uid": lambda v: F.col("uid") == v, "valid": lambda v: F.col("valid") == bool(v), "since": lambda v: F.col("time") >= v, "until": lambda v: F.col("time") <= v, "fallback": lambda v: F.col("pack").isNull() if v else F.col("pack").isNotNull(),
     }
     for name, value in wanted.items():
         if name not in tests:
@@ -58,3 +58,15 @@ def agreement(verdicts: DataFrame) -> DataFrame:
     """By format: cases, share of verdicts on events that equal those on raw lines, and of raw verdicts that are as expected."""
     same = lambda a, b: F.avg((F.col(a) == F.col(b)).cast("int"))
     return verdicts.groupBy("format").agg(F.count("*").alias("cases"), same("raw_alert", "event_alert").alias("fidelity"), same("raw_alert", "expected").alias("oracle"), F.avg(F.when(F.col("expected"), F.col("event_alert").cast("int"))).alias("detected"), F.avg(F.when(~F.col("expected"), 1 - F.col("event_alert").cast("int"))).alias("silent"))
+
+
+def latency(batches: DataFrame, took_ms: str = "took_ms") -> DataFrame:
+    """p50 and p99 of how long batches took: values that occurred, not ones in between."""
+    return batches.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {took_ms})").alias(f"p{round(q * 100)}") for q in (0.5, 0.99)])
+
+
+def prometheus(counts: DataFrame, prefix: str = "emberlog") -> DataFrame:
+    """(line) of ``counters`` in the text format of Prometheus; labels are escaped."""
+    label = F.replace(F.replace(F.replace("label", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    name = F.concat(F.lit(f"{prefix}_"), "name", F.lit("_total"))
+    return counts.select(F.concat(name, F.when(F.col("label") == "", "").otherwise(F.concat(F.lit('{label="'), label, F.lit('"}'))), F.lit(" "), F.col("value").cast("string")).alias("line"))

@@ -27,10 +27,19 @@ def follow(spark: SparkSession, path: str, hint: str | None = None, files_per_tr
 
 
 def topic(spark: SparkSession, servers: str, name: str, per_trigger: int = 100_000) -> DataFrame:
-    """Lines of a topic as a stream; needs Spark's connector for it."""
+    """Messages of a topic as a stream, for ``messages`` and ``faulty``; needs Spark's connector for it."""
     stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", name).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", per_trigger).load()
-    line = F.from_json(F.col("value").cast("string"), LINE)
-    return stream.select(line.alias("line")).select("line.*").filter("raw is not null")
+    return stream.select(F.col("value").cast("string").alias("value"))
+
+
+def messages(topic_rows: DataFrame) -> DataFrame:
+    """Lines of a topic's messages, JSON objects with raw, source and received_ms."""
+    return topic_rows.select(F.from_json("value", LINE).alias("line")).select("line.*").filter("raw is not null")
+
+
+def faulty(topic_rows: DataFrame) -> DataFrame:
+    """Dead letters of the messages that are no such objects: error and raw_preview."""
+    return topic_rows.filter(F.from_json("value", LINE)["raw"].isNull()).select(F.lit("message without a line").alias("error"), F.substring(F.coalesce("value", F.lit("")), 1, 512).alias("raw_preview"))
 
 
 def given(spark: SparkSession, lines: list[str], hint: str | None = None, most: int = 5000) -> DataFrame:

@@ -63,6 +63,21 @@ def collector_lines(events: DataFrame, sourcetype: str = "ocsf") -> DataFrame:
     return events.select("uid", body.alias("line"))
 
 
+def table_rows(events: DataFrame) -> DataFrame:
+    """The rows of a column store's table, in the order of its key within each task: class_uid, time, uid; ``day`` is its partition."""
+    return lake_rows(events).withColumnRenamed("dt", "day").sortWithinPartitions("class_uid", "day", "time", "uid")
+
+
+def topic_messages(events: DataFrame) -> DataFrame:
+    """(key, value) of events for a topic: one source's events keep their order, since its address is the key."""
+    return events.select(F.coalesce(F.try_element_at("source", F.lit("peer")), F.col("uid")).alias("key"), as_json(events).alias("value"))
+
+
+def write_topic(events: DataFrame, servers: str, name: str) -> None:
+    """Publishes events to a topic; needs Spark's connector for it."""
+    topic_messages(events).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", name).save()
+
+
 def deliver(sinks: dict[str, Callable[[DataFrame], None]], first: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], dict[str, str]]:
     """A function for ``foreachBatch``: ``first`` (the ledger) must succeed, then each sink is tried; a sink's error is returned, not raised."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from emberlog.plans.normalize import normalize
+from emberlog.plans.normalize import discard, folder, normalize
 
 Deliver = Callable[[DataFrame, int], object]
 
@@ -53,14 +53,16 @@ def live_counts(events: DataFrame, at: str, window: str = "1 minute", late: str
 
 def normalized(lines: DataFrame, deliver: Deliver, checkpoint: str, dead: Deliver | None = None, trigger: dict | None = None, **options) -> StreamingQuery:
     """Normalizes each micro-batch and delivers its events. A batch that is repeated after a failure has the same number, so a sink
-    that overwrites by it writes each batch once."""
+    that overwrites by it writes each batch once. A batch's staging goes when it has been delivered."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if df.isEmpty():
             return
-        events, rejected = normalize(df, **options)
+        staging = f"{options.get('staging') or folder(df.sparkSession)}/batch-{batch_id}"
+        events, rejected = normalize(df, **{**options, "staging": staging})
         deliver(events, batch_id)
         if dead:
             dead(rejected, batch_id)
+        discard(df.sparkSession, staging)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
