@@ -125,9 +125,9 @@ KIND = {
 SQL = {
     "corr_threshold": walk(numbered("", "event_type = 'error'"), "CAST([] AS BIGINT[]) AS times", f"SELECT lane, at_ms, rn, CASE WHEN len(t) >= 3 THEN CAST([] AS BIGINT[]) ELSE t END, len(t) >= 3 FROM (SELECT h.lane, h.at_ms, h.rn, list_append(list_filter(w.times, lambda x: h.at_ms - x <= 86400000), h.at_ms) AS t {NEXT})"),
     "corr_sequence": walk(numbered(", CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS fit", "event_type IN ('view', 'purchase', 'error')"), "0 AS stage, CAST(NULL AS BIGINT) AS began, CAST(NULL AS BIGINT) AS late", ORDERED.format(last=2, state="", kept="", hit="fit = s", window=43_200_000, gap=21_600_000)),
-    "stage_threshold": walk(numbered(", event_type AS kind", "event_type IN ('error', 'click', 'signup') AND value >= 1"), "CAST([] AS STRUCT(t BIGINT, v VARCHAR)[]) AS held", f"SELECT lane, at_ms, rn, CASE WHEN full THEN CAST([] AS STRUCT(t BIGINT, v VARCHAR)[]) ELSE held END, full FROM (SELECT *, len(held) >= 4 AND len(list_distinct(list_transform(held, lambda x: x.v))) >= 3 AS full FROM (SELECT h.lane, h.at_ms, h.rn, list_append(list_filter(w.held, lambda x: h.at_ms - x.t <= 172800000), {{'t': h.at_ms, 'v': h.kind}}) AS held {NEXT}))"),
+    "stage_threshold": walk(numbered(", event_type AS kind", "event_type IN ('error', 'click', 'signup') AND value >= 1"), "CAST([] AS STRUCT(t BIGINT, v VARCHAR)[]) AS held", f"SELECT lane, at_ms, rn, CASE WHEN enough THEN CAST([] AS STRUCT(t BIGINT, v VARCHAR)[]) ELSE held END, enough FROM (SELECT *, len(held) >= 4 AND len(list_distinct(list_transform(held, lambda x: x.v))) >= 3 AS enough FROM (SELECT h.lane, h.at_ms, h.rn, list_append(list_filter(w.held, lambda x: h.at_ms - x.t <= 172800000), {{'t': h.at_ms, 'v': h.kind}}) AS held {NEXT}))"),
     "stage_sequence": walk(numbered(", event_type = 'view' OR event_type LIKE 'cl%' AND value >= 2 AS opens, event_type = 'purchase' AS buys, event_id % 3 AS third", "event_type = 'view' OR event_type LIKE 'cl%' AND value >= 2 OR event_type = 'purchase'"), "0 AS stage, CAST(NULL AS BIGINT) AS began, CAST(NULL AS BIGINT) AS late, CAST(NULL AS BIGINT) AS first", ORDERED.format(last=1, state=", CASE WHEN hit AND s = 0 THEN third WHEN hit THEN NULL ELSE f END AS first", kept=", CASE WHEN again THEN NULL ELSE w.first END AS f", hit="CASE WHEN s = 0 THEN opens ELSE coalesce(buys AND third = f, false) END", window=86_400_000, gap=43_200_000)),
     "sigma_gated": "SELECT event_id, 'hex' AS rule FROM events WHERE event_id % 300 = 31 UNION ALL SELECT event_id, 'text_only' FROM events WHERE event_type = 'error' AND (event_id % 4 = 0 OR event_id % 30 = 1) UNION ALL SELECT event_id, 'dns' FROM events WHERE event_type LIKE 'pur%' AND (event_id % 4 = 0 OR event_id % 30 = 22)",
     "view_attribution": "SELECT name, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS name, {kind} AS kind FROM events" for name, kind in KIND.items()) + ") GROUP BY ALL",
-    "replay_report": "WITH e AS (SELECT event_id % 97 AS case_id, event_id % 2 = 0 AS even, event_id % 3 = 0 AS third, event_type = 'error' AS err, event_type = 'purchase' AND event_id % 250 < 128 AS buy FROM events), f AS (SELECT case_id, case_id % 2 = 0 AS expected, bool_or(err) AS raw, bool_or(err AND even) AS native, bool_or(err AND even) AS whole FROM e GROUP BY 1, 2 UNION ALL SELECT case_id, case_id % 2 = 0, bool_or(buy), false, bool_or(buy AND third) FROM e GROUP BY 1, 2), v AS (SELECT 'native' AS view, expected, raw, native AS verdict FROM f UNION ALL SELECT 'whole', expected, raw, whole FROM f) SELECT view, count(*) AS cases, count_if(verdict = raw) AS kept, count_if(raw = expected) AS oracle_correct, count_if(verdict = expected) AS correct, count_if(verdict AND expected) AS detected, count_if(NOT verdict AND NOT expected) AS silent, count_if(raw AND NOT verdict) AS lost, count_if(NOT raw AND verdict) AS false_alerts FROM v GROUP BY view",
+    "replay_report": "WITH e AS (SELECT event_id % 97 AS case_id, event_id % 2 = 0 AS even, event_id % 3 = 0 AS third, event_type = 'error' AS err, event_type = 'purchase' AND event_id % 250 < 128 AS buy FROM events), f AS (SELECT case_id, case_id % 2 = 0 AS expected, bool_or(err) AS raw, bool_or(err AND even) AS native, bool_or(err AND even) AS whole FROM e GROUP BY 1, 2 UNION ALL SELECT case_id, case_id % 2 = 0, bool_or(buy), false, bool_or(buy AND third) FROM e GROUP BY 1, 2), v AS (SELECT 'native' AS view, expected, raw, native AS verdict FROM f UNION ALL SELECT 'whole', expected, raw, whole FROM f) SELECT view, count(*) AS cases, CAST(count_if(verdict = raw) AS BIGINT) AS kept, CAST(count_if(raw = expected) AS BIGINT) AS oracle_correct, CAST(count_if(verdict = expected) AS BIGINT) AS correct, CAST(count_if(verdict AND expected) AS BIGINT) AS detected, CAST(count_if(NOT verdict AND NOT expected) AS BIGINT) AS silent, CAST(count_if(raw AND NOT verdict) AS BIGINT) AS lost, CAST(count_if(NOT raw AND verdict) AS BIGINT) AS false_alerts FROM v GROUP BY view",
 }

@@ -10,7 +10,7 @@ from emberlog.functions.text import snake
 from emberlog.functions.timestamps import epoch_ms
 from emberlog.operators import detect, extract, guard, ledger, lineage, mining, rules
 from emberlog.operators.sniff import sniffed
-from emberlog.plans import detection, store, vendors
+from emberlog.plans import detection, store
 from emberlog.plans.normalize import normalize
 from emberlog.sources import sinks
 
@@ -212,5 +212,5 @@ SQL = {
     "store_counters": "SELECT 'processed' AS name, '' AS label, count(*) AS value FROM events UNION ALL SELECT 'validation_errors', '', count(*) FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'fallback', '', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'by_pack', CASE WHEN event_type = 'error' THEN 'fallback' ELSE event_type END, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'by_class', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'dead_letter', '', count(*) FROM documents WHERE strlen(text) > 4096",
     "sink_cef": "SELECT event_id, concat('CEF:0|Unknown||emberlog|', event_id % 5, '|class\\|', event_type, '|', CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 7 WHEN 5 THEN 9 ELSE 10 END, '|rt=', event_id, ' src=10.0.0.', event_id % 250, ' msg=a\\=b ', props, ' cs1Label=ocsf_class cs1=', event_type, ' cs2Label=event_uid cs2=', user_id, ' cs3Label=raw_sha256') AS line FROM events",
 }
-QUERIES |= detection.QUERIES | vendors.QUERIES
-SQL |= detection.SQL | vendors.SQL
+QUERIES |= detection.QUERIES
+SQL |= detection.SQL
