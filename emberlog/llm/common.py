@@ -6,7 +6,6 @@ folder of ``spark.checkpoint.dir``, and a side is broadcast only when its size h
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.sources.shared import shared_dir
+
 #: The characters of `[\x20\x09-\x0D]`, which end a word.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows that one broadcast may hold; a larger side is shuffled.
@@ -29,18 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one, if they are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and cuts the lineage there, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -109,11 +98,11 @@ def task_id() -> int:
     return TaskContext.get().partitionId()
 
 
-def vector_rows(name: str, vector: np.ndarray, weight: float, chunk: int = 4096) -> Iterator[pd.DataFrame]:
-    """One task's vector in pieces, as rows for ``sum_vectors``."""
+def vector_rows(name: str, vector: np.ndarray, weight: float, chunk: int = 4096, task: int | None = None) -> Iterator[pd.DataFrame]:
+    """One task's vector in pieces, as rows for ``sum_vectors``; ``task`` numbers it, if not its partition."""
     at = range(0, len(vector), chunk)
     if len(vector):
-        yield pd.DataFrame({"name": name, "chunk": [i // chunk for i in at], "task": task_id(), "weight": float(weight), "values": [vector[i : i + chunk].astype(np.float64) for i in at]})
+        yield pd.DataFrame({"name": name, "chunk": [i // chunk for i in at], "task": task_id() if task is None else task, "weight": float(weight), "values": [vector[i : i + chunk].astype(np.float64) for i in at]})
 
 
 VECTORS = "name string, chunk int, task long, weight double, values array<double>"

@@ -1,27 +1,30 @@
 """Main text of web pages by wrapper induction.
 
-The pages of one host are parsed to trees and aligned, one after another, by simple tree matching into a merged tree that
-counts for each slot how many pages have it and whether they all have the same text there. Slots whose text never changes are
-the host's template; slots that vary hold content. Tasks merge the pages that they have, and two shuffled levels merge the
-tasks' trees, so that no host needs its pages in one place.
-
-What is content by variation still holds menus, adverts and the like, which differ from page to page: elements that say so by
-their name, role, class or id go too.
+The pages of one host are parsed to trees of block elements and texts, in which siblings of one name that follow each other are one
+repeated slot. Simple tree matching aligns them, one after another, into the host's wrapper: a tree of all slots that its pages
+have. Then every page is aligned with its wrapper, and Spark counts for each slot how many pages have which text there. What
+nearly all pages have in one slot is template; slots whose texts vary hold content. Where pages mark no article, the part of the
+wrapper that holds most of the varying text takes its place. Names, classes and roles are a second vote: they tell menus, adverts
+and the like from content where these vary too.
+
+Structures that repeat are merged once, in an order of their own, so that the wrapper depends neither on the partitions nor on the
+order of rows; two shuffled levels merge them, so that no host needs its pages in one place.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import keep, small_batches, table, task_id, with_key
+from emberlog.llm.common import BROADCAST_ROWS, keep, small_batches, table, with_key
 
 TOKEN = re.compile(r"<!--.*?-->|<!--.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=\s|/|$)", re.I)
@@ -35,12 +38,17 @@ WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 ASIDE = frozenset("nav aside footer form menu head script style noscript template iframe svg canvas object button select textarea input dialog title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 TOKENS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist commentform respond disqus cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe signup masthead toolbar pagination".split())
+# Containers that an article may hold beside its text; here a whole class or id must be one of TOKENS.
+CONTAINERS = frozenset("div section ul ol dl table".split())
+
+#: Trees are walked to their full depth, which the page alone bounds; frames of Python functions are on the heap.
+DEPTH = 10_000_000
 
 
 class Node:
     """An element: its label is its name with its classes; children are elements and texts, in order."""
 
-    __slots__ = ("tag", "label", "names", "role", "children", "main")
+    __slots__ = ("tag", "label", "names", "role", "children", "main", "holds_main")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {k.lower(): html.unescape(a or b or c or "").lower() for k, a, b, c in NAMED.findall(attributes)} if attributes else {}
@@ -49,38 +57,39 @@ class Node:
         self.names = f"{found.get('class', '')} {found.get('id', '')}".split()
         self.label = ".".join([tag, *sorted(found.get("class", "").split())])
         self.main = tag in ("article", "main") or self.role == "main" or found.get("itemprop") == "articlebody"
+        self.holds_main = False  # whether an article or main element lies within
         if "hidden" in found:
             self.role = "hidden"
 
     def aside(self, within: bool) -> bool:
-        """Whether the element says that it isn't part of an article; ``within`` an article, a header is its own."""
+        """Whether the element says that it isn't part of an article. Within an article a header is its own, and only containers
+        that are wholly named so are set aside: a paragraph of whatever class stays."""
         if self.tag in ASIDE or self.role in ROLES or self.role == "hidden":
             return True
-        if not within and self.tag == "header":
+        if within:
+            return self.tag in CONTAINERS and not TOKENS.isdisjoint(self.names)
+        if self.tag == "header":
             return True
-        for name in self.names:
-            parts = re.split(r"[^a-z0-9]+", name)
-            if not TOKENS.isdisjoint(parts) or not within and "header" in parts:
-                return True
-        return False
-
-    def holds_main(self) -> bool:
-        """Whether an article or main element lies within."""
-        return any(c.main or c.holds_main() for c in self.children if type(c) is Node)
+        return any(not TOKENS.isdisjoint(parts) or "header" in parts for parts in (re.split(r"[^a-z0-9]+", name) for name in self.names))
 
 
 def parse(page: str) -> Node:
     """The tree of a page, with the usual repairs: implied ends, stray ends, cut-off tags."""
     root = Node("#root")
     stack, at, n = [root], 0, len(page)
+    open_tags: dict[str, int] = {}
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     def close(names: set[str] | frozenset, walls: set[str] | frozenset = frozenset()) -> None:
+        if not any(open_tags.get(t) for t in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
+                for x in stack[i:]:
+                    open_tags[x.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in walls:
@@ -106,231 +115,352 @@ def parse(page: str) -> Node:
             close(CLOSES[tag], WALLS[tag])
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        if node.main:
+            for x in reversed(stack):
+                if x.holds_main:
+                    break
+                x.holds_main = True
         if tag in RAW:
             over = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
             if tag in ("textarea", "title"):
                 node.children.append(html.unescape(page[at : over.start() if over else n]))
             at = over.start() if over else n
             stack.append(node)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
         elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             stack.append(node)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
         elif tag == "br":
             stack[-1].children[-1] = "\n"
     return root
 
 
-def blocks(root: Node) -> Iterator[tuple[str, str, bool, bool]]:
-    """Texts in page order: path of labels, text with single spaces, whether an element sets it aside, whether it is in an article."""
-    held: list[str] = []
-    out: list[tuple[str, str, bool, bool]] = []
-
-    def flush(path: str, off: bool, main: bool) -> None:
-        if t := " ".join("".join(held).split()):
-            out.append((path, t, off, main))
-        held.clear()
-
-    def walk(node: Node, path: str, off: bool, main: bool) -> None:
-        for c in node.children:
-            if type(c) is str:
-                held.append(c)
-                continue
-            inner = main or c.main
-            away = off or (c.tag not in ("html", "body") and c.aside(inner) and not (not c.main and c.holds_main()))
-            if c.tag in BLOCK or away != off or inner != main:
-                flush(path, off, main)
-                walk(c, f"{path}/{c.label}", away, inner)
-                flush(f"{path}/{c.label}", away, inner)
-            else:
-                walk(c, path, off, main)
-
-    walk(root, "", False, False)
-    flush("", False, False)
-    return iter(out)
+class Slot:
+    """A node of a wrapper: an element's label or # for a text, and its children. Equal structures share a shape. In a page's
+    tree, a # has the places of the page's blocks; in a wrapper, every node has a number."""
 
+    __slots__ = ("label", "children", "shape", "blocks", "number")
 
-# A merged tree is a list: label, pages that have it, text (a hash, "" for an element, None once it varies), children, shape.
+    def __init__(self, label: str, children: list[Slot], blocks: tuple[int, ...] = ()):
+        self.label, self.children, self.blocks, self.number = label, children, blocks, -1
+        self.shape = xxhash.xxh3_64_intdigest(f"{label}({','.join([str(c.shape) for c in children])}")
 
 
-def shape(label: str, children: list) -> int:
-    """A number that equal structures share."""
-    return xxhash.xxh3_64_intdigest(label + "(" + ",".join(str(c[4]) for c in children))
+def read(page: str | None) -> tuple[list[tuple[str, bool, bool, bool]], Slot]:
+    """The blocks of a page in order, each with whether an element sets it aside, whether it is in an article and whether most of it
+    are links; and the page's tree of slots."""
+    held: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, bool, bool]] = []
 
-
-def slots(root: Node) -> list:
-    """A page's tree for alignment: block elements, with a leaf for each text."""
-    held: list[str] = []
-
-    def leaf(into: list) -> None:
-        if t := " ".join("".join(held).split()):
-            into.append(["#", 1, xxhash.xxh3_64_hexdigest(t), [], 0])
+    def flush(into: list[Slot], off: bool, main: bool) -> None:
+        if held and (t := " ".join("".join([s for s, _ in held]).split())):
+            linked = sum([len("".join(s.split())) for s, link in held if link])
+            add(into, Slot("#", [], (len(out),)))
+            out.append((t, off, main, 2 * linked > len(t.replace(" ", ""))))
         held.clear()
 
-    def build(node: Node, into: list) -> None:
-        for c in node.children:
-            if type(c) is str:
-                held.append(c)
-            elif c.tag in RAW:
-                continue
-            elif c.tag in BLOCK:
-                leaf(into)
-                inner: list = []
-                build(c, inner)
-                leaf(inner)
-                into.append([c.label, 1, "", inner, shape(c.label, inner)])
+    def add(into: list[Slot], slot: Slot) -> None:
+        if into and into[-1].label == slot.label:
+            into[-1] = merge(into[-1], slot)
+        else:
+            into.append(slot)
+
+    top: list[Slot] = []
+    # of each open element: the rest of its children, the slots of the block it is in, off, main, link, and the slot list to add itself to
+    stack = [(iter(parse(page or "").children), top, False, False, False, None, "")]
+    while stack:
+        children, slots, off, main, link, outer, label = stack[-1]
+        c = next(children, None)
+        if c is None:
+            stack.pop()
+            if outer is not None:  # a block ends, or what is set aside or an article does
+                flush(slots, off, main)
+                if outer is not slots:
+                    add(outer, Slot(label, slots))
+        elif type(c) is str:
+            held.append((c, link))
+        else:
+            inner = main or c.main
+            away = off or (c.tag not in ("html", "body") and c.aside(inner) and not (not c.main and c.holds_main))
+            if c.tag in BLOCK:
+                flush(slots, off, main)
+                stack.append((iter(c.children), [], away, inner, link or c.tag == "a", slots, c.label))
+            elif away != off or inner != main:
+                flush(slots, off, main)
+                stack.append((iter(c.children), slots, away, inner, link or c.tag == "a", slots, ""))
             else:
-                build(c, into)
-
-    top: list = []
-    build(root, top)
-    leaf(top)
-    return ["", 1, "", top, shape("", top)]
+                stack.append((iter(c.children), slots, off, main, link or c.tag == "a", None, ""))
+    flush(top, False, False)
+    return out, Slot("", top)
 
 
 class Weights(dict):
     """The matches of two structures, by their shapes: worked out once, forgotten when too many."""
 
-    def of(self, a: list, b: list) -> int:
-        key = (a[4], b[4])
+    def of(self, a: Slot, b: Slot) -> int:
+        if a.label != b.label:
+            return 0
+        key = (a.shape, b.shape)
         if (n := self.get(key)) is None:
+            n = matching(a, b)[0]
             if len(self) > 200_000:
                 self.clear()
-            self[key] = n = matching(a, b)[0]
+            self[key] = n
         return n
 
 
 WEIGHTS = Weights()
 
 
-def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes of two trees that match in order, and which children match.
+def matching(a: Slot, b: Slot) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two trees of one label: the most nodes that match in order, and which children match.
 
-    Equal structures at either end of the child lists match first; dynamic programming does what lies between.
+    Equal structures at either end of the child lists match first; dynamic programming does what lies between, a row at a time
+    and in halves, so that its memory is that of the lists.
     """
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[3], b[3]
-    lo, end = 0, 0
-    while lo < min(len(x), len(y)) and x[lo][4] == y[lo][4]:
+    x, y = a.children, b.children
+    lo, end, least = 0, 0, min(len(x), len(y))
+    while lo < least and x[lo].shape == y[lo].shape:
         lo += 1
-    while end < min(len(x), len(y)) - lo and x[-1 - end][4] == y[-1 - end][4]:
+    while end < least - lo and x[-1 - end].shape == y[-1 - end].shape:
         end += 1
     pairs = [(i, i) for i in range(lo)] + [(len(x) - i, len(y) - i) for i in range(end, 0, -1)]
-    total = 1 + len(pairs)
-    p, q = len(x) - lo - end, len(y) - lo - end
+    total = 1 + sum([WEIGHTS.of(x[i], y[j]) for i, j in pairs])
+    p, q = x[lo : len(x) - end], y[lo : len(y) - end]
     if p and q:
-        w = [[WEIGHTS.of(c, d) if c[0] == d[0] else 0 for d in y[lo : lo + q]] for c in x[lo : lo + p]] if p * q <= 10_000 else None
-        if w is None:  # too many children to try all: the next of the same name
-            j = 0
-            for i in range(p):
-                k = next((k for k in range(j, q) if x[lo + i][0] == y[lo + k][0]), None)
-                if k is not None:
-                    pairs.append((lo + i, lo + k))
-                    total, j = total + 1, k + 1
-        else:
-            best = [[0] * (q + 1) for _ in range(p + 1)]
-            for i in range(p):
-                above, row, last = best[i], best[i + 1], 0
-                for j, n in enumerate(w[i]):
-                    if n and above[j] + n > last:
-                        last = above[j] + n
-                    if above[j + 1] > last:
-                        last = above[j + 1]
-                    row[j + 1] = last
-            i, j = p, q
-            while i and j:
-                if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
-                    i, j = i - 1, j - 1
-                    pairs.append((lo + i, lo + j))
-                elif best[i][j] == best[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-            total += best[p][q]
+        kinds = {c.shape: c for c in q}
+        at = {s: k for k, s in enumerate(kinds)}
+        places = np.array([at[c.shape] for c in q])
+        rows: dict[int, np.ndarray] = {}
+
+        def row(c: Slot) -> np.ndarray:
+            if c.shape not in rows:
+                rows[c.shape] = np.array([WEIGHTS.of(c, d) for d in kinds.values()])[places]
+            return rows[c.shape]
+
+        found = aligned([row(c) for c in p], 0, len(q))
+        total += sum([int(row(p[i])[j]) for i, j in found])
+        pairs += [(lo + i, lo + j) for i, j in found]
     return total, sorted(pairs)
 
 
-def merge(a: list, b: list) -> list:
-    """One tree of two: aligned slots add up, a text that differs becomes None, children of one side stay as slots that some pages lack."""
-    out: list = []
+def last_row(w: list[np.ndarray], a: int, b: int) -> np.ndarray:
+    """The most weight of the rows against the first 0, 1, ... columns of [a, b)."""
+    best = np.zeros(b - a + 1, np.int64)
+    for r in w:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + r[a:b]))
+    return best
+
+
+def aligned(w: list[np.ndarray], a: int, b: int) -> list[tuple[int, int]]:
+    """The pairs (row, column), both rising, of the most weight: rows are halved, and each half gets its columns of [a, b)."""
+    out, todo = [], [(0, len(w), a, b)]
+    while todo:
+        i, j, a, b = todo.pop()
+        if i == j or a == b:
+            continue
+        if j - i == 1:
+            k = a + int(w[i][a:b].argmax())
+            if w[i][k]:
+                out.append((i, k))
+            continue
+        mid = (i + j) // 2
+        after = last_row([r[::-1] for r in w[mid:j][::-1]], len(w[i]) - b, len(w[i]) - a)[::-1]
+        cut = a + int((last_row(w[i:mid], a, b) + after).argmax())
+        todo += [(i, mid, a, cut), (mid, j, cut, b)]
+    return out
+
+
+def merge(a: Slot, b: Slot) -> Slot:
+    """One tree of two of one label: aligned slots are one, those of one side stay."""
+    if a.shape == b.shape and not b.blocks and not a.children:
+        return a
+    out: list[Slot] = []
     i = j = 0
-    for x, y in [*matching(a, b)[1], (len(a[3]), len(b[3]))]:
-        out += a[3][i:x] + b[3][j:y]
-        if x < len(a[3]) and y < len(b[3]):
-            out.append(merge(a[3][x], b[3][y]))
+    pairs = [(k, k) for k in range(len(a.children))] if a.shape == b.shape else matching(a, b)[1]
+    for x, y in [*pairs, (len(a.children), len(b.children))]:
+        out += a.children[i:x] + b.children[j:y]
+        if x < len(a.children) and y < len(b.children):
+            out.append(merge(a.children[x], b.children[y]))
         i, j = x + 1, y + 1
-    if len(out) > 48 and a[1] + b[1] >= 32:  # a template slot is in nearly all pages; what so few of many have is content
-        out = [c for c in out if c[1] * 4 >= a[1] + b[1]]
-    if len(out) > 400:  # very varied lists of few pages; they are content either way
-        most = max(c[1] for c in out)
-        out = [c for c in out if c[1] * 20 > most] or out[:400]
-    return [a[0], a[1] + b[1], a[2] if a[2] == b[2] else None, out, shape(a[0], out)]
-
-
-def constants(tree: list, least_pages: int, share: float) -> list[str]:
-    """The template's texts: path and hash of each slot that ``share`` of the pages have, all with one text."""
-    pages, out = tree[1], []
-
-    def walk(node: list, path: str) -> None:
-        for c in node[3]:
-            if c[0] == "#":
-                if c[2] is not None and c[1] >= share * pages:
-                    out.append(f"{path} {c[2]}")
-            else:
-                walk(c, f"{path}/{c[0]}")
-
-    if pages >= least_pages:
-        walk(tree, "")
+    return Slot(a.label, out, a.blocks + b.blocks)
+
+
+def flat(tree: Slot) -> str:
+    """A tree as text: a line for each node, in order, with its depth and label. The blocks stay behind."""
+    out, todo = [], [(tree, 0)]
+    while todo:
+        node, depth = todo.pop()
+        out.append(f"{depth} {node.label}")
+        todo += [(c, depth + 1) for c in reversed(node.children)]
+    return "\n".join(out)
+
+
+def unflat(lines: str) -> Slot:
+    """The tree of such a text; its nodes are numbered by their lines."""
+    open_: list[tuple[str, list[Slot], int]] = []
+
+    def shut(depth: int) -> None:
+        while len(open_) > depth:
+            label, children, number = open_.pop()
+            slot = Slot(label, children)
+            slot.number = number
+            open_[-1][1].append(slot) if open_ else top.append(slot)
+
+    top: list[Slot] = []
+    for number, line in enumerate(lines.split("\n")):
+        depth, _, label = line.partition(" ")
+        shut(int(depth))
+        open_.append((label, [], number))
+    shut(0)
+    return top[0]
+
+
+def placed(page: Slot, wrapper: Slot) -> list[tuple[int, int]]:
+    """(block, number of its slot) for all blocks of a page that align with a slot of the wrapper."""
+    out, todo = [], [(page, wrapper)]
+    while todo:
+        a, b = todo.pop()
+        out += [(k, b.number) for k in a.blocks]
+        todo += [(a.children[i], b.children[j]) for i, j in matching(a, b)[1]]
+    return out
+
+
+class Placing(dict):
+    """Slots of a page's blocks, by host: pages of one structure are aligned once, as long as they come together."""
+
+    def of(self, host: str, lines: str, page: Slot) -> dict[int, int]:
+        if host not in self:
+            if len(self) > 500:
+                self.clear()
+            self[host] = unflat(lines)
+        return dict(placed(page, self[host]))
+
+
+def digest(text: str) -> int:
+    """A text's hash as a signed 64-bit number."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def content(wrapper: Slot, varied: dict[int, int]) -> list[int]:
+    """The numbers of the slots that hold content where pages mark no article: those of the smallest part of the wrapper with four
+    fifths of the varying text, and of first headings on the way there. ``varied`` has the characters of each slot."""
+    order, todo = [], [wrapper]
+    while todo:
+        order.append(node := todo.pop())
+        todo += node.children
+    held = {node.number: varied.get(node.number, 0) for node in order}
+    for node in reversed(order):
+        held[node.number] += sum([held[c.number] for c in node.children])
+    heads, at = [], wrapper
+    while most := [c for c in at.children if held[c.number] and 5 * held[c.number] >= 4 * held[at.number]]:
+        heads += [c for c in at.children if c.label.split(".")[0] == "h1"]
+        at = most[0]
+    out, todo = [], [at, *heads]
+    while todo:
+        node = todo.pop()
+        if varied.get(node.number):
+            out.append(node.number)
+        todo += node.children
     return sorted(set(out))
 
 
-def main_text(page: str | None, template: frozenset[str]) -> str:
-    """The blocks of a page that are neither set aside nor template: of its articles, or of the whole page if it has none."""
-    if not page:
-        return ""
-    found = [(path, t, off, main) for path, t, off, main in blocks(parse(page))]
-    within = any(main and not off for _, _, off, main in found)
-    return "\n\n".join(t for path, t, off, main in found if not off and main >= within and f"{path} {xxhash.xxh3_64_hexdigest(t)}" not in template)
+def main_text(page: str | None, host: str = "", wrapper: str | None = None, template: frozenset = frozenset(), kept: frozenset = frozenset(), placing: Placing | None = None) -> str:
+    """The text of a page: the blocks of its articles, or of the whole page if it has none, that nothing sets aside and that aren't
+    template; without an article, blocks of the wrapper's content only. Pages of which nothing else is left keep what is template."""
+    blocks, tree = read(page)
+    at = (placing or Placing()).of(host, wrapper, tree) if wrapper else {}
+    within = any([main and not off for _, off, main, _ in blocks])
+    mine = [k for k, (_, off, main, _) in enumerate(blocks) if not off and main >= within and (within or k not in at or at[k] in kept)]
+    fresh = [k for k in mine if k not in at or (at[k], digest(blocks[k][0])) not in template] if template else mine
+    return "\n\n".join([blocks[k][0] for k in (fresh or (mine if within else []))])
 
 
-def templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
-    """(host, template) for hosts with template texts, from rows of host and page; equal pages of a host count once."""
+def wrappers(pages: DataFrame, parts: int = 64) -> DataFrame:
+    """(host, wrapper) from rows of host and html: structures are merged once each, ``parts`` at first for a host."""
     kind = "host string, tree string"
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+    def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEPTH)
+        seen: set[tuple[str, int]] = set()
         for b in batches:
+            out = []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tree = slots(parse(page))
-                held[host] = merge(held[host], tree) if host in held else tree
-            if len(held) > 2000:
-                yield rows(held)
-                held = {}
-        if held:
-            yield rows(held)
-
-    def rows(held: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(t) for t in held.values()])], ["host", "tree"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                tree = read(page)[1]
+                if (host, tree.shape) not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add((host, tree.shape))
+                    out.append((host, flat(tree)))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], ["host", "tree"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEPTH)
         host, tree = None, None
         for b in batches:
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if h != host and tree:
-                    yield rows({host: tree})
-                    tree = None
-                host, tree = h, merge(tree, json.loads(t)) if tree else json.loads(t)
+                if h != host:
+                    if tree:
+                        yield row(host, tree)
+                    host, tree = h, unflat(t)
+                else:
+                    tree = merge(tree, unflat(t))
         if tree:
-            yield rows({host: tree})
+            yield row(host, tree)
+
+    def row(host: str, tree: Slot) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([flat(tree)])], ["host", "tree"])
+
+    found = pages.mapInArrow(structures, kind).distinct().withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(parts)))
+    level = found.repartition("host", "part").sortWithinPartitions("host", "part", F.length("tree"), "tree")
+    level = level.select(F.concat_ws("\n", "host", F.col("part").cast("string")).alias("host"), "tree").mapInArrow(merged, kind)
+    level = level.select(F.substring_index("host", "\n", 1).alias("host"), "tree")
+    return level.repartition("host").sortWithinPartitions("host", F.length("tree"), "tree").mapInArrow(merged, kind).withColumnRenamed("tree", "wrapper")
+
+
+def joined_by_host(rows: DataFrame, table_: DataFrame, text_cols: list[str], how: str, salts: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+    """Joins rows with one row for each host: broadcast where that table is small; else a host, which may have a third of all pages, is
+    dealt in ``salts`` parts, each with a copy of its row."""
+    size = table_.agg(F.count("*"), F.coalesce(F.sum(sum([F.octet_length(F.col(c)) for c in text_cols], F.lit(0))), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= most_bytes:
+        return rows.join(F.broadcast(table_), "host", how)
+    salted = table_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], how).drop("salt")
+
+
+def decided(pages: DataFrame, wrapper: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """(host, wrapper, template, kept): which texts of which slots are template, as alternating numbers and hashes, and which slots hold
+    content. ``pages`` has host and html, ``counts`` the pages of each host."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEPTH)
+        placing = Placing()
+        for b in batches:
+            out: list[tuple] = []
+            for host, page, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found, tree = read(page)
+                mine: dict[tuple[int, int], int] = {}
+                for k, slot in placing.of(host, lines, tree).items():
+                    text, off, _, link = found[k]
+                    mine[slot, digest(text)] = 0 if off or link else len(text)
+                out += [(host, slot, d, n) for (slot, d), n in mine.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())], ["host", "slot", "d", "n"])
+
+    each = joined_by_host(pages.select("page_id", "host", "html"), wrapper, ["wrapper"], "inner").select("host", "html", "wrapper").mapInArrow(blocks, "host string, slot int, d long, n long")
+    each = each.groupBy("host", "slot", "d").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"))
+    each = with_key(each, counts, "host", "inner").withColumn("same", F.col("pages") >= share * F.col("of"))
+    slots = each.groupBy("host", "slot").agg(F.sum(F.when(~F.col("same"), F.col("chars")).otherwise(0)).alias("varied"), F.collect_list(F.when(F.col("same"), F.col("d"))).alias("ds"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "varied", "ds")).alias("slots"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in joined(batches):
-            found = {h: c for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (c := constants(json.loads(t), least_pages, share))}
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.list_(pa.string()))], ["host", "template"])
+        for b in batches:
+            template, kept = [], []
+            for lines, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                template.append([x for r in found for d in sorted(r["ds"]) for x in (r["slot"], d)])
+                kept.append(content(unflat(lines), {r["slot"]: r["varied"] for r in found}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(template, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["host", "wrapper", "template", "kept"])
 
-    parts = pages.mapInArrow(local, kind)
-    level = parts.repartition("host", F.pmod(F.xxhash64("tree"), F.lit(16))).sortWithinPartitions("host", "tree").mapInArrow(joined, kind)
-    return level.repartition("host").sortWithinPartitions("host", "tree").mapInArrow(chosen, "host string, template array<string>")
+    return wrapper.join(slots, "host").select("host", "wrapper", "slots").mapInArrow(chosen, "host string, wrapper string, template array<long>, kept array<long>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, share: float = 0.9) -> DataFrame:
@@ -341,30 +471,37 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     block is one space, and blocks are joined in page order by two line ends.
 
     A null or empty html gives an empty text; a null URL has no host. Rows that repeat are extracted alike and counted once
-    in their host's wrapper. An empty table gives no rows.
+    in their host's wrapper. An empty table gives no rows. Other columns are not read. Elements may nest to any depth.
     """
     small_batches(pages.sparkSession, 4 << 20)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     seen = keep(rows.filter("host <> '' and html <> ''").select("page_id", "host", F.xxhash64("html").alias("h")).withColumn("row", F.struct("page_id", "h")))
-    many = keep(seen.groupBy("host").agg(F.count_distinct("h").alias("n")).filter(F.col("n") >= least_pages).select("host"))
-    copies = keep(with_key(seen, many, "host", "left_semi").groupBy("host", "h").agg(F.min("row").alias("one"), F.count("*").alias("n")).filter("n > 1").select("host", "h", "one"))
-    gone = keep(seen.join(F.broadcast(copies) if copies.count() <= 50_000 else copies, ["host", "h"]).filter("row != one").select(F.struct("page_id", "h").alias("row")).distinct())
-    used = with_key(rows.filter("host <> '' and html <> ''"), many, "host", "left_semi").withColumn("row", F.struct("page_id", F.xxhash64("html").alias("h")))
-    wrapper = keep(templates(with_key(used, gone, "row", "left_anti").select("host", "html"), least_pages, share))
+    different = keep(seen.groupBy("host", "h").agg(F.min("row").alias("one"), F.count("*").alias("n")))
+    many = keep(different.groupBy("host").agg(F.count("*").alias("of")).filter(F.col("of") >= least_pages))
+    copies = keep(with_key(different.filter("n > 1"), many.select("host"), "host", "left_semi").select("host", "h", "one"))
+    gone = keep(seen.join(F.broadcast(copies) if copies.count() <= 50_000 else copies, ["host", "h"]).filter("row != one").select("row").distinct())
+    used = with_key(rows.filter("host <> '' and html <> ''"), many.select("host"), "host", "left_semi")
+    if not gone.isEmpty():
+        used = with_key(used.withColumn("row", F.struct("page_id", F.xxhash64("html").alias("h"))), gone, "row", "left_anti").drop("row")
+    wrapper = keep(wrappers(used.select("host", "html")))
+    wrapper = keep(decided(used, wrapper, many, share))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEPTH)
+        placing, sets = Placing(), {}
         for b in batches:
-            text = [main_text(p, frozenset(t or ())) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    few = wrapper.agg(F.coalesce(F.sum(F.octet_length(F.to_json("template"))), F.lit(0))).first()[0] <= 16 << 20
-    if few:
-        joined = rows.join(F.broadcast(wrapper), "host", "left")
-    else:  # a host may have a third of all pages: it is dealt in 64 parts, each with a copy of its wrapper
-        salted = wrapper.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(64)).cast("int")).join(salted, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(cut, "page_id long, url string, text string, n_chars long")
+            texts = []
+            for page, h, lines, template, kept in zip(*[b.column(k).to_pylist() for k in range(2, 7)], strict=True):
+                if lines and h not in sets:
+                    if len(sets) > 500:
+                        sets.clear()
+                    sets[h] = frozenset(zip(template[::2], template[1::2], strict=True)), frozenset(kept)
+                texts.append(main_text(page, h, lines, *sets[h], placing) if lines else main_text(page))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    joined = joined_by_host(rows, wrapper.withColumn("_all", F.to_json(F.struct("template", "kept"))), ["wrapper", "_all"], "left")
+    return joined.select("page_id", "url", "html", "host", "wrapper", "template", "kept").mapInArrow(cut, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

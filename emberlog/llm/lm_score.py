@@ -121,8 +121,8 @@ class WindowNetwork:
         out[order] = np.log(np.maximum(softmax(z)[row, ids[order] % self.groups], 1e-30))
         return out + np.log(np.maximum(pg[row, ids // self.groups], 1e-30))
 
-    def step(self, ids: np.ndarray, ctx: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> None:
-        """One step of gradient descent on a batch, each parameter by its own past gradients."""
+    def gradient(self, ids: np.ndarray, ctx: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradient of a batch's summed negative log-probability."""
         p, n = self.p, len(ids)
         row = np.arange(n)
         x, h, pg = self.forward(ctx)
@@ -140,10 +140,14 @@ class WindowNetwork:
         grad["w1"], grad["b1"] = x.T @ dz, dz.sum(axis=0)
         dx = (dz @ p["w1"].T).reshape(n, 2 * SIDE, WIDTH)
         grad["embed"] = np.stack([np.bincount(ctx.ravel(), dx[:, :, j].ravel(), self.groups**2 + 1) for j in range(WIDTH)], axis=1)
-        for k, d in grad.items():
-            d = (d / n).astype(np.float32)
+        return grad
+
+    def step(self, ids: np.ndarray, ctx: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> None:
+        """One step of gradient descent on a batch, each parameter by its own past gradients."""
+        for k, d in self.gradient(ids, ctx).items():
+            d = (d / len(ids)).astype(np.float32)
             memory[k] += d * d
-            p[k] -= rate * d / (np.sqrt(memory[k]) + 1e-6)
+            self.p[k] -= rate * d / (np.sqrt(memory[k]) + 1e-6)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -276,30 +280,57 @@ def rare_sums(rows: DataFrame, v: Vocabulary) -> DataFrame:
     return places.join(v.rare, "w", "left").groupBy("row").agg(F.sum(F.coalesce("lp", unseen)).alias("more"))
 
 
-def train(docs: DataFrame, groups: int, rounds: int, batch: int, rate: float, seed: int) -> WindowNetwork:
-    """The network after all rounds; round r takes the documents whose hash is r modulo ``rounds``."""
+def train(docs: DataFrame, groups: int, rounds: int, batch: int, rate: float, seed: int, shard_words: int = 1 << 20) -> WindowNetwork:
+    """The network after all rounds; round r takes the documents whose hash is r modulo ``rounds``.
+
+    A round's documents are dealt by hash to shards of about ``shard_words`` words, as many as the corpus needs. Each shard learns
+    from the network before, in the order of hashes, and their networks are averaged: neither files nor partitions matter.
+    """
     spark = docs.sparkSession
     net = WindowNetwork.begun(groups, seed)
+    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = int(max(1, -(-total // (rounds * shard_words))))
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(net)
+        shared = spark.sparkContext.broadcast((net.flat(), groups))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            mine = shared.value.filled(shared.value.flat())
-            memory = {k: np.full(s, 1e-3, np.float32) for k, s in shapes(groups).items()}
-            seen = 0
+            start, memory, net, seen, now, waiting = shared.value[0], {}, None, 0, None, 0
+            held: list[pa.RecordBatch] = []
+
+            def take() -> None:
+                nonlocal seen
+                parts = [unpacked(b) for b in held]
+                held.clear()
+                ids, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                ctx = contexts(ids, n, groups * groups)
+                for at in range(0, len(ids), batch):
+                    net.step(ids[at : at + batch], ctx[at : at + batch], memory, rate)
+                seen += len(ids)
+
+            def learnt() -> Iterator[pa.RecordBatch]:
+                if held:
+                    take()
+                if seen:
+                    for pdf in vector_rows("p", net.flat() * float(seen), seen, task=now):
+                        yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
+
             for whole in batches:
-                for b in rows_of(whole, 1 << 18, "tokens"):
-                    ids, n = unpacked(b)
-                    ctx = contexts(ids, n, groups * groups)
-                    for at in range(0, len(ids), batch):
-                        mine.step(ids[at : at + batch], ctx[at : at + batch], memory, rate)
-                    seen += len(ids)
-            if seen:
-                for pdf in vector_rows("p", mine.flat() * float(seen), seen):
-                    yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
-
-        part = docs.filter(F.pmod("h", F.lit(rounds)) == r)
-        found = sum_vectors(part.select("n", "tokens").mapInArrow(learn, VECTORS))
+                for k in range(whole.num_rows):
+                    b = whole.slice(k, 1)
+                    shard = b.column("shard")[0].as_py()
+                    if shard != now:
+                        yield from learnt()
+                        net = WindowNetwork({}, groups).filled(start)
+                        memory, seen, now, waiting = {name: np.full(s, 1e-3, np.float32) for name, s in shapes(groups).items()}, 0, shard, 0
+                    held.append(b)
+                    waiting += b.column("n")[0].as_py()
+                    if waiting >= 1 << 17:
+                        take()
+                        waiting = 0
+            yield from learnt()
+
+        part = docs.filter((F.pmod("h", F.lit(rounds)) == r) & (F.col("n") > 0)).select("n", "tokens", "h", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"))
+        found = sum_vectors(part.repartition(shards, "shard").sortWithinPartitions("shard", "h").mapInArrow(learn, VECTORS))
         if found:
             net = net.filled(found["p"][1] / found["p"][0])
     return net
@@ -317,10 +348,10 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     rows = keep(words_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     known = vocabulary(rows, head)
     rows = keep(tokens_of(rows, known))
-    shared = spark.sparkContext.broadcast(train(rows, known.groups, rounds, batch, rate, seed))
+    shared = spark.sparkContext.broadcast((train(rows, known.groups, rounds, batch, rate, seed).flat(), known.groups))  # not the class: executors may lack it
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        net = WindowNetwork({}, shared.value[1]).filled(shared.value[0])
         for whole in batches:
             for b in rows_of(whole, 1 << 18, "tokens"):
                 ids, n = unpacked(b)

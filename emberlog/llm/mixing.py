@@ -104,3 +104,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: all documents."""
     return mix(table(spark, sf_dir, "documents"))
+
+
+#: What SQL can say of the result: sizes and targets. Taken words depend on the shuffle. Caps take at most as many rounds as there are sources.
+SHARES_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source
+), w AS (SELECT source, source_size, n, [3, 1, 2][(n - 1) % 3 + 1] AS weight, 2.0 * source_size AS cap FROM s),
+fill AS (
+  SELECT 0 AS round, n, weight, cap, false AS capped, 1.5 * sum(source_size) OVER () * weight / sum(weight) OVER () AS target FROM w
+  UNION ALL
+  SELECT round + 1, n, weight, cap, capped OR target > cap,
+         CASE WHEN capped OR target > cap THEN cap ELSE
+           (sum(target) OVER () - sum(CASE WHEN capped OR target > cap THEN cap ELSE 0 END) OVER ()) * weight
+           / nullif(sum(CASE WHEN capped OR target > cap THEN 0 ELSE weight END) OVER (), 0) END
+  FROM fill WHERE round < (SELECT count(*) FROM w)
+)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, w.source_size, CAST(f.target AS DOUBLE) AS target
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source JOIN fill f ON f.n = w.n AND f.round = (SELECT max(round) FROM fill)
+"""

@@ -2,7 +2,8 @@
 
 A window is k consecutive words. Its minimiser is the m-word piece with the least hash in it; consecutive windows share
 one, and travel together to the minimiser's bucket as one packed string of words instead of as k words each. In the
-bucket the windows are sorted and equal ones counted exactly: hashes order them, word numbers decide.
+bucket the windows are sorted and equal ones counted exactly: hashes order them, word numbers decide. A bucket that outgrows
+its bound is passed on unread, and its windows meet by 128-bit hashes in a shuffle that splits them.
 
 Within a chunk of documents only the first window of each word sequence travels: the others have an earlier
 equal already. So a passage that a third of all documents share reaches its bucket once for each chunk.
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import as_bytes, join_groups, keep, mixed, small_batches, table
+from emberlog.llm.common import BROADCAST_ROWS, as_bytes, join_groups, keep, mixed, small_batches, table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -148,10 +149,10 @@ def packing(k: int, m: int, buckets: int, chunk_bytes: int):
             for name, v in zip(rows, values, strict=True):
                 rows[name].append(v)
 
-        mark = at[again]
+        mark, deal = at[again], (mixed(ids.astype(np.uint64) ^ ths.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         for d in np.unique(w.doc[mark]):
             a, z = runs(w.place[mark[w.doc[mark] == d]])
-            row(int(d) % buckets, ids[d], ths[d], a, z, None)
+            row(int(deal[d]), ids[d], ths[d], a, z, None)
         a, z, least = super_kmers(w, at[~again], k, m)
         bucket = (least % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((a, bucket))
@@ -167,40 +168,87 @@ def packing(k: int, m: int, buckets: int, chunk_bytes: int):
     return pack
 
 
-def counting(k: int):
-    """The bucket side: exact marks of all windows that have an earlier equal; chunk marks pass through."""
-    names = ["doc_id", "th", "first", "last"]
+def opened(blob: bytes, press) -> tuple[np.ndarray, list[list[bytes]]]:
+    """(id, text hash, place) of each super-k-mer of a packed row, as columns, and their words."""
+    data = press.decompress(blob)
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data[4 : 4 + 24 * n], np.int64).reshape(3, n), [line.split() for line in data[4 + 24 * n :].split(b"\n")]
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = [tuple(x) for x in pdf[pdf["packed"].isna()][names].itertuples(index=False)]
-        press = zstandard.ZstdDecompressor()
-        texts: list[list[bytes]] = []
-        where = []
-        for blob in pdf["packed"].dropna():
-            data = press.decompress(blob)
-            n = int.from_bytes(data[:4], "little")
-            where.append(np.frombuffer(data[4 : 4 + 24 * n], np.int64).reshape(3, n))
-            texts += [line.split() for line in data[4 + 24 * n :].split(b"\n")]
-        if not texts:
-            return pd.DataFrame(done, columns=names)
-        ids, ths, place = np.concatenate(where, axis=1)
-        w = Words(texts)
+
+MARKS = "doc_id long, th long, first array<int>, last array<int>, packed binary"
+
+
+def mark_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "th", "first", "last", "packed"])
+
+
+def counting(k: int, most_bytes: int):
+    """The bucket side, over rows sorted by bucket: exact marks of all windows that have an earlier equal. Chunk marks pass through,
+    and so do the packed rows of a bucket that holds more than ``most_bytes``."""
+
+    def counted(blobs: list[bytes], press) -> list[tuple]:
+        parts = [opened(blob, press) for blob in blobs]
+        ids, ths, place = np.concatenate([p[0] for p in parts], axis=1)
+        w = Words(list(chain.from_iterable(p[1] for p in parts)))
         at = w.starts(k)
         mine = w.doc[at]
         again = repeats(w, at, ids[mine], place[mine] + w.place[at], k)
         out = pd.DataFrame({"doc_id": ids[mine[again]], "th": ths[mine[again]], "p": (place[mine] + w.place[at])[again]})
-        rows = [(d, t, *runs(np.sort(g.to_numpy()))) for (d, t), g in out.groupby(["doc_id", "th"])["p"]]
-        return pd.DataFrame(done + rows, columns=names)
+        return [(d, t, *runs(np.sort(g.to_numpy())), None) for (d, t), g in out.groupby(["doc_id", "th"])["p"]]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        now, blobs, held, over = None, [], 0, False
+        for b in batches:
+            out = []
+            for bucket, d, t, first, last, blob in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if bucket != now:
+                    if blobs:
+                        out += counted(blobs, press)
+                    now, blobs, held, over = bucket, [], 0, False
+                if blob is None:
+                    out.append((d, t, first, last, None))
+                    continue
+                blobs.append(blob)
+                held += zstandard.frame_content_size(blob)
+                if over := over or held > most_bytes:
+                    out += [(None, None, None, None, x) for x in blobs]
+                    blobs = []
+            if out:
+                yield mark_rows(out)
+        if blobs:
+            yield mark_rows(counted(blobs, press))
 
     return count
 
 
-def marked(docs: DataFrame, k: int, m: int, bucket_bytes: int, chunk_bytes: int) -> DataFrame:
+def marked_apart(packed: DataFrame, k: int) -> DataFrame:
+    """Marks of the windows of packed rows, one row a window: (doc_id, th, first, last)."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                where, texts = opened(blob, press)
+                rows = [(xxhash.xxh3_128_digest(b" ".join(t[i : i + k])), d, th, p + i) for d, th, p, t in zip(*where.tolist(), texts, strict=True) for i in range(len(t) - k + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32()))], ["w", "doc_id", "th", "p"])
+
+    rows = keep(packed.mapInArrow(windows, "w binary, doc_id long, th long, p int"))
+    firsts = keep(rows.groupBy("w").agg(F.min(F.struct("doc_id", "p")).alias("one"), F.count("*").alias("size")).filter("size > 1"))
+    later = join_groups(rows, firsts, "w", "size", rows.count()).filter(F.struct("doc_id", "p") > F.col("one"))
+    return later.select("doc_id", "th", F.array("p").alias("first"), F.array("p").alias("last"))
+
+
+def marked(docs: DataFrame, k: int, m: int, bucket_bytes: int, chunk_bytes: int, most_bytes: int) -> DataFrame:
     """For each document with windows to remove: doc_id, th (a hash of its text), spans (first and last start of runs of them)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     buckets = int(max(32, 3 * size // bucket_bytes))
     packed = docs.mapInArrow(packing(k, m, buckets, chunk_bytes), PACK)
-    found = packed.repartition(max(32, min(buckets, int(3 * size // (8 << 20)))), "bucket").groupBy("bucket").applyInPandas(counting(k), "doc_id long, th long, first array<int>, last array<int>")
+    found = keep(packed.repartition(max(32, min(buckets, int(3 * size // (8 << 20)))), "bucket").sortWithinPartitions("bucket").mapInArrow(counting(k, most_bytes), MARKS))
+    over, found = found.filter("packed is not null").select("packed"), found.filter("packed is null").drop("packed")
+    if not over.isEmpty():
+        found = found.unionByName(marked_apart(over, k))
     return found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.arrays_zip("first", "last"))).alias("spans"))
 
 
@@ -213,11 +261,12 @@ def covered(n: int, spans: list, k: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 50, m: int = 3, bucket_bytes: int = 6 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 50, m: int = 3, bucket_bytes: int = 6 << 20, chunk_bytes: int = 8 << 20, most_bytes: int = 96 << 20) -> DataFrame:
     """Removes every word in a window of ``k`` words that also starts earlier: doc_id, n_words, n_removed, kept_text.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Earlier means a smaller id, or the same id and an earlier start; windows
-    are judged on the input. kept_text is the kept words joined by one space. ``m`` is the words of a minimiser.
+    are judged on the input. kept_text is the kept words joined by one space. ``m`` is the words of a minimiser;
+    a task holds a bucket of at most ``most_bytes``.
 
     Null, empty and shorter texts lose nothing (n_words 0 where there are none). Rows that repeat an id and text are equally
     early and lose nothing to each other; rows that repeat an id with other texts are compared by start alone. A null id
@@ -226,8 +275,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("t").alias("th"), "t")
-    marks = keep(marked(rows, k, m, bucket_bytes, chunk_bytes))
-    spans = marks.select("doc_id", "th", "spans")
+    marks = keep(marked(rows, k, m, bucket_bytes, chunk_bytes, most_bytes))
+    count, spans_held = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    few = count <= BROADCAST_ROWS and spans_held <= 2 * BROADCAST_ROWS  # then texts stay where they are
+    spans = F.broadcast(marks.select("doc_id", "th", "spans")) if few else marks.select("doc_id", "th", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

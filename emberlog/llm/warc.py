@@ -1,8 +1,9 @@
 """WARC archives of web captures, and their merged index.
 
 Pages are written as WARC 1.1 records by Spark's own file writer, sorted by URL key and time within each file, so that every
-file's index is a sorted run. Reading the archives gives the runs back; ranges of the key are dealt to tasks, and each task
-merges its parts of all runs with a loser tree, which makes the globally ordered capture history.
+file's index is a sorted run on the shared storage. Reading the archives gives the runs back; ranges of the key are dealt to tasks,
+Spark hands each task its part of one run after another, as they stand in the files, and a loser tree merges them by key and
+time into the globally ordered capture history. A range is bounded, whatever the number of runs or of captures of one URL.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,8 +55,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     null id is never a revisit and is referred to by none. Rows that repeat an id and a payload are written alike. An empty
     table gives files without records.
 
-    With ``compression``, each file is compressed as a whole. Files are named by Spark's writer.
+    With ``compression``, each file is compressed as a whole, by a codec that readers don't split. Files are named by Spark's writer.
     """
+    if compression not in ("gzip", "deflate", "lz4", "snappy"):
+        raise ValueError("archives need a codec that isn't split: gzip, deflate, lz4 or snappy")
     rows = captures(pages, id_col, url_col, html_col, ts)
     again = keep(revisits(rows, least_bytes).withColumn("key", F.struct("id", "digest")).select("key", "refers_to"))
     rows = with_key(rows.withColumn("key", F.struct("id", "digest")), again, "key")
@@ -90,7 +94,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record under ``path``: ``CAPTURE`` without urlkey; at is the record's place in its file.
 
     The reader cuts files at the first line of a record; where a payload holds such a line, the pieces are put together again
-    by the record's stated length. Digests and sizes of responses are taken from the payload that was read.
+    by the record's stated length. Digests and sizes of responses are taken from the payload that was read. A record that ends
+    before its length is an error that names its file.
     """
     small_batches(spark)
 
@@ -100,6 +105,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, piece in zip(b.column(1).to_pylist(), as_bytes(b.column(0)), strict=True):
                 if name != run:
+                    whole(run, at, part)
                     run, at, part = name, 0, b""
                 part = part + MAGIC.encode() + piece if part else piece
                 head, gap, rest = part.partition(END.encode())
@@ -118,6 +124,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 at, part = at + 1, b""
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], NAMES)
+        whole(run, at, part)
+
+    def whole(run: str | None, at: int, part: bytes) -> None:
+        if part:
+            raise ValueError(f"record {at} of {run} is damaged: it ends before its length")
 
     lines = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_name").alias("run"))
     return lines.mapInArrow(parse, CAPTURE.removeprefix("urlkey string, "))
@@ -179,13 +190,12 @@ def merged_index(records: DataFrame, rows_a_range: int = 100_000) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 key, ts, i, run, at = (row[k] for k in order)
                 runs.setdefault(run, []).append(((key.encode(), ts, i is not None, i or 0, run, at), row))
-        for run in runs.values():
-            run.sort(key=lambda x: x[0][-1])  # each run as it stands in its file, whose order is that of the key
-        out = [row for _, row in LoserTree([runs[k] for k in sorted(runs)])]
-        cols = list(zip(*out, strict=True)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), *KINDS], strict=True)], names)
+        merged = (row for _, row in LoserTree([runs[k] for k in sorted(runs)]))
+        while out := list(islice(merged, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), *KINDS], strict=True)], names)
 
-    return rows.select(*names).repartitionByRange(ranges, "urlkey", "ts", "id").mapInArrow(merge, CAPTURE)
+    parts = rows.select(*names).repartitionByRange(ranges, "urlkey", "ts", "id").sortWithinPartitions("run", "at")
+    return parts.mapInArrow(merge, CAPTURE)
 
 
 def remove(spark: SparkSession, path: str) -> None:
