@@ -34,7 +34,7 @@ def mixing(spark, docs, sf_dir):
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", decontaminate), ("mixing", mixing)]
-#: No SQL for the classifier and the confirmed links; tests compare the stages with brute force.
+#: No SQL for the classifier and the confirmed links; tests/llm/test_contracts.py compares each stage with plain Python.
 ORACLE_SQL = None
 
 
