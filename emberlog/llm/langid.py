@@ -84,7 +84,7 @@ def train(rows: DataFrame, text_col: str, lang_col: str, rows_a_language: int =
     """
     small_batches(rows.sparkSession)
     keyed = rows.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).filter("t is not null and lang is not null").withColumn("h", F.xxhash64("t"))
-    count = keyed.groupBy("lang").count()
+    count = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("count"))  # of different texts: copies don't crowd others out
     least = keyed.join(F.broadcast(count), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.lit(float(rows_a_language << 20)) / F.col("count") * 1.5 + 64)  # about as many as are asked for
     ranked = least.dropDuplicates(["lang", "t"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("n") <= rows_a_language)
 

@@ -404,7 +404,7 @@ def test_pseudo_likelihood_equals_a_plain_loop(spark):
 def test_scores_do_not_depend_on_the_partitions(spark):
     docs = spark.createDataFrame(list(enumerate(made(51, 60, 40))), "doc_id long, text string")
     one, many = ({r["doc_id"]: r["log_prob"] for r in lm_score.lm_score(d).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text")))
-    assert one == pytest.approx(many, abs=1e-9)
+    assert one == pytest.approx(many, abs=1e-4)  # products in single precision
 
 
 def test_mixing_sql_columns(spark):
