@@ -51,7 +51,7 @@ def test_near_dedup_equals_brute_force(docs):
                 part = {i: low if p == high else p for i, p in part.items()}
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, width=3, num=85).collect()}
     assert got == part
-    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, width=3, num=85, small=2, depth=2).collect()} == part
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, width=3, num=85, small=2).collect()} == part
 
 
 def test_substring_dedup_equals_brute_force(docs):
