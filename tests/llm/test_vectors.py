@@ -163,7 +163,7 @@ def test_factor_trades_recall_for_work():
     tree = vptree.Tree(m, 32)
     exact = np.argsort(-(queries @ m.T) + 1e9 * (ids[::20][:, None] == ids), axis=1, kind="stable")[:, :10]
     seen, recall = [], []
-    for factor in (1.0, 0.8, 0.4):
+    for factor in (1.0, 0.9, 0.4):
         s = vptree.Search(ids, m, tree.order, tree.nodes, ids[::20], queries, 10, factor)
         s.run()
         seen.append(s.seen)
