@@ -1,15 +1,18 @@
-"""Streaming twins: rate limits and thresholds with state, live counts, and normalization in micro-batches."""
+"""Streaming twins: rate limits, thresholds and sequences with state, live counts, and normalization in micro-batches."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from emberlog.operators import stage_rules
+from emberlog.operators.automata import Automaton, Hit, run
 from emberlog.plans.normalize import discard, folder, normalize
 
 Deliver = Callable[[DataFrame, int], object]
@@ -46,6 +49,96 @@ def limited(lines: DataFrame, rate: float, peer: str = "peer", at_ms: str = "rec
     return rows.groupBy(peer).applyInPandasWithState(spend, f"{peer} string, {at_ms} long, raw string, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class Lanes(StatefulProcessor):
+    """The open match of one lane and rule, and its hits that the watermark hasn't passed.
+
+    Hits wait until no earlier one can come, so they are folded in the order of a batch. One timer stands at the first moment that
+    matters: of the earliest hit that waits, or the last of the open match, after which its state goes.
+    """
+
+    def __init__(self, automata: dict[str, Automaton], names: list[str], order: list[str]):
+        self.automata, self.names, self.order = automata, names, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.match = handle.getValueState("match", "state binary")
+        self.waiting = handle.getListState("waiting", "hit binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for pdf in rows:
+            ties = pdf[self.order].itertuples(index=False, name=None) if self.order else [()] * len(pdf)
+            for at_ms, tie, flags, values in zip(pdf["at_ms"].tolist(), ties, pdf["flags"], pdf["values"], strict=True):
+                new.append((at_ms, tuple(tie), [bool(f) for f in flags], [list(v) for v in values]))
+        if new:
+            self.waiting.appendList([(pickle.dumps(h),) for h in new])
+            self.wake(min(h[0] for h in new))
+        yield from self.settle(key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.settle(key, timerValues)
+
+    def wake(self, at_ms: int) -> None:
+        """Keeps the earliest of the timer that stands and this one."""
+        held = list(self.handle.listTimers())
+        if not held or at_ms < min(held):
+            for t in held:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
+
+    def settle(self, key: tuple, timers) -> Iterator[pd.DataFrame]:
+        """Folds the hits that the watermark has passed, drops a match that can't go on, and sets the next timer."""
+        passed = timers.getCurrentWatermarkInMs()
+        held = sorted((pickle.loads(r[0]) for r in self.waiting.get()), key=lambda h: (h[0], h[1], h[3]))
+        ready = [h for h in held if h[0] <= passed]
+        automaton = self.automata[key[-1]]
+        state = pickle.loads(self.match.get()[0]) if self.match.exists() else None
+        end = automaton.until(state)
+        if not ready and not (end is not None and end < passed):
+            return
+        state, alerts = run(automaton, state, [Hit(at_ms, flags, values) for at_ms, _, flags, values in ready])
+        end = automaton.until(state)
+        if state is None or (end is not None and end < passed):
+            self.match.clear()
+            end = None
+        else:
+            self.match.update((pickle.dumps(state),))
+        rest = held[len(ready) :]
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put([(pickle.dumps(h),) for h in rest])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        moments = [h[0] for h in rest[:1]] + ([end] if end is not None else [])
+        if moments:
+            self.handle.registerTimer(max(min(moments), passed + 1))
+        if alerts:
+            yield pd.DataFrame([(*key, t) for t in alerts], columns=[*self.names, "at_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """The state store that streams of ``correlated`` need; its folder is the stream's checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def correlated(events: DataFrame, rules: dict[str, stage_rules.StageRule], keys: dict[str, Column], at_ms: str, late: str = "10 minutes", order: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts (keys, rule, at_ms) of a stream of events: those that ``stage_rules.hits`` and ``correlate.folded`` give for the same rows at once.
+
+    Events may come late and out of order by ``late``; later ones are left out, as the watermark says. An alert comes out when the watermark has passed its
+    time. A lane holds its hits of the last ``late``, and a match of bounded size, until it can't go on; a rule without a window holds its match for good.
+    """
+    keep_state_on_disk(events.sparkSession)
+    timed = events.withColumn("_at", F.timestamp_millis(F.col(at_ms).cast("long"))).withWatermark("_at", late)
+    found = stage_rules.hits(timed, rules, keys, at_ms, (*order, "_at"))
+    by = [*keys, "rule"]
+    processor = Lanes({name: r.automaton for name, r in rules.items()}, by, list(order))
+    return found.groupBy(*by).transformWithStateInPandas(processor, ", ".join(f"{k} string" for k in by) + ", at_ms long", outputMode="Append", timeMode="EventTime")
+
+
 def live_counts(events: DataFrame, at: str, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Events by window, class and pack, of a stream; state older than the watermark goes."""
     return events.withWatermark(at, late).groupBy(F.window(at, window).alias("window"), "class_name", F.coalesce("pack", F.lit("fallback")).alias("pack")).agg(F.count("*").alias("n"))
