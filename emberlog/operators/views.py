@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import snake
-from emberlog.operators import rules
+from emberlog.functions.timestamps import epoch_ms
+from emberlog.operators import correlate, rules, stage_rules
 
 KINDS = ("native", "alias", "unmapped", "lineage", "lost", "absent")
 TEXTS = "cast(array() as array<string>)"
@@ -182,6 +183,50 @@ def verdicts(events: DataFrame, docs: dict[str, dict], dictionary: Dictionary, c
     return flags.groupBy(case, "rule").agg(*[F.bool_or(v).alias(v) for v in views])
 
 
+# Fields that name a source's host, in turn, and those that hold its time.
+HOSTS = ["hostname", "System.Computer", "agent_ip"]
+TIMES = ["timestamp", "time", "System.TimeCreated.SystemTime", "UtcTime", "@timestamp", "ts"]
+
+
+def lanes_and_time(events: DataFrame, raw: RawView, time_col: str = "time") -> DataFrame:
+    """Adds lane_raw and lane_event, the host as the source's fields and as the typed event name it (in lower case; "_" if neither does), and
+    at_ms: the first of the source's times that can be read, else the event's."""
+    first = lambda names: F.array_compact(F.array(*[F.nullif(F.get(raw.get(n), F.lit(0)), F.lit("")) for n in names]))
+    hosts = [F.nullif(F.try_element_at("attrs", F.lit(p)), F.lit("")) for p in ("device.hostname", "device.ip")]
+    return events.withColumns(
+        {
+            "lane_raw": F.lower(F.coalesce(F.get(first(HOSTS), F.lit(0)), F.lit("_"))),
+            "lane_event": F.lower(F.coalesce(*hosts, F.lit("_"))),
+            "at_ms": F.coalesce(F.get(F.array_compact(F.transform(first(TIMES), lambda v: epoch_ms(v))), F.lit(0)), F.col(time_col).cast("long"), F.lit(0)),
+        }
+    )
+
+
+def stage_verdicts(events: DataFrame, docs: dict[str, dict], dictionary: Dictionary, case: str = "case_id", time_col: str = "time", source: Column | None = None, kinds: dict[str, str] | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """(case, rule, raw, native, whole) of stage rules: whether a case's events set off a rule, as each view sees them, where any does.
+
+    ``events`` has the columns that ``EventView`` reads, and the event's time. The source's view has lanes of its own; all views go by one time.
+    Hits of all rules and views are folded in one pass, by case, lane and rule; ``order`` settles equal times. ``kinds`` are types that datasets state for rules.
+    """
+    raw = RawView(dictionary=dictionary)
+    looks = {"raw": raw.get, "native": lambda n: EventView(dictionary, False, raw).lookup(n)["values"], "whole": lambda n: EventView(dictionary, True, raw).lookup(n)["values"]}
+    asking = stage_rules.Looked()
+    for doc in docs.values():
+        stage_rules.compiled(doc, asking)
+    names = {name: f"f{i}" for i, name in enumerate(sorted(asking.asked))}
+    events = lanes_and_time(events, raw, time_col)
+    for view, get in looks.items():  # each name is looked up once for a view, whatever many conditions ask for it
+        events = events.withColumn(f"_{view}", F.struct(F.lit(0).alias("none"), *[get(name).alias(at) for name, at in names.items()]))
+    seen_by = lambda view: stage_rules.Looked(lambda name: F.col(f"_{view}")[names[name]])
+    rules = {f"{view}:{name}": stage_rules.compiled(doc, seen_by(view), source, (kinds or {}).get(name)) for view in looks for name, doc in docs.items()}
+    keys = {"_case": F.col(case), "lane": lambda name: F.col("lane_raw" if name.startswith("raw:") else "lane_event")}
+    found = stage_rules.hits(events, rules, keys, "at_ms", order)
+    alerts = correlate.folded(found, {name: r.automaton for name, r in rules.items()}, ("_case", "lane"), order)
+    seen = alerts.select("_case", F.regexp_extract("rule", "^[a-z]+:(.*)$", 1).alias("rule"), F.substring_index("rule", ":", 1).alias("view"))
+    flags = seen.groupBy("_case", "rule").agg(*[F.bool_or(F.col("view") == v).alias(v) for v in looks])
+    return flags.select(F.col("_case").cast(events.schema[case].dataType).alias(case), "rule", *looks)
+
+
 def report(found: DataFrame, cases: DataFrame, case: str = "case_id") -> DataFrame:
     """One row for each view (native, whole): cases, kept (verdict as on the source's fields), correct, detected and silent of those
     expected so, lost and false alerts. ``cases`` has case, rule and expected."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import correlate, rules, stage_rules, views
 from emberlog.operators.extract import prepare
 from emberlog.operators.views import Candidate, Dictionary
+from emberlog.sources.shared import shared_dir
+from emberlog.streaming import streams
 
 AT_MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
@@ -103,7 +107,49 @@ def expected(case: Column) -> Column:
     return case % 2 == 0
 
 
-QUERIES = {"corr_threshold": thresholds, "corr_sequence": sequences, "stage_threshold": stage_threshold, "stage_sequence": stage_sequence, "sigma_gated": gated, "view_attribution": attributed, "replay_report": replayed}
+PLACES = Dictionary(raw={"src_endpoint.ip": [Candidate("srcip")], "activity_name": [Candidate("CustomKey")]})
+REPLAYED = {
+    "path": {
+        "ruleFormat": "IR_v1", "window": {"durationSeconds": 1_728_000}, "maxGapSeconds": 864_000,
+        "stages": [
+            {"match": {"conditions": [{"field": "activity_name", "value": "view"}]}},
+            {"match": {"operator": "OR", "conditions": [{"field": "src_endpoint.ip", "operator": "equals_field:stage0.src_endpoint.ip"}], "groups": [{"conditions": [{"field": "activity_name", "value": "Purchase"}]}]}},
+        ],
+    },
+    "busy": {"windowMinutes": 14_400, "stages": [{"conditions": [{"field": "activity_name", "operator": "in", "values": ["error", "click", "signup"]}], "minOccurrences": 3, "requireDistinctField": "activity_name", "minDistinctCount": 2}]},
+}
+
+
+def replayed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage rules over both views: a part of the activities and half of the times are only in the source's fields, and some sources name no host."""
+    e = rows(spark, sf_dir)
+    some = lambda name, value, when: F.map_filter(F.create_map(F.lit(name), F.when(when, value)), lambda k, v: v.isNotNull())
+    ip, host = F.concat(F.lit("10.0.0."), F.col("event_id") % 5), F.col("user_id") % 3
+    typed_rows = e.select(
+        "event_id", (F.col("event_id") % 701).alias("case_id"), F.col("at_ms").alias("time"), F.lit("file_activity").alias("class_name"),
+        F.map_concat(F.create_map(F.lit("src_endpoint.ip"), ip, F.lit("device.hostname"), F.concat(F.lit("h"), host)), some("activity_name", F.col("event_type"), F.col("event_id") % 2 == 0)).alias("attrs"),
+        some("activity_name", F.col("event_type"), F.col("event_id") % 3 == 0).alias("unmapped"), F.expr("cast(map() as map<string,array<string>>)").alias("lineage"),
+        F.map_concat(F.create_map(F.lit("srcip"), ip, F.lit("CustomKey"), F.col("event_type")), some("hostname", F.concat(F.lit("H"), host), F.col("event_id") % 4 != 0), some("UtcTime", F.date_format(F.expr("ts + interval 1 hour"), "yyyy-MM-dd HH:mm:ss"), F.col("event_id") % 2 == 1)).alias("fields"),
+    )
+    return views.stage_verdicts(typed_rows, REPLAYED, PLACES, order=("event_id",))
+
+
+def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold and a sequence over the events table read as a stream, to its end; alerts of the last ten minutes are still open.
+
+    The table may be one file, which a stream reads only by a pattern.
+    """
+    path = f"{sf_dir}/events.parquet"
+    prepare(spark)
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("at_ms", F.expr(AT_MS))
+    made = {doc["ruleId"]: stage_rules.compiled(doc, stage_fields()) for doc in (THRESHOLD_RULE, SEQUENCE_RULE)}
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    query = streams.correlated(events, made, {"lane": F.col("user_id")}, "at_ms", "10 minutes", ("event_id",)).writeStream.format("parquet").option("path", f"{folder}/alerts").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("lane string, rule string, at_ms long").parquet(f"{folder}/alerts")
+
+
+QUERIES = {"replay_stages": replayed_stages, "stream_alerts": streamed_alerts, "corr_threshold": thresholds, "corr_sequence": sequences, "stage_threshold": stage_threshold, "stage_sequence": stage_sequence, "sigma_gated": gated, "view_attribution": attributed, "replay_report": replayed}
 
 
 def walk(hits: str, start: str, step: str) -> str:
@@ -131,3 +177,30 @@ SQL = {
     "view_attribution": "SELECT name, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS name, {kind} AS kind FROM events" for name, kind in KIND.items()) + ") GROUP BY ALL",
     "replay_report": "WITH e AS (SELECT event_id % 97 AS case_id, event_id % 2 = 0 AS even, event_id % 3 = 0 AS third, event_type = 'error' AS err, event_type = 'purchase' AND event_id % 250 < 128 AS buy FROM events), f AS (SELECT case_id, case_id % 2 = 0 AS expected, bool_or(err) AS raw, bool_or(err AND even) AS native, bool_or(err AND even) AS whole FROM e GROUP BY 1, 2 UNION ALL SELECT case_id, case_id % 2 = 0, bool_or(buy), false, bool_or(buy AND third) FROM e GROUP BY 1, 2), v AS (SELECT 'native' AS view, expected, raw, native AS verdict FROM f UNION ALL SELECT 'whole', expected, raw, whole FROM f) SELECT view, count(*) AS cases, CAST(count_if(verdict = raw) AS BIGINT) AS kept, CAST(count_if(raw = expected) AS BIGINT) AS oracle_correct, CAST(count_if(verdict = expected) AS BIGINT) AS correct, CAST(count_if(verdict AND expected) AS BIGINT) AS detected, CAST(count_if(NOT verdict AND NOT expected) AS BIGINT) AS silent, CAST(count_if(raw AND NOT verdict) AS BIGINT) AS lost, CAST(count_if(NOT raw AND verdict) AS BIGINT) AS false_alerts FROM v GROUP BY view",
 }
+CUT = "WHERE at_ms <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000"
+SQL["stream_alerts"] = f"SELECT lane, 'busy' AS rule, at_ms FROM ({SQL['stage_threshold']}) {CUT} UNION ALL SELECT lane, 'path' AS rule, at_ms FROM ({SQL['stage_sequence']}) {CUT}"
+SQL["replay_stages"] = """
+WITH RECURSIVE e AS (
+  SELECT event_id, event_id % 701 AS case_id, event_type, event_id % 5 AS ip, user_id % 3 AS host,
+    CASE WHEN event_id % 2 = 1 THEN epoch_us(date_trunc('second', ts)) // 1000 + 3600000 ELSE epoch_us(ts) // 1000 END AS t FROM events),
+h AS (
+  SELECT 'raw' AS view, case_id, CASE WHEN event_id % 4 <> 0 THEN 'h' || host ELSE '_' END AS lane, t, event_id, event_type AS kind, ip FROM e
+  UNION ALL SELECT 'native', case_id, 'h' || host, t, event_id, CASE WHEN event_id % 2 = 0 THEN event_type END, ip FROM e
+  UNION ALL SELECT 'whole', case_id, 'h' || host, t, event_id, CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN event_type END, ip FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY view, case_id, lane ORDER BY t, event_id) AS rn FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY view, case_id, lane ORDER BY t, event_id) AS rn FROM h WHERE kind IN ('error', 'click', 'signup')),
+path AS (
+  SELECT DISTINCT view, case_id, lane, CAST(0 AS BIGINT) AS rn, false AS open, CAST(0 AS BIGINT) AS began, CAST(NULL AS BIGINT) AS first, false AS alert FROM p
+  UNION ALL
+  SELECT view, case_id, lane, rn, CASE WHEN still THEN NOT passes ELSE opens END, CASE WHEN still THEN began ELSE t END, CASE WHEN still THEN first ELSE ip END, still AND passes FROM (
+    SELECT p.view, p.case_id, p.lane, p.rn, w.began, w.first, p.t, p.ip, coalesce(p.kind = 'view', false) AS opens, w.open AND p.t - w.began <= 864000000 AS still, p.ip = w.first OR coalesce(p.kind = 'purchase', false) AS passes
+    FROM path w JOIN p ON p.view = w.view AND p.case_id = w.case_id AND p.lane = w.lane AND p.rn = w.rn + 1)),
+busy AS (
+  SELECT DISTINCT view, case_id, lane, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(t BIGINT, v VARCHAR)[]) AS held, false AS alert FROM b
+  UNION ALL
+  SELECT view, case_id, lane, rn, CASE WHEN enough THEN [] ELSE held END, enough FROM (SELECT *, len(held) >= 3 AND len(list_distinct(list_transform(held, lambda x: x.v))) >= 2 AS enough FROM (
+    SELECT b.view, b.case_id, b.lane, b.rn, list_append(list_filter(w.held, lambda x: b.t - x.t <= 864000000), {'t': b.t, 'v': b.kind}) AS held
+    FROM busy w JOIN b ON b.view = w.view AND b.case_id = w.case_id AND b.lane = w.lane AND b.rn = w.rn + 1))),
+alerts AS (SELECT case_id, 'path' AS rule, view FROM path WHERE alert UNION ALL SELECT case_id, 'busy', view FROM busy WHERE alert)
+SELECT case_id, rule, bool_or(view = 'raw') AS raw, bool_or(view = 'native') AS native, bool_or(view = 'whole') AS whole FROM alerts GROUP BY case_id, rule
+"""
