@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,8 +30,8 @@ def batches(leaves: DataFrame, size: int = BATCH) -> DataFrame:
     return grouped.select("shard", "batch_id", F.size("l").cast("long").alias("count"), root(F.col("l.leaf")).alias("merkle_root"))
 
 
-def chained(sealed: DataFrame) -> DataFrame:
-    """Adds prev_chain and chain_hash to batches, in the order of batch_id within each shard."""
+def chained(sealed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Adds prev_chain and chain_hash to batches, in the order of batch_id within each shard; from the heads (shard, head) of ``stored``, where a shard has one."""
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, prev = object(), GENESIS
@@ -38,13 +39,14 @@ def chained(sealed: DataFrame) -> DataFrame:
             before, after = [], []
             for row in pdf.itertuples(index=False):
                 if row.shard != shard:
-                    shard, prev = row.shard, GENESIS
+                    shard, prev = row.shard, row.head or GENESIS
                 before.append(prev)
                 prev = hashlib.sha256(f"{prev}|{row.merkle_root}|{row.batch_id}|{row.count}".encode()).hexdigest()
                 after.append(prev)
-            yield pdf.assign(prev_chain=before, chain_hash=after)
+            yield pdf.drop(columns="head").assign(prev_chain=before, chain_hash=after)
 
     rows = sealed.select("shard", "batch_id", "count", "merkle_root")
+    rows = rows.withColumn("head", F.lit(None).cast("string")) if stored is None else rows.join(stored.select("shard", "head"), "shard", "left")
     return rows.repartition("shard").sortWithinPartitions("shard", "batch_id").mapInPandas(walk, CHAIN)
 
 
@@ -84,15 +86,27 @@ def proofs(leaves: DataFrame, size: int = BATCH) -> DataFrame:
     return each.select("shard", "x.seq", "batch_id", "x.leaf", proof(F.col("all"), F.col("at")).alias("path"))
 
 
-def verified(events: DataFrame, proofs_: DataFrame, chain: DataFrame) -> DataFrame:
-    """Checks of events (shard, seq, leaf as computed anew): known, leaf_match, proof_match, link_match, and verified, all of them."""
+def verified(events: DataFrame, proofs_: DataFrame, chain: DataFrame, digests: DataFrame | None = None, signed: DataFrame | None = None) -> DataFrame:
+    """Checks of events (shard, seq, leaf as computed anew): known, leaf_match, proof_match, link_match, and verified, all of them.
+
+    With ``digests``, the stored (shard, seq, raw_sha256, norm_sha256), events must have these columns, too, as computed anew, and are checked for raw_match and
+    norm_match. With ``signed``, (shard, signed): whether a head that covers the shard has a valid signature, there is signature_match.
+    """
     bad = broken(chain).select("shard", "batch_id", "reason")
     sound = chain.join(bad, ["shard", "batch_id"], "left").select("shard", "batch_id", "merkle_root", F.col("reason").isNull().alias("sound"))
     stored = proofs_.join(sound, ["shard", "batch_id"], "left").withColumnRenamed("leaf", "stored_leaf")
     out = events.join(stored, ["shard", "seq"], "left")
     no = lambda c: F.coalesce(c, F.lit(False))
     out = out.select("shard", "seq", F.col("stored_leaf").isNotNull().alias("known"), no(F.col("leaf") == F.col("stored_leaf")).alias("leaf_match"), no(proven(F.col("leaf"), F.col("path")) == F.col("merkle_root")).alias("proof_match"), no(F.col("sound")).alias("link_match"))
-    return out.withColumn("verified", F.col("known") & F.col("leaf_match") & F.col("proof_match") & F.col("link_match"))
+    checks = ["known", "leaf_match", "proof_match", "link_match"]
+    if digests is not None:
+        both = events.select("shard", "seq", "raw_sha256", "norm_sha256").join(digests.select("shard", "seq", F.col("raw_sha256").alias("_raw"), F.col("norm_sha256").alias("_norm")), ["shard", "seq"], "left")
+        out = out.join(both.select("shard", "seq", no(F.col("raw_sha256") == F.col("_raw")).alias("raw_match"), no(F.col("norm_sha256") == F.col("_norm")).alias("norm_match")), ["shard", "seq"], "left")
+        checks += ["raw_match", "norm_match"]
+    if signed is not None:
+        out = out.join(signed.select("shard", F.col("signed").alias("signature_match")), "shard", "left").withColumn("signature_match", no(F.col("signature_match")))
+        checks += ["signature_match"]
+    return out.select("shard", "seq", *checks).withColumn("verified", reduce(Column.__and__, [no(F.col(c)) for c in checks]))
 
 
 def heads(chain: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from emberlog.operators import detect, extract, guard, ledger, lineage, mining,
 from emberlog.operators.sniff import sniffed
 from emberlog.plans import detection, store
 from emberlog.plans.normalize import normalize
+from emberlog.plans.sealing import Ledger
 from emberlog.sources import sinks
+from emberlog.sources.shared import shared_dir
 
 KV = "concat('<189>date=2024-01-01 time=00:00:01 devname=\"fw 1\" devid=\"FG1\" logid=\"0000000013\" type=\"traffic\" subtype=\"forward\" level=\"notice\" srcip=10.0.', event_id % 200, '.', user_id % 200, ' srcport=', 1024 + event_id % 5000, ' dstip=192.0.2.', event_id % 9, ' dstport=443 proto=6 action=\"', CASE WHEN event_type = 'error' THEN 'deny' ELSE 'accept' END, '\" user=\"u ', user_id, '\" sentbyte=', event_id, ' empty= note=\"', event_type, '\"')"
 CEF = "concat('CEF:0|Acme|Gate \\\\| One|1.0|', event_id % 7, '|', event_type, '|5|src=10.1.0.', user_id % 250, ' spt=', 1000 + event_id % 100, ' msg=it was ', event_type, ' here act=', event_type)"
@@ -139,6 +143,31 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.chained(ledger.batches(chain_leaves(spark, sf_dir)))
 
 
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of a kept ledger after three appends, of which the second is repeated, with batches that wait from one to the next."""
+    kept = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    leaves = chain_leaves(spark, sf_dir)
+    third = (F.col("seq") % 3000 >= 1000).cast("int") + (F.col("seq") % 3000 >= 2000).cast("int")
+    cut = leaves.withColumn("third", third)
+    for number in (0, 1, 1, 2):
+        kept.append(cut.filter(F.col("third") == number), number, ("seq",), close=number == 2)
+    return kept.chain()
+
+
+def full_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of events: altered texts, altered fields, altered leaves, and a shard whose head isn't signed."""
+    made = rows(spark, sf_dir).select((F.col("event_id") % 4).cast("string").alias("shard"), F.expr("event_id div 4").alias("seq"), F.sha2("event_type", 256).alias("raw_sha256"), F.sha2("props", 256).alias("norm_sha256"))
+    stored_rows = made.withColumn("leaf", lineage.leaf(F.col("raw_sha256"), F.col("norm_sha256")))
+    chain_ = ledger.chained(ledger.batches(stored_rows))
+    now = made.withColumns({"raw_sha256": F.when(F.col("seq") % 50 == 3, F.sha2(F.lit("x"), 256)).otherwise(F.col("raw_sha256")), "norm_sha256": F.when(F.col("seq") % 70 == 5, F.sha2(F.lit("y"), 256)).otherwise(F.col("norm_sha256"))})
+    now = now.withColumn("leaf", lineage.leaf(F.col("raw_sha256"), F.col("norm_sha256")))
+    signer, signed = ledger.Signer(spark), []
+    for head in ledger.heads(chain_).collect():  # one row a shard
+        signature = signer.sign(head["head"])
+        signed.append((head["shard"], signer.verify(head["head"] if head["shard"] != "2" else "00" * 32, signature)))
+    return ledger.verified(now, ledger.proofs(stored_rows), chain_, stored_rows, spark.createDataFrame(signed, "shard string, signed boolean"))
+
+
 def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's leaf against its proof, its batch and the chain; every hundredth event is altered first."""
     leaves = chain_leaves(spark, sf_dir)
@@ -180,7 +209,7 @@ def cef_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "normalize_traffic": traffic, "extract_kv": kv, "extract_cef": cef, "extract_leef": leef, "extract_syslog": syslog, "extract_json": json, "sniff_formats": formats, "guard_oversize": oversize,
     "cast_timestamps": stamps, "cast_values": casts, "snake_names": snakes, "leaf_hash": leaves, "merkle_root": roots, "sigma_values": sigma, "summary_by_class": by_class, "events_newest": newest,
-    "sigma_rules": rule_alerts, "ledger_chain": chain, "ledger_verify": chain_checks, "mine_templates": mined, "store_filter": found, "store_latest": latest, "store_by_pack": packs, "store_counters": counts, "sink_cef": cef_out,
+    "sigma_rules": rule_alerts, "ledger_chain": chain, "ledger_verify": chain_checks, "ledger_append": appended, "ledger_verify_all": full_checks, "mine_templates": mined, "store_filter": found, "store_latest": latest, "store_by_pack": packs, "store_counters": counts, "sink_cef": cef_out,
 }
 LEVEL = "l{k} AS (SELECT batch_id, pos // 2 AS pos, CASE WHEN count(*) = 2 THEN sha256(unhex('01') || unhex(min_by(leaf, pos)) || unhex(max_by(leaf, pos))) ELSE min(leaf) END AS leaf FROM l{j} GROUP BY ALL)"
 LEAF = "SELECT event_id, sha256(unhex('00') || unhex(sha256(event_type)) || unhex(sha256(props))) AS leaf FROM events"
@@ -212,5 +241,8 @@ SQL = {
     "store_counters": "SELECT 'processed' AS name, '' AS label, count(*) AS value FROM events UNION ALL SELECT 'validation_errors', '', count(*) FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'fallback', '', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'by_pack', CASE WHEN event_type = 'error' THEN 'fallback' ELSE event_type END, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'by_class', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'dead_letter', '', count(*) FROM documents WHERE strlen(text) > 4096",
     "sink_cef": "SELECT event_id, concat('CEF:0|Unknown||emberlog|', event_id % 5, '|class\\|', event_type, '|', CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 7 WHEN 5 THEN 9 ELSE 10 END, '|rt=', event_id, ' src=10.0.0.', event_id % 250, ' msg=a\\=b ', props, ' cs1Label=ocsf_class cs1=', event_type, ' cs2Label=event_uid cs2=', user_id, ' cs3Label=raw_sha256') AS line FROM events",
 }
+SHUFFLED = CHAIN_ROOTS.replace("event_id // 4 // 256 AS batch_id, event_id // 4 % 256 AS pos", "(rn - 1) // 256 AS batch_id, (rn - 1) % 256 AS pos").replace("FROM (" + LEAF + ")", "FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 4 ORDER BY (event_id // 4 % 3000 >= 1000)::INT + (event_id // 4 % 3000 >= 2000)::INT, event_id) AS rn FROM (" + LEAF + "))")
+SQL["ledger_append"] = SQL["ledger_chain"].replace(CHAIN_ROOTS, SHUFFLED)
+SQL["ledger_verify_all"] = "SELECT *, known AND leaf_match AND proof_match AND link_match AND raw_match AND norm_match AND signature_match AS verified FROM (SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 AS seq, true AS known, raw AND norm AS leaf_match, raw AND norm AS proof_match, true AS link_match, raw AS raw_match, norm AS norm_match, event_id % 4 <> 2 AS signature_match FROM (SELECT event_id, event_id // 4 % 50 <> 3 AS raw, event_id // 4 % 70 <> 5 AS norm FROM events))"
 QUERIES |= detection.QUERIES
 SQL |= detection.SQL

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from emberlog.operators import stage_rules
 from emberlog.operators.automata import Automaton, Hit, run
 from emberlog.plans.normalize import discard, folder, normalize
+from emberlog.plans.sealing import Ledger
 
 Deliver = Callable[[DataFrame, int], object]
 
@@ -144,6 +145,11 @@ def live_counts(events: DataFrame, at: str, window: str = "1 minute", late: str
     return events.withWatermark(at, late).groupBy(F.window(at, window).alias("window"), "class_name", F.coalesce("pack", F.lit("fallback")).alias("pack")).agg(F.count("*").alias("n"))
 
 
+def sealed(leaves: DataFrame, kept: Ledger, order: tuple[str, ...], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Appends each micro-batch of (shard, leaf and ``order``) to a ledger; the batch's number is the append's, so a batch that is repeated changes nothing."""
+    return leaves.writeStream.foreachBatch(lambda df, number: None if df.isEmpty() else kept.append(df, number, order)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def normalized(lines: DataFrame, deliver: Deliver, checkpoint: str, dead: Deliver | None = None, trigger: dict | None = None, **options) -> StreamingQuery:
     """Normalizes each micro-batch and delivers its events. A batch that is repeated after a failure has the same number, so a sink
     that overwrites by it writes each batch once. A batch's staging goes when it has been delivered."""
