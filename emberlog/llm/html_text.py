@@ -38,8 +38,14 @@ WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 ASIDE = frozenset("nav aside footer form menu head script style noscript template iframe svg canvas object button select textarea input dialog title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 TOKENS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist commentform respond disqus cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe signup masthead toolbar pagination".split())
-# Containers that an article may hold beside its text; here a whole class or id must be one of TOKENS.
-CONTAINERS = frozenset("div section ul ol dl table".split())
+NOTICES = frozenset("cookie cookies consent gdpr notice notices notification popup modal newsletter".split())
+# Containers that an article may hold beside its text.
+CONTAINERS = frozenset("div section ul ol dl table figure".split())
+# What readers write, what advertisers do, words of names that tell what a page has or how it looks, and first words of short lines that go with every article.
+COMMENTS = frozenset("comment comments commentlist commentform respond disqus".split())
+ADVERTS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo".split())
+MODIFIERS = frozenset("has have with without no not is are hide show enable enabled disable disabled open closed allow free".split())
+FURNITURE = frozenset("share tweet print email follow subscribe advertisement sponsored bookmark".split())
 
 #: Trees are walked to their full depth, which the page alone bounds; frames of Python functions are on the heap.
 DEPTH = 10_000_000
@@ -55,22 +61,71 @@ class Node:
         self.tag, self.children = tag, []
         self.role = found.get("role", "")
         self.names = f"{found.get('class', '')} {found.get('id', '')}".split()
-        self.label = ".".join([tag, *sorted(found.get("class", "").split())])
+        # a class with a digit in it is most likely the page's own
+        self.label = ".".join([tag, *sorted(n for n in found.get("class", "").split() if not any(map(str.isdigit, n)))])
         self.main = tag in ("article", "main") or self.role == "main" or found.get("itemprop") == "articlebody"
         self.holds_main = False  # whether an article or main element lies within
         if "hidden" in found:
             self.role = "hidden"
 
-    def aside(self, within: bool) -> bool:
-        """Whether the element says that it isn't part of an article. Within an article a header is its own, and only containers
-        that are wholly named so are set aside: a paragraph of whatever class stays."""
-        if self.tag in ASIDE or self.role in ROLES or self.role == "hidden":
+    def size(self) -> int:
+        """Characters of text within."""
+        n, todo = 0, [self]
+        while todo:
+            for c in todo.pop().children:
+                if type(c) is str:
+                    n += len(c)
+                else:
+                    todo.append(c)
+        return n
+
+    def kinds(self) -> set[str]:
+        """What the element's classes and id call it: comments, whole (a single listed word), part (a listed word begins or ends a name) or inner (one stands in it)."""
+        out = set()
+        for name in self.names:
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            if not words or not MODIFIERS.isdisjoint(words):
+                continue
+            ends = {words[0], words[-1]}
+            if not COMMENTS.isdisjoint(ends):
+                out.add("comments")
+            if not TOKENS.isdisjoint(ends) or "header" in ends:
+                out.add("header" if TOKENS.isdisjoint(ends) else "whole" if len(words) == 1 else "part")
+            elif not TOKENS.isdisjoint(words) or "header" in words:
+                out.add("inner")
+        return out
+
+    def foreign(self) -> bool:
+        """Whether every class is one word for comments or adverts."""
+        return bool(self.names) and all(n in COMMENTS or n in ADVERTS for n in self.names)
+
+    def aside(self, within: bool, page: Node) -> bool:
+        """Whether the element says that it isn't part of an article.
+
+        Elements and roles say so unless an article lies within. Names of comments do so anywhere, also of and around articles. Other names do, unless
+        the element holds most of the page, as a layout's does, or, but for adverts and notices, an article. Within an article a header is its own, containers are set
+        aside by whole names or their ends, and anything else, a paragraph say, only if all its classes are words for comments or adverts.
+        """
+        kinds = self.kinds() if self.names else set()
+        if "comments" in kinds and (self.main or self.tag in CONTAINERS or not within):
+            return True
+        if self.main:
+            return False
+        if (self.tag in ASIDE or self.role in ROLES or self.role == "hidden" or (self.tag == "header" and not within)) and not self.holds_main:
             return True
         if within:
-            return self.tag in CONTAINERS and not TOKENS.isdisjoint(self.names)
-        if self.tag == "header":
+            if self.tag not in CONTAINERS:
+                return self.foreign()
+            kinds -= {"header", "inner"}
+        kinds.discard("comments")
+        if not kinds or (self.holds_main and kinds.isdisjoint({"whole", "part"})):
+            return False
+        if self.holds_main and not any(not (ADVERTS | NOTICES).isdisjoint(re.split(r"[^a-z0-9]+", n)) for n in self.names):
+            return False
+        if "whole" in kinds and not self.holds_main:
             return True
-        return any(not TOKENS.isdisjoint(parts) or "header" in parts for parts in (re.split(r"[^a-z0-9]+", name) for name in self.names))
+        share = 5 if kinds == {"inner"} else 8  # tenths of the page's text that such a name may hold
+        return 10 * self.size() <= share * page.size()
 
 
 def parse(page: str) -> Node:
@@ -146,28 +201,31 @@ class Slot:
         self.shape = xxhash.xxh3_64_intdigest(f"{label}({','.join([str(c.shape) for c in children])}")
 
 
+def appended(into: list[Slot], slot: Slot) -> None:
+    """Adds a slot; one that follows another of its label is merged with it."""
+    if into and into[-1].label == slot.label:
+        into[-1] = merge(into[-1], slot)
+    else:
+        into.append(slot)
+
+
 def read(page: str | None) -> tuple[list[tuple[str, bool, bool, bool]], Slot]:
     """The blocks of a page in order, each with whether an element sets it aside, whether it is in an article and whether most of it
     are links; and the page's tree of slots."""
+    root = parse(page or "")
     held: list[tuple[str, bool]] = []
     out: list[tuple[str, bool, bool, bool]] = []
 
     def flush(into: list[Slot], off: bool, main: bool) -> None:
         if held and (t := " ".join("".join([s for s, _ in held]).split())):
             linked = sum([len("".join(s.split())) for s, link in held if link])
-            add(into, Slot("#", [], (len(out),)))
+            appended(into, Slot("#", [], (len(out),)))
             out.append((t, off, main, 2 * linked > len(t.replace(" ", ""))))
         held.clear()
 
-    def add(into: list[Slot], slot: Slot) -> None:
-        if into and into[-1].label == slot.label:
-            into[-1] = merge(into[-1], slot)
-        else:
-            into.append(slot)
-
     top: list[Slot] = []
     # of each open element: the rest of its children, the slots of the block it is in, off, main, link, and the slot list to add itself to
-    stack = [(iter(parse(page or "").children), top, False, False, False, None, "")]
+    stack = [(iter(root.children), top, False, False, False, None, "")]
     while stack:
         children, slots, off, main, link, outer, label = stack[-1]
         c = next(children, None)
@@ -176,13 +234,16 @@ def read(page: str | None) -> tuple[list[tuple[str, bool, bool, bool]], Slot]:
             if outer is not None:  # a block ends, or what is set aside or an article does
                 flush(slots, off, main)
                 if outer is not slots:
-                    add(outer, Slot(label, slots))
+                    appended(outer, Slot(label, slots))
         elif type(c) is str:
             held.append((c, link))
         else:
             inner = main or c.main
-            away = off or (c.tag not in ("html", "body") and c.aside(inner) and not (not c.main and c.holds_main))
-            if c.tag in BLOCK:
+            away = off or (c.tag not in ("html", "body") and c.aside(inner, root))
+            if away and not off and c.tag not in BLOCK and not c.holds_main:
+                if c.tag not in RAW:  # a button, an inline advert: it doesn't divide its paragraph
+                    held.append((" ", link))
+            elif c.tag in BLOCK:
                 flush(slots, off, main)
                 stack.append((iter(c.children), [], away, inner, link or c.tag == "a", slots, c.label))
             elif away != off or inner != main:
@@ -286,6 +347,25 @@ def merge(a: Slot, b: Slot) -> Slot:
     return Slot(a.label, out, a.blocks + b.blocks)
 
 
+def with_classes(tree: Slot, known: frozenset[str]) -> Slot:
+    """The tree without other classes than the known ones; siblings that are now alike are one slot."""
+    children: list[Slot] = []
+    for c in tree.children:
+        appended(children, with_classes(c, known))
+    tag, *names = tree.label.split(".")
+    return Slot(".".join([tag, *[n for n in names if n in known]]), children, tree.blocks)
+
+
+def classes_of(tree: Slot) -> frozenset[str]:
+    """All classes of a tree."""
+    out, todo = set(), [tree]
+    while todo:
+        node = todo.pop()
+        out.update(node.label.split(".")[1:])
+        todo += node.children
+    return frozenset(out)
+
+
 def flat(tree: Slot) -> str:
     """A tree as text: a line for each node, in order, with its depth and label. The blocks stay behind."""
     out, todo = [], [(tree, 0)]
@@ -333,8 +413,10 @@ class Placing(dict):
         if host not in self:
             if len(self) > 500:
                 self.clear()
-            self[host] = unflat(lines)
-        return dict(placed(page, self[host]))
+            tree = unflat(lines)
+            self[host] = tree, classes_of(tree)
+        tree, known = self[host]
+        return dict(placed(with_classes(page, known), tree))
 
 
 def digest(text: str) -> int:
@@ -354,7 +436,12 @@ def content(wrapper: Slot, varied: dict[int, int]) -> list[int]:
         held[node.number] += sum([held[c.number] for c in node.children])
     heads, at = [], wrapper
     while most := [c for c in at.children if held[c.number] and 5 * held[c.number] >= 4 * held[at.number]]:
-        heads += [c for c in at.children if c.label.split(".")[0] == "h1"]
+        beside = [c for c in at.children if c is not most[0]]
+        while beside:
+            c = beside.pop()
+            if c.label.split(".")[0] == "h1":
+                heads.append(c)
+            beside += c.children
         at = most[0]
     out, todo = [], [at, *heads]
     while todo:
@@ -365,19 +452,30 @@ def content(wrapper: Slot, varied: dict[int, int]) -> list[int]:
     return sorted(set(out))
 
 
+def furniture(text: str, off: bool, main: bool, link: bool) -> bool:
+    """Whether a constant block of an article is no part of its text."""
+    words = re.findall(r"\w+", text[:80].lower())
+    return link or (len(words) <= 6 and bool(words) and words[0] in FURNITURE)
+
+
 def main_text(page: str | None, host: str = "", wrapper: str | None = None, template: frozenset = frozenset(), kept: frozenset = frozenset(), placing: Placing | None = None) -> str:
     """The text of a page: the blocks of its articles, or of the whole page if it has none, that nothing sets aside and that aren't
-    template; without an article, blocks of the wrapper's content only. Pages of which nothing else is left keep what is template."""
+    template; without an article, blocks of the wrapper's content only. Within an article, template is only what looks like furniture: links, and
+    short lines such as "Share this". Pages of which nothing else is left keep what is template."""
     blocks, tree = read(page)
     at = (placing or Placing()).of(host, wrapper, tree) if wrapper else {}
     within = any([main and not off for _, off, main, _ in blocks])
     mine = [k for k, (_, off, main, _) in enumerate(blocks) if not off and main >= within and (within or k not in at or at[k] in kept)]
-    fresh = [k for k in mine if k not in at or (at[k], digest(blocks[k][0])) not in template] if template else mine
+    fresh = [k for k in mine if k not in at or (within and not furniture(*blocks[k])) or (at[k], digest(blocks[k][0])) not in template] if template else mine
     return "\n\n".join([blocks[k][0] for k in (fresh or (mine if within else []))])
 
 
-def wrappers(pages: DataFrame, parts: int = 64) -> DataFrame:
-    """(host, wrapper) from rows of host and html: structures are merged once each, ``parts`` at first for a host."""
+def wrappers(pages: DataFrame, parts: int = 64, rare: float = 0.02) -> DataFrame:
+    """(host, wrapper) from rows of host and html: structures are merged once each, ``parts`` at first for a host.
+
+    A class that fewer than ``rare`` of a host's structures have, such as a tag's or an author's, doesn't tell slots apart: with it, nodes of different pages
+    would never align, and the wrapper would grow with every page.
+    """
     kind = "host string, tree string"
 
     def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,21 +509,32 @@ def wrappers(pages: DataFrame, parts: int = 64) -> DataFrame:
     def row(host: str, tree: Slot) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([flat(tree)])], ["host", "tree"])
 
-    found = pages.mapInArrow(structures, kind).distinct().withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(parts)))
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEPTH)
+        for b in batches:
+            trees = [flat(with_classes(unflat(t), frozenset(known or ()))) for t, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees, pa.string())], ["host", "tree"])
+
+    found = keep(pages.mapInArrow(structures, kind).distinct())
+    words = F.array_distinct(F.flatten(F.transform(F.split("tree", "\n"), lambda line: F.slice(F.split(line, r"\."), 2, 1_000_000))))
+    common = found.select("host", F.explode(words).alias("name")).groupBy("host", "name").agg(F.count("*").alias("n"))
+    common = common.join(found.groupBy("host").agg(F.count("*").alias("of")), "host").filter((F.col("n") >= rare * F.col("of")) & ((F.col("n") > 1) | (F.col("of") == 1)))
+    common = keep(common.groupBy("host").agg(F.collect_list("name").alias("known")))  # at most the classes of a page, divided by the share
+    found = joined_by_host(found, common.withColumn("_all", F.to_json("known")), ["_all"], "left", salted_by=("tree",)).select("host", "tree", "known").mapInArrow(reduced, kind).distinct().withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(parts)))
     level = found.repartition("host", "part").sortWithinPartitions("host", "part", F.length("tree"), "tree")
     level = level.select(F.concat_ws("\n", "host", F.col("part").cast("string")).alias("host"), "tree").mapInArrow(merged, kind)
     level = level.select(F.substring_index("host", "\n", 1).alias("host"), "tree")
     return level.repartition("host").sortWithinPartitions("host", F.length("tree"), "tree").mapInArrow(merged, kind).withColumnRenamed("tree", "wrapper")
 
 
-def joined_by_host(rows: DataFrame, table_: DataFrame, text_cols: list[str], how: str, salts: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+def joined_by_host(rows: DataFrame, table_: DataFrame, text_cols: list[str], how: str, salts: int = 64, most_bytes: int = 16 << 20, salted_by: tuple[str, ...] = ("page_id", "html")) -> DataFrame:
     """Joins rows with one row for each host: broadcast where that table is small; else a host, which may have a third of all pages, is
     dealt in ``salts`` parts, each with a copy of its row."""
     size = table_.agg(F.count("*"), F.coalesce(F.sum(sum([F.octet_length(F.col(c)) for c in text_cols], F.lit(0))), F.lit(0))).first()
     if size[0] <= BROADCAST_ROWS and size[1] <= most_bytes:
         return rows.join(F.broadcast(table_), "host", how)
     salted = table_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*salted_by), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], how).drop("salt")
 
 
 def decided(pages: DataFrame, wrapper: DataFrame, counts: DataFrame, share: float) -> DataFrame:
