@@ -1,4 +1,4 @@
-"""Packs: declarative parsers, checked and compiled to Columns. A pack runs on the lines that are routed to it, as one projection."""
+"""Packs: declarative parsers, checked and put in order. ``mapping`` runs them."""
 
 from __future__ import annotations
 
@@ -6,26 +6,20 @@ import hashlib
 import json as jsonlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, cached_property, reduce
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.coerce import attribute_type, coerce
 from emberlog.functions.regex import search, to_java
 from emberlog.operators import envelope
-from emberlog.operators.conditions import condition
-from emberlog.operators.conditions import field as value_of
-from emberlog.operators.extract import EXTRACTORS, none
-from emberlog.operators.guard import too_wide
-from emberlog.operators.specs import Fields, Steps, spec
+from emberlog.operators.extract import EXTRACTORS
+from emberlog.operators.mapping import PYTHON, Compiled
 
 KEYS = {"id", "version", "vendor", "product", "category", "description", "priority", "match", "parse", "mapping", "severity_id", "classes", "tz", "sources", "trust", "provenance", "tests"}
 SPEC_KEYS = {"field", "const", "template", "join", "split", "regex", "map", "map_default_passthrough", "default", "cast", "format", "tz", "scale", "when"}
-#: The rule number of lines with too many fields.
-TOO_WIDE = -3
 CASTS = {"int", "float", "str", "bool", "ip", "timestamp", "lower", "upper", "auto"}
 
 
@@ -100,74 +94,6 @@ class Pack:
         by_look = reduce(lambda a, b: a & b, tests) if tests else F.lit(not sources)
         return F.coalesce(hint.isin(list(sources)), F.lit(False)) | by_look if sources else by_look
 
-    def fields(self, lines: DataFrame) -> DataFrame:
-        """Runs the stages: adds ``fields``, ``used`` (fields that fed a stage) and ``failure`` (why a stage failed, else null)."""
-        lines = lines.withColumns({"fields": none(), "used": F.array().cast("array<string>"), "failure": F.lit(None).cast("string")})
-        for i, stage in enumerate(self.doc["parse"]):
-            source = stage.get("source")
-            text = value_of(F.col("fields"), source) if source else F.col("raw")
-            given = F.coalesce(text != "", F.lit(False)) & condition(stage.get("when"), F.col("fields"))
-            lines = lines.withColumn("_given", given).withColumn("_got", F.when(F.col("_given"), EXTRACTORS[stage["type"]](text, stage)))
-            out = F.col("_got")
-            if stage.get("prefix"):
-                out = F.transform_keys(out, lambda k, v, p=stage["prefix"]: F.concat(F.lit(p), k))
-            failed = F.when(F.col("_given") & F.col("_got").isNull(), F.lit(f"stage {i + 1} ({stage['type']}) doesn't apply"))
-            if not stage.get("required", True):
-                failed = F.lit(None).cast("string")
-            lines = lines.withColumns({"fields": F.map_concat("fields", F.coalesce(out, none())), "used": F.array_union("used", F.when(F.col("_given") & F.col("_got").isNotNull(), F.array(F.lit(source))).otherwise(F.array().cast("array<string>"))) if source else F.col("used"), "failure": F.coalesce("failure", failed)}).drop("_given", "_got")
-        return lines
-
-    def class_rule(self, fields: Column) -> Column:
-        """The number of the first class rule that holds; null if none does."""
-        return F.coalesce(*[F.when(condition(c.get("when"), fields), F.lit(i)) for i, c in enumerate(self.doc["classes"])])
-
-    def parsed(self, lines: DataFrame) -> DataFrame:
-        """Lines with their fields, ``failure`` and ``rule_no``, the number of their class rule; -1 where the pack fails, TOO_WIDE where
-        it finds more fields than an event may have."""
-        rows = self.fields(lines)
-        rows = rows.withColumn("rule_no", F.when(F.col("failure").isNull(), self.class_rule(F.col("fields"))))
-        return rows.withColumns({"failure": F.when(F.col("rule_no").isNull(), F.coalesce("failure", F.lit("no class rule matched"))), "rule_no": F.when(too_wide(F.col("fields")).isNotNull(), F.lit(TOO_WIDE)).otherwise(F.coalesce("rule_no", F.lit(-1)))})
-
-    def mapped(self, rows: DataFrame, number: int, now: Column) -> DataFrame:
-        """Events of the rows of one class rule."""
-        doc, tz, f, rule = self.doc, self.doc.get("tz"), Fields.of("fields"), self.doc["classes"][number]
-        rows, steps = Fields.add(rows), Steps()
-        everything = {**(doc.get("mapping") or {}), **(rule.get("mapping") or {})}
-        entries, top = [], 1
-        for path, d in everything.items():
-            kind = attribute_type(path)
-            s, at = spec(d, f, steps, tz, now)
-            v, at = steps.put(at, s["v"] if kind == "timestamp" and reads_time(d) else coerce(s["v"], kind, tz, now))
-            e = F.coalesce(s["e"], F.when(s["v"].isNotNull() & v.isNull(), F.concat(F.lit(f"cannot be {kind}: "), s["v"])))
-            entries.append(F.struct(F.lit(path).alias("p"), v.alias("v"), s["src"].alias("src"), e.alias("e"), F.lit(kind == "timestamp").alias("t")))
-            top = max(top, at)
-        severity = rule.get("severity_id") or doc.get("severity_id")
-        coded = {}
-        for name, d, default in (("activity_id", rule.get("activity_id"), 0), ("severity_id", severity, 1)):
-            s, at = spec(d, f, steps, tz, now) if d is not None else (None, 1)
-            top = max(top, at)
-            coded[name] = (F.lit(default), F.lit(None).cast("array<string>")) if s is None else (F.coalesce(s["v"].try_cast("double").try_cast("int"), F.lit(default)), s["src"])
-        rows = steps.run(rows)
-        kept = F.filter(F.array(*entries), lambda x: x["v"].isNotNull() | x["e"].isNotNull()) if entries else F.array().cast("array<struct<p:string,v:string,src:array<string>,e:string,t:boolean>>")
-        rows = rows.withColumns({"entries": kept, **{name: c for name, (c, _) in coded.items()}, "_origin": F.map_filter(F.create_map(*[x for name, (_, o) in coded.items() for x in (F.lit(name), o)]), lambda k, v: v.isNotNull())}).drop(*steps.names())
-        rows = rows.withColumn("good", F.filter("entries", lambda x: x["e"].isNull()))
-        verbatim = lambda x: F.lower(F.trim(F.try_element_at("fields", F.get(x["src"], F.lit(0))))) == F.lower(F.trim(x["v"]))
-        taken = F.filter("good", lambda x: (F.size(x["src"]) == 1) & (x["t"] | F.coalesce(verbatim(x), F.lit(False))))
-        rows = rows.withColumns({
-            "attrs": F.map_from_entries(F.transform("good", lambda x: F.struct(x["p"].alias("key"), x["v"].alias("value")))),
-            "lineage": F.map_concat(F.map_from_entries(F.transform("good", lambda x: F.struct(x["p"].alias("key"), x["src"].alias("value")))), "_origin"),
-            "consumed": F.array_union("used", F.transform(taken, lambda x: F.get(x["src"], F.lit(0)))),
-            "errors": F.transform(F.filter("entries", lambda x: x["e"].isNotNull()), lambda x: F.concat(x["p"], F.lit(": "), x["e"])),
-            "class_name": F.lit(rule["class"]), "class_rule": F.lit(rule["name"]), "pack": F.lit(self.ref), "trust": F.lit(float(self.trust)),
-            "vendor": F.lit(doc.get("vendor")), "product": F.lit(doc.get("product")),
-        })
-        return rows.drop("entries", "good", "_origin", "used", "failure", "rule_no", "fields_filled", "fields_present")
-
-
-def reads_time(doc: Any) -> bool:
-    """Whether a spec's values are epoch milliseconds already."""
-    return all(reads_time(d) for d in doc) if isinstance(doc, list) else isinstance(doc, dict) and doc.get("cast") == "timestamp"
-
 
 def digest(doc: dict) -> str:
     """A pack's digest, which its signature signs."""
@@ -192,6 +118,24 @@ class Registry:
                 self.packs.append(Pack(doc, 1.0 if signed or approved and not verify else 0.7, signed))
         self.packs.sort(key=lambda p: (-p.priority, p.doc["id"]))
 
+    @cached_property
+    def compiled(self) -> tuple[Compiled, Compiled, Compiled]:
+        """All packs, those that parse by built-in functions alone, and those that need Python workers."""
+        all_of = dict(enumerate(self.packs))
+        slow = {i for i, p in all_of.items() if any(s["type"] in PYTHON for s in p.doc["parse"])}
+        return Compiled(all_of), Compiled({i: p for i, p in all_of.items() if i not in slow}), Compiled({i: p for i, p in all_of.items() if i in slow})
+
+    @staticmethod
+    @cache
+    def of(docs: Callable[[], list[dict]]) -> Registry:
+        """The registry of the packs that a function returns, compiled once."""
+        return Registry(docs())
+
+    @cached_property
+    def routes(self) -> Column:
+        """The candidates of a line (raw, sniffed, source)."""
+        return self.candidates(F.col("raw"), F.col("sniffed.tags"), F.try_element_at("source", F.lit("source_hint")))
+
     @staticmethod
     def from_folder(path: str) -> Registry:
         """Packs from YAML or JSON files of a folder on the driver; a file of over 1 MB is refused."""

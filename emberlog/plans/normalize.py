@@ -1,22 +1,26 @@
 """From raw lines to events.
 
-One projection guards, sniffs and routes each line. The routed lines are staged in folders by pack, so that each pack reads
-its own lines only, once, in a projection of its own; a union of branches over one scan would read all lines for every pack.
+One projection guards, sniffs and routes each line and parses it with its first pack; the parsed lines are staged once, apart by what became
+of them. Only lines whose pack failed go through the next round, with their next pack, and only lines of packs that need Python workers are parsed apart. Then
+one expression maps the lines of all packs and rules, and the rest becomes events by field names.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import envelope, guard, mapper
 from emberlog.operators.extract import prepare
-from emberlog.operators.packs import TOO_WIDE, Registry
+from emberlog.operators.mapping import TOO_WIDE, Compiled
+from emberlog.operators.packs import Registry
 from emberlog.operators.sniff import sniffed
 from emberlog.plans.library import library
 from emberlog.sources.shared import shared_dir
@@ -32,12 +36,23 @@ def lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.select(guard.decoded(F.col(raw)).alias("raw"), source.alias("source"), received.alias("received_ms"))
 
 
-def routed(df: DataFrame, registry: Registry, path: str) -> DataFrame:
-    """Lines with ``rejected`` (why, or null), ``sniffed`` and ``candidates`` (packs to try, in order). The sniffed lines are staged: each pack's
-    match reads the format, and would work it out again."""
-    df = staged(sniffed(guard.not_blank(df)), path, None)
+#: What became of a line: parsed, its pack failed, its pack needs Python workers, no pack is left, rejected, too many fields.
+PARSED, FAILED, SLOW, REST, DEAD, WIDE = range(6)
+
+
+def routed(df: DataFrame, registry: Registry) -> DataFrame:
+    """Lines with ``rejected`` (why, or null), ``sniffed`` and ``candidates`` (packs to try, in order)."""
+    df = sniffed(guard.not_blank(df))
     df = df.withColumn("rejected", guard.rejection(F.col("raw"), F.col("sniffed.format")))
-    return df.withColumn("candidates", registry.candidates(F.col("raw"), F.col("sniffed.tags"), F.try_element_at("source", F.lit("source_hint"))))
+    return df.withColumn("candidates", registry.routes)
+
+
+def parsed(lines: DataFrame, compiled: Compiled, slow: list[int]) -> DataFrame:
+    """Lines (with candidates and ``turn``, the place of the pack to try) with their fields and ``state``."""
+    lines = lines.withColumn("pack_no", F.when(F.col("rejected").isNotNull(), -2).otherwise(F.coalesce(F.get("candidates", F.col("turn")), F.lit(-1))))
+    rows = compiled.parsed(lines)
+    state = F.when(F.col("pack_no") == -2, DEAD).when(F.col("pack_no") == -1, REST).when(F.col("pack_no").isin(slow), SLOW).when(F.col("rule_no") == TOO_WIDE, WIDE).when(F.col("rule_no") >= 0, PARSED)
+    return rows.withColumn("state", state.otherwise(FAILED))
 
 
 def finished(events: DataFrame) -> DataFrame:
@@ -69,41 +84,37 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
 
     A line goes to the first pack that takes it; where that pack fails, the next one tries, until none is left; the rest becomes an
     event by field names. ``now_ms`` is the clock for stamps without a year. Lines are staged under ``staging``, a folder
-    that driver and executors share, twice: by pack, and with their fields by class rule. The events read it: remove it with
-    ``discard`` after they have been delivered.
+    that driver and executors share, once for each pack that they try. The events read it: remove it with
+    ``discard`` after they have been delivered. A registry keeps what it compiled: give the same one to every batch.
     """
     spark = df.sparkSession
     prepare(spark)
-    registry = packs if isinstance(packs, Registry) else Registry(library() if packs is None else packs)
+    registry = packs if isinstance(packs, Registry) else Registry.of(library) if packs is None else Registry(packs)
+    everyone, native, slow = registry.compiled
     now = F.lit(now_ms).cast("bigint") if now_ms is not None else F.unix_millis(F.current_timestamp())
     path = f"{staging or folder(spark)}/{uuid.uuid4().hex}"
-    todo = routed(lines(df, raw), registry, f"{path}/sniffed")
-    todo = todo.withColumn("pack_no", F.when(F.col("rejected").isNotNull(), -2).otherwise(F.coalesce(F.get("candidates", F.lit(0)), F.lit(-1))))
-    made: list[DataFrame] = []
-    wide: list[DataFrame] = []
-    rest: list[DataFrame] = []
-    dead = None
+    todo = routed(lines(df, raw), registry).withColumn("turn", F.lit(0))
+    parts: list[DataFrame] = []
     for n in count():  # ends when no line has a pack left to try
-        todo = staged(todo, f"{path}/lines-{n}", "pack_no")
-        if dead is None:
-            dead = guard.dead_letters(todo.filter("pack_no = -2"))
-        rest.append(todo.filter("pack_no = -1"))
-        again = []
-        for i in present(todo, "pack_no"):
-            parsed = staged(registry.packs[i].parsed(todo.filter(F.col("pack_no") == i)), f"{path}/fields-{n}-{i}", "rule_no")
-            for rule in present(parsed, "rule_no"):
-                made.append(registry.packs[i].mapped(parsed.filter(F.col("rule_no") == rule), rule, now))
-            again.append(parsed.filter("rule_no = -1").select(*todo.columns))
-            wide.append(guard.dead_letters(parsed.filter(F.col("rule_no") == TOO_WIDE).withColumn("rejected", guard.too_wide(F.col("fields")))))
-        failed = reduce(DataFrame.unionByName, again) if again else None
-        if failed is None or failed.isEmpty():
+        now_done = [staged(parsed(todo, native, list(slow.packs)), f"{path}/round-{n}", "state")]
+        if SLOW in present(now_done[0], "state"):
+            again = now_done[0].filter(F.col("state") == SLOW).drop("fields", "used", "failure", "rule_no", "pack_no", "state")
+            now_done.append(staged(parsed(again, slow, []), f"{path}/round-{n}-slow", "state"))
+        parts += now_done
+        failed = [d.filter(F.col("state") == FAILED) for d in now_done if FAILED in present(d, "state")]
+        if not failed:
             break
-        todo = failed.withColumn("pack_no", F.coalesce(F.get("candidates", F.lit(n + 1)), F.lit(-1)))
-    left = staged(numbered(reduce(DataFrame.unionByName, rest)), f"{path}/rest", None)
-    if not made or not left.isEmpty():
+        todo = reduce(DataFrame.unionByName, failed).withColumn("turn", F.lit(n + 1)).drop("fields", "used", "failure", "rule_no", "pack_no", "state")
+    of = lambda state: [d.filter(F.col("state") == state).drop("state") for d in parts if state in present(d, "state")]
+    made = [everyone.mapped(reduce(DataFrame.unionByName, of(PARSED)), now)] if of(PARSED) else []
+    if of(REST) or not made:
+        left = reduce(DataFrame.unionByName, of(REST)) if of(REST) else parts[0].filter(F.col("state") == REST).drop("state")
+        left = staged(mapper.fallback_fields(numbered(left.drop("fields", "used", "failure", "rule_no", "pack_no"))), f"{path}/rest", None)
         made.append(mapper.fallback_events(left, now))
-    shared = [c for c in made[0].columns if all(c in m.columns for m in made)]
-    return reduce(DataFrame.unionByName, [finished(m.select(*shared)) for m in made]), reduce(DataFrame.unionByName, wide, dead)
+    common = [c for c in made[0].columns if all(c in m.columns for m in made)]
+    events = finished(reduce(DataFrame.unionByName, [m.select(*common) for m in made]))
+    dead = [guard.dead_letters(d) for d in of(DEAD)] + [guard.dead_letters(d.withColumn("rejected", guard.too_wide(F.col("fields")))) for d in of(WIDE)]
+    return events, reduce(DataFrame.unionByName, dead) if dead else guard.dead_letters(parts[0].filter(F.col("state") == DEAD))
 
 
 def present(df: DataFrame, column: str) -> list[int]:
@@ -116,9 +127,21 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("row", F.monotonically_increasing_id())
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, path: str, by: str | None) -> DataFrame:
-    """Writes the rows to a folder, apart by a column, and reads them back."""
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    """Writes the rows to a folder, apart by a column, and reads them back. Parsers are too long for one generated method: compiling it takes longer than it saves."""
+    with setting(df.sparkSession, "spark.sql.codegen.wholeStage", "false"), setting(df.sparkSession, "spark.sql.codegen.factoryMode", "NO_CODEGEN"):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

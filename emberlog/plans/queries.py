@@ -12,7 +12,7 @@ from emberlog.functions.text import snake
 from emberlog.functions.timestamps import epoch_ms
 from emberlog.operators import detect, extract, guard, ledger, lineage, mining, rules
 from emberlog.operators.sniff import sniffed
-from emberlog.plans import detection, store
+from emberlog.plans import detection, store, vendors
 from emberlog.plans.normalize import normalize
 from emberlog.plans.sealing import Ledger
 from emberlog.sources import sinks
@@ -244,5 +244,6 @@ SQL = {
 SHUFFLED = CHAIN_ROOTS.replace("event_id // 4 // 256 AS batch_id, event_id // 4 % 256 AS pos", "(rn - 1) // 256 AS batch_id, (rn - 1) % 256 AS pos").replace("FROM (" + LEAF + ")", "FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 4 ORDER BY (event_id // 4 % 3000 >= 1000)::INT + (event_id // 4 % 3000 >= 2000)::INT, event_id) AS rn FROM (" + LEAF + "))")
 SQL["ledger_append"] = SQL["ledger_chain"].replace(CHAIN_ROOTS, SHUFFLED)
 SQL["ledger_verify_all"] = "SELECT *, known AND leaf_match AND proof_match AND link_match AND raw_match AND norm_match AND signature_match AS verified FROM (SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 AS seq, true AS known, raw AND norm AS leaf_match, raw AND norm AS proof_match, true AS link_match, raw AS raw_match, norm AS norm_match, event_id % 4 <> 2 AS signature_match FROM (SELECT event_id, event_id // 4 % 50 <> 3 AS raw, event_id // 4 % 70 <> 5 AS norm FROM events))"
+QUERIES["normalize_vendors"], SQL["normalize_vendors"] = vendors.vendors, vendors.SQL
 QUERIES |= detection.QUERIES
 SQL |= detection.SQL

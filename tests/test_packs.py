@@ -1,61 +1,40 @@
 """A line of every pack's source: which pack takes it, its class and activity, and what it says of addresses and users."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from emberlog.operators.extract import prepare
 from emberlog.operators.packs import Registry
-from emberlog.operators.sniff import sniffed
 from emberlog.plans.library import library
-
-HEAD = "Jan  2 03:04:05 h1"
-#: A line with {S}, {D}, {P} and {U} for source and target address, source port and user, the pack, class and activity that it becomes, and which
-#: of D, P and U it has.
-LINES: list[tuple[str, str, str, int, str]] = [
-    ("<14>" + HEAD + " 1,2024/01/01 00:00:01,S1,TRAFFIC,end,1,2024/01/01 00:00:01,{S},{D},0.0.0.0,0.0.0.0,r1,{U},,web,vsys1,in,out,e1,e2,log,x,77,1,{P},443,0,0,0x0,tcp,allow,100,50,50,2,2024/01/01 00:00:00,1,any,0,1,0x0,US,DE,0,1,1,aged-out", "paloalto.panos@1.0", "network_activity", 2, "DPU"),
-    ("<166>Jan  2 2024 03:04:05 h1 : %ASA-4-106023: Deny tcp src outside:{S}/{P} dst inside:{D}/443 by access-group \"acl1\" [0x0, 0x0]", "cisco.asa@1.0", "network_activity", 5, "DP"),
-    ("CEF:0|Check Point|VPN-1 & FireWall-1|Check Point|Log|Accept|5|act=Accept rt=1704067201000 src={S} spt={P} dst={D} dpt=443 proto=6 suser={U}", "checkpoint.cef@1.0", "network_activity", 6, "DPU"),
-    ("CEF:0|Acme|Gate|1.0|7|thing|5|src={S} spt={P} dst={D} dpt=443 act=block suser={U}", "generic.cef@1.0", "network_activity", 6, "DPU"),
-    ("LEEF:1.0|Acme|Gate|1.0|ev|src={S}\tdst={D}\tsrcPort={P}\tdstPort=443\tusrName={U}\taction=allow", "generic.leef@1.0", "network_activity", 6, "DPU"),
-    ("<14>1 2024-01-02T03:04:05.000+05:30 h1 RT_FLOW - RT_FLOW_SESSION_CREATE [junos@2636.1.1.1.2.40 source-address=\"{S}\" source-port=\"{P}\" destination-address=\"{D}\" destination-port=\"443\" protocol-id=\"6\" username=\"{U}\"] session created", "juniper.srx@1.0", "network_activity", 1, "DPU"),
-    ("<134>" + HEAD + " filterlog[123]: 5,,,1000,em0,match,block,in,4,0x0,,64,0,0,none,6,tcp,60,{S},{D},{P},443,0,S,1,0,64,,", "pfsense.filterlog@1.0", "network_activity", 5, "DP"),
-    ("<38>" + HEAD + " sshd[99]: Failed password for {U} from {S} port {P} ssh2", "openssh.sshd@1.0", "authentication", 1, "PU"),
-    ("1704067201.123    45 {S} TCP_MISS/200 512 GET http://x.example/a {U} DIRECT/{D} text/html", "squid.access@1.0", "http_activity", 3, "DU"),
-    ("{S} - {U} [02/Jan/2024:03:04:05 +0000] \"POST /a?b=1 HTTP/1.1\" 200 12 \"-\" \"curl\"", "nginx.access@1.0", "http_activity", 6, "U"),
-    ("{{\"timestamp\":\"2024-01-02T03:04:05.000000+0000\",\"flow_id\":1,\"event_type\":\"dns\",\"src_ip\":\"{S}\",\"src_port\":{P},\"dest_ip\":\"{D}\",\"dest_port\":53,\"proto\":\"UDP\",\"dns\":{{\"type\":\"query\",\"id\":1,\"rrname\":\"x.example\"}}}}", "suricata.eve@1.0", "dns_activity", 1, "DP"),
-    ("{{\"_path\":\"conn\",\"ts\":1704067201.5,\"uid\":\"C1\",\"id.orig_h\":\"{S}\",\"id.orig_p\":{P},\"id.resp_h\":\"{D}\",\"id.resp_p\":443,\"proto\":\"tcp\",\"conn_state\":\"SF\"}}", "zeek.json@1.0", "network_activity", 2, "DP"),
-    ("{{\"event_uid\":\"e1\",\"severity_id\":4,\"timestamp\":\"2024-01-02T03:04:05Z\",\"hostname\":\"h\",\"signature_name\":\"sig\",\"src_ip\":\"{S}\",\"src_port\":{P},\"dst_ip\":\"{D}\",\"dst_port\":443,\"proto\":\"tcp\"}}", "sensors.canonical_alert@1.0", "detection_finding", 1, "DP"),
-    ("{{\"ts\":\"2024-01-02T03:04:05Z\",\"agentId\":\"a\",\"agentIp\":\"10.9.9.9\",\"computer\":\"c\",\"eventId\":4624,\"xml\":\"<Event><System><EventID>4624</EventID><Computer>c</Computer></System><EventData><Data Name='TargetUserName'>{U}</Data><Data Name='IpAddress'>{S}</Data></EventData></Event>\"}}", "microsoft.windows_eventlog@1.0", "authentication", 1, "U"),
-    ("ts=2024-01-01T00:00:00Z fw=f1 action=deny proto=tcp src_ip={S} src_port={P} dst_ip={D} dst_port=443 user={U} rule=1", "fallback", "network_activity", 0, "DPU"),
-]
+from emberlog.plans.normalize import normalize
+from emberlog.plans.vendors import LINES
 
 
 @pytest.fixture(scope="module")
-def routed(spark):
-    prepare(spark)
-    rows = [(i, line.format(S="10.1.2.3", D="192.0.2.7", P=4321, U="u7")) for i, (line, *_) in enumerate(LINES)]
-    df = sniffed(spark.createDataFrame(rows, "i int, raw string")).withColumns({"source": F.expr("cast(map() as map<string,string>)"), "received_ms": F.lit(0).cast("bigint")})
+def events(spark):
+    """The events of all lines, normalized together: (registry, a row for each line)."""
     registry = Registry(library())
-    df = df.withColumn("candidates", registry.candidates(F.col("raw"), F.col("sniffed.tags"), F.lit(None).cast("string")))
-    rows = df.collect()
-    return registry, spark.createDataFrame(rows, df.schema), {r["i"]: r["candidates"] for r in rows}
+    lines = [line.format(S="10.1.2.3", D="192.0.2.7", P=4321, U="u7") for line, *_ in LINES]
+    made, dead = normalize(spark.createDataFrame([(x,) for x in lines], "raw string"), registry, now_ms=1_704_153_600_000)
+    rows = {r["raw"]: r for r in made.collect()}
+    assert len(rows) == len(LINES) and dead.count() == 0
+    return registry, [rows[x] for x in lines]
 
 
-@pytest.mark.parametrize("i", range(len(LINES) - 1))
-def test_pack(routed, i):
-    registry, df, candidates = routed
+@pytest.mark.parametrize("i", range(len(LINES)))
+def test_pack(events, i):
     _, ref, kind, activity, has = LINES[i]
-    pack = registry.packs[candidates[i][0]]
-    assert pack.ref == ref
-    parsed = pack.parsed(df.filter(F.col("i") == i))
-    row = parsed.select("rule_no", "failure").first()
-    assert row["failure"] is None and pack.doc["classes"][row["rule_no"]]["class"] == kind
-    got = pack.mapped(parsed, row["rule_no"], F.lit(1_704_153_600_000).cast("bigint")).select("attrs", "activity_id", "errors").first()
+    got = events[1][i]
+    assert got["pack"] == (None if ref == "fallback" else ref) and got["class_name"] == kind
     attrs = {k.removeprefix("evidences[0]."): v for k, v in got["attrs"].items()}
     assert got["errors"] == [] and got["activity_id"] == activity and attrs.get("src_endpoint.ip") == "10.1.2.3"
     assert (attrs.get("dst_endpoint.ip") == "192.0.2.7") == ("D" in has) and (attrs.get("src_endpoint.port") == "4321") == ("P" in has)
     assert (attrs.get("user.name") or attrs.get("actor.user.name")) == ("u7" if "U" in has else None)
 
 
-def test_no_pack_takes_unknown_lines(routed):
-    assert routed[2][len(LINES) - 1] == []
+def test_batches_use_what_is_compiled(spark, events):
+    """A second batch with the same registry is built without compiling again, and a failing pack hands its line on."""
+    registry = events[0]
+    rules, stages = registry.compiled[0].rules(spark), dict(registry.compiled[1]._made)
+    lines = [LINES[0][0].format(S="10.1.2.3", D="192.0.2.7", P=1, U="u"), "<14>x 1,2024/01/01 00:00:01,S1,TRAFFIC,", None, ""]
+    got = normalize(spark.createDataFrame([(x,) for x in lines], "raw string"), registry, now_ms=0)[0].select("raw", "pack").collect()
+    assert {r["raw"]: r["pack"] for r in got}[lines[0]] == "paloalto.panos@1.0" and len(got) == 2
+    assert registry.compiled[0].rules(spark) is rules and all(registry.compiled[1]._made[k] is v for k, v in stages.items())
