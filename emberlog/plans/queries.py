@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.coerce import to_boolean, to_integer
 from emberlog.functions.text import snake
 from emberlog.functions.timestamps import epoch_ms
-from emberlog.operators import detect, extract, guard, ledger, lineage, mining, rules
+from emberlog.operators import detect, drafts, extract, guard, ledger, lineage, mining, rules
 from emberlog.operators.sniff import sniffed
 from emberlog.plans import detection, store, vendors
 from emberlog.plans.normalize import normalize
@@ -175,6 +175,21 @@ def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.verified(tampered, ledger.proofs(leaves), ledger.chained(ledger.batches(leaves)))
 
 
+def shared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lines of each user have in common: names of pairs, of which some are left out of some lines."""
+    e = rows(spark, sf_dir)
+    raw = F.concat(F.lit("stamp="), "event_id", F.when(F.col("event_id") % 7 < 6 - F.col("user_id") % 7, F.lit(" longest_name=x")).otherwise(""), F.lit(" kind="), "event_type", F.when(F.col("user_id") % 3 > 0, F.lit(" weight=1")).otherwise(""))
+    return drafts.common_tokens(e.select(F.col("user_id").alias("cluster"), F.lit("kv").alias("format"), raw.alias("raw")))
+
+
+def agreed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that the lines of a group of users agree on: a third of the lines have no address, most have no target."""
+    e = rows(spark, sf_dir)
+    some = lambda name, value, when: F.map_filter(F.create_map(F.lit(name), F.when(when, value)), lambda k, v: v.isNotNull())
+    fields = F.map_concat(F.create_map(F.lit("message"), F.concat(F.lit("it was "), "event_type"), F.lit("zz_other"), F.lit("1")), some("src_ip", F.lit("10.0.0.1"), F.col("event_id") % 3 > 0), some("dst_port", F.lit("443"), F.col("event_id") % 5 == 0))
+    return drafts.votes(e.select((F.col("user_id") % 10).alias("cluster"), F.col("event_id").alias("row"), fields.alias("fields"))).drop("score")
+
+
 def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.templates(lines(spark, sf_dir, FAILURES))
 
@@ -245,5 +260,8 @@ SHUFFLED = CHAIN_ROOTS.replace("event_id // 4 // 256 AS batch_id, event_id // 4
 SQL["ledger_append"] = SQL["ledger_chain"].replace(CHAIN_ROOTS, SHUFFLED)
 SQL["ledger_verify_all"] = "SELECT *, known AND leaf_match AND proof_match AND link_match AND raw_match AND norm_match AND signature_match AS verified FROM (SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 AS seq, true AS known, raw AND norm AS leaf_match, raw AND norm AS proof_match, true AS link_match, raw AS raw_match, norm AS norm_match, event_id % 4 <> 2 AS signature_match FROM (SELECT event_id, event_id // 4 % 50 <> 3 AS raw, event_id // 4 % 70 <> 5 AS norm FROM events))"
 QUERIES["normalize_vendors"], SQL["normalize_vendors"] = vendors.vendors, vendors.SQL
+QUERIES |= {"draft_tokens": shared_tokens, "draft_votes": agreed_fields}
+SQL["draft_tokens"] = "WITH t AS (SELECT user_id AS cluster, unnest(list_filter(['stamp=', CASE WHEN event_id % 7 < 6 - user_id % 7 THEN 'longest_name=' END, 'kind=', CASE WHEN user_id % 3 > 0 THEN 'weight=' END], lambda x: x IS NOT NULL)) AS token FROM events), n AS (SELECT cluster, token, count(*) AS n FROM t GROUP BY ALL), o AS (SELECT user_id AS cluster, count(*) AS o FROM events GROUP BY 1) SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY length(token) DESC, token) AS INTEGER) AS rank, token FROM n JOIN o USING (cluster) WHERE n = o QUALIFY rank <= 2"
+SQL["draft_votes"] = "WITH c AS (SELECT user_id % 10 AS cluster, count(*) AS o, count_if(event_id % 3 > 0) AS a, count_if(event_id % 5 = 0) AS p FROM events GROUP BY 1), f AS (SELECT cluster, 'message' AS path, 'message' AS raw, o AS support FROM c UNION ALL SELECT cluster, 'src_endpoint.ip', 'src_ip', a FROM c WHERE a >= 0.5 * o UNION ALL SELECT cluster, 'dst_endpoint.port', 'dst_port', p FROM c WHERE p >= 0.5 * o) SELECT cluster, CASE WHEN a > o - a THEN 'network_activity' ELSE 'base_event' END AS class_name, path, raw, CAST(support AS BIGINT) AS support FROM f JOIN c USING (cluster)"
 QUERIES |= detection.QUERIES
 SQL |= detection.SQL
