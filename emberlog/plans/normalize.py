@@ -93,7 +93,7 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
     everyone, native, slow = registry.compiled
     now = F.lit(now_ms).cast("bigint") if now_ms is not None else F.unix_millis(F.current_timestamp())
     path = f"{staging or folder(spark)}/{uuid.uuid4().hex}"
-    todo = routed(lines(df, raw), registry).withColumn("turn", F.lit(0))
+    todo = routed(spread(lines(df, raw)), registry).withColumn("turn", F.lit(0))
     parts: list[DataFrame] = []
     for n in count():  # ends when no line has a pack left to try
         now_done = [staged(parsed(todo, native, list(slow.packs)), f"{path}/round-{n}", "state")]
@@ -117,6 +117,12 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
     return events, reduce(DataFrame.unionByName, dead) if dead else guard.dead_letters(parts[0].filter(F.col("state") == DEAD))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals lines out to all cores where they come in fewer parts: a small file is one part, but its lines take long to parse."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def present(df: DataFrame, column: str) -> list[int]:
     """The numbers, from 0, that a staging column has; read from the folders' names, without a job."""
     return sorted({int(n) for f in df.inputFiles() for n in re.findall(rf"/{column}=(\d+)/", f)})
