@@ -175,6 +175,14 @@ def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.verified(tampered, ledger.proofs(leaves), ledger.chained(ledger.batches(leaves)))
 
 
+def mined_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of lines of 75 buckets: 25 units, and messages of three lengths."""
+    e = rows(spark, sf_dir)
+    unit = F.concat(F.lit("unit "), F.chr(97 + F.col("event_id") % 25))
+    tail = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" took "), "event_id", F.lit(" ms on 10.1.2."), F.col("user_id") % 250, F.lit(" for "), "event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" closed by "), F.lit("00:1b:44:11:3a:b"), F.col("user_id") % 10)).otherwise(F.lit(" is up and running now"))
+    return mining.templates(e.select(F.concat(unit, tail).alias("raw")))
+
+
 def shared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the lines of each user have in common: names of pairs, of which some are left out of some lines."""
     e = rows(spark, sf_dir)
@@ -260,6 +268,8 @@ SHUFFLED = CHAIN_ROOTS.replace("event_id // 4 // 256 AS batch_id, event_id // 4
 SQL["ledger_append"] = SQL["ledger_chain"].replace(CHAIN_ROOTS, SHUFFLED)
 SQL["ledger_verify_all"] = "SELECT *, known AND leaf_match AND proof_match AND link_match AND raw_match AND norm_match AND signature_match AS verified FROM (SELECT CAST(event_id % 4 AS VARCHAR) AS shard, event_id // 4 AS seq, true AS known, raw AND norm AS leaf_match, raw AND norm AS proof_match, true AS link_match, raw AS raw_match, norm AS norm_match, event_id % 4 <> 2 AS signature_match FROM (SELECT event_id, event_id // 4 % 50 <> 3 AS raw, event_id // 4 % 70 <> 5 AS norm FROM events))"
 QUERIES["normalize_vendors"], SQL["normalize_vendors"] = vendors.vendors, vendors.SQL
+QUERIES["mine_templates_many"] = mined_many
+SQL["mine_templates_many"] = "SELECT 'unit ' || chr(CAST(97 + event_id % 25 AS INTEGER)) || CASE event_id % 3 WHEN 0 THEN ' took <NUM> ms on <IP> for ' || CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE '<*>' END WHEN 1 THEN ' closed by <MAC>' ELSE ' is up and running now' END AS template, count(*) AS count FROM events GROUP BY event_id % 25, event_id % 3"
 QUERIES |= {"draft_tokens": shared_tokens, "draft_votes": agreed_fields}
 SQL["draft_tokens"] = "WITH t AS (SELECT user_id AS cluster, unnest(list_filter(['stamp=', CASE WHEN event_id % 7 < 6 - user_id % 7 THEN 'longest_name=' END, 'kind=', CASE WHEN user_id % 3 > 0 THEN 'weight=' END], lambda x: x IS NOT NULL)) AS token FROM events), n AS (SELECT cluster, token, count(*) AS n FROM t GROUP BY ALL), o AS (SELECT user_id AS cluster, count(*) AS o FROM events GROUP BY 1) SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY length(token) DESC, token) AS INTEGER) AS rank, token FROM n JOIN o USING (cluster) WHERE n = o QUALIFY rank <= 2"
 SQL["draft_votes"] = "WITH c AS (SELECT user_id % 10 AS cluster, count(*) AS o, count_if(event_id % 3 > 0) AS a, count_if(event_id % 5 = 0) AS p FROM events GROUP BY 1), f AS (SELECT cluster, 'message' AS path, 'message' AS raw, o AS support FROM c UNION ALL SELECT cluster, 'src_endpoint.ip', 'src_ip', a FROM c WHERE a >= 0.5 * o UNION ALL SELECT cluster, 'dst_endpoint.port', 'dst_port', p FROM c WHERE p >= 0.5 * o) SELECT cluster, CASE WHEN a > o - a THEN 'network_activity' ELSE 'base_event' END AS class_name, path, raw, CAST(support AS BIGINT) AS support FROM f JOIN c USING (cluster)"
