@@ -12,7 +12,7 @@ from emberlog.functions.text import snake
 from emberlog.functions.timestamps import epoch_ms
 from emberlog.operators import detect, drafts, extract, guard, ledger, lineage, mining, rules
 from emberlog.operators.sniff import sniffed
-from emberlog.plans import detection, store, vendors
+from emberlog.plans import detection, schemas, store, vendors
 from emberlog.plans.normalize import normalize
 from emberlog.plans.sealing import Ledger
 from emberlog.sources import sinks
@@ -273,5 +273,6 @@ SQL["mine_templates_many"] = "SELECT 'unit ' || chr(CAST(97 + event_id % 25 AS I
 QUERIES |= {"draft_tokens": shared_tokens, "draft_votes": agreed_fields}
 SQL["draft_tokens"] = "WITH t AS (SELECT user_id AS cluster, unnest(list_filter(['stamp=', CASE WHEN event_id % 7 < 6 - user_id % 7 THEN 'longest_name=' END, 'kind=', CASE WHEN user_id % 3 > 0 THEN 'weight=' END], lambda x: x IS NOT NULL)) AS token FROM events), n AS (SELECT cluster, token, count(*) AS n FROM t GROUP BY ALL), o AS (SELECT user_id AS cluster, count(*) AS o FROM events GROUP BY 1) SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY length(token) DESC, token) AS INTEGER) AS rank, token FROM n JOIN o USING (cluster) WHERE n = o QUALIFY rank <= 2"
 SQL["draft_votes"] = "WITH c AS (SELECT user_id % 10 AS cluster, count(*) AS o, count_if(event_id % 3 > 0) AS a, count_if(event_id % 5 = 0) AS p FROM events GROUP BY 1), f AS (SELECT cluster, 'message' AS path, 'message' AS raw, o AS support FROM c UNION ALL SELECT cluster, 'src_endpoint.ip', 'src_ip', a FROM c WHERE a >= 0.5 * o UNION ALL SELECT cluster, 'dst_endpoint.port', 'dst_port', p FROM c WHERE p >= 0.5 * o) SELECT cluster, CASE WHEN a > o - a THEN 'network_activity' ELSE 'base_event' END AS class_name, path, raw, CAST(support AS BIGINT) AS support FROM f JOIN c USING (cluster)"
+QUERIES["schema_faults"], SQL["schema_faults"] = schemas.validated, schemas.SQL
 QUERIES |= detection.QUERIES
 SQL |= detection.SQL
