@@ -12,6 +12,8 @@ log-probabilities of all its words.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -22,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import VECTORS, WordHash, as_bytes, keep, rows_of, small_batches, sum_vectors, table, vector_rows, with_key
+from emberlog.llm.common import VECTORS, WordHash, as_bytes, keep, rows_of, shared_dir, small_batches, sum_vectors, table, vector_rows, with_key
 
 SIDE, WIDTH, HIDDEN = 2, 8, 32
 INPUT = 2 * SIDE * WIDTH
 #: Log-probabilities of words in their classes are whole numbers of this fraction: their sums don't depend on the order.
 UNIT = 10**9
+#: Where memories of squared gradients begin. Gradients are means of a batch: a larger start would hold back all but the commonest words.
+FIRST = 1e-8
 PARTS = pa.schema([("name", pa.string()), ("chunk", pa.int32()), ("task", pa.int64()), ("weight", pa.float64()), ("values", pa.list_(pa.float64()))])
 
 
@@ -280,21 +284,36 @@ def rare_sums(rows: DataFrame, v: Vocabulary) -> DataFrame:
     return places.join(v.rare, "w", "left").groupBy("row").agg(F.sum(F.coalesce("lp", unseen)).alias("more"))
 
 
-def train(docs: DataFrame, groups: int, rounds: int, batch: int, rate: float, seed: int, shard_words: int = 1 << 20) -> WindowNetwork:
-    """The network after all rounds; round r takes the documents whose hash is r modulo ``rounds``.
+def dealt(docs: DataFrame, rounds: int, shards: int, width: int = 4096) -> list[DataFrame]:
+    """The documents of each round with their shard, written once: a round reads its own folder. Shards stand in the order of hashes in at most ``width`` files a round."""
+    path = f"{shared_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
+    rows = docs.filter("n > 0").select("n", "tokens", "h", F.pmod("h", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"))
+    files = min(shards, width)
+    rows = rows.repartition(min(rounds * files, width), "round", F.col("shard") % files).sortWithinPartitions("round", "shard", "h")
+    rows.write.partitionBy("round").parquet(path)
+    kept = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return [kept.filter(F.col("round") == r).select("n", "tokens", "shard") for r in range(rounds)]
 
-    A round's documents are dealt by hash to shards of about ``shard_words`` words, as many as the corpus needs. Each shard learns
-    from the network before, in the order of hashes, and their networks are averaged: neither files nor partitions matter.
+
+def train(docs: DataFrame, groups: int, least_rounds: int, batch: int, rate: float, seed: int, shard_words: int = 1 << 20) -> WindowNetwork:
+    """The network after all rounds; round r takes the documents whose hash is r modulo the number of rounds.
+
+    A round's documents are dealt by hash to shards of about ``shard_words`` words. Each shard learns from the network before, in the order of hashes, and the
+    networks and their memories of gradients are averaged: neither files nor partitions matter. Rounds and shards both grow with the square root of the corpus, so
+    that more text means more steps one after the other, and wider averages; each document is trained on once.
     """
     spark = docs.sparkSession
     net = WindowNetwork.begun(groups, seed)
+    past = np.concatenate([np.full(int(np.prod(s)), FIRST, np.float32) for s in shapes(groups).values()])
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rounds = max(least_rounds, math.isqrt(total // shard_words))
     shards = int(max(1, -(-total // (rounds * shard_words))))
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast((net.flat(), groups))
+    for part in dealt(docs, rounds, shards):
+        shared = spark.sparkContext.broadcast((net.flat(), past, groups))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start, memory, net, seen, now, waiting = shared.value[0], {}, None, 0, None, 0
+            start, past, groups = shared.value
+            memory, net, seen, now, waiting = {}, None, 0, None, 0
             held: list[pa.RecordBatch] = []
 
             def take() -> None:
@@ -311,8 +330,9 @@ def train(docs: DataFrame, groups: int, rounds: int, batch: int, rate: float, se
                 if held:
                     take()
                 if seen:
-                    for pdf in vector_rows("p", net.flat() * float(seen), seen, task=now):
-                        yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
+                    for name, flat in (("p", net.flat()), ("memory", WindowNetwork(memory, groups).flat())):
+                        for pdf in vector_rows(name, flat.astype(np.float64) * seen, seen, task=now):
+                            yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
 
             for whole in batches:
                 for k in range(whole.num_rows):
@@ -321,7 +341,7 @@ def train(docs: DataFrame, groups: int, rounds: int, batch: int, rate: float, se
                     if shard != now:
                         yield from learnt()
                         net = WindowNetwork({}, groups).filled(start)
-                        memory, seen, now, waiting = {name: np.full(s, 1e-3, np.float32) for name, s in shapes(groups).items()}, 0, shard, 0
+                        memory, seen, now, waiting = WindowNetwork({}, groups).filled(past).p, 0, shard, 0
                     held.append(b)
                     waiting += b.column("n")[0].as_py()
                     if waiting >= 1 << 17:
@@ -329,14 +349,13 @@ def train(docs: DataFrame, groups: int, rounds: int, batch: int, rate: float, se
                         waiting = 0
             yield from learnt()
 
-        part = docs.filter((F.pmod("h", F.lit(rounds)) == r) & (F.col("n") > 0)).select("n", "tokens", "h", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"))
-        found = sum_vectors(part.repartition(shards, "shard").sortWithinPartitions("shard", "h").mapInArrow(learn, VECTORS))
+        found = sum_vectors(part.mapInArrow(learn, VECTORS))
         if found:
-            net = net.filled(found["p"][1] / found["p"][0])
+            net, past = net.filled(found["p"][1] / found["p"][0]), (found["memory"][1] / found["memory"][0]).astype(np.float32)
     return net
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, batch: int = 8192, rate: float = 0.1, seed: int = 1, head: int = 1 << 18) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_rounds: int = 3, batch: int = 8192, rate: float = 0.2, seed: int = 1, head: int = 1 << 18) -> DataFrame:
     """Trains on all texts and scores all: doc_id, n_tokens, log_prob (their sum), mean_log_prob.
 
     Null, empty and blank texts have no token: log_prob 0, mean_log_prob null. Equal texts get equal scores; ids may repeat
@@ -348,7 +367,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     rows = keep(words_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     known = vocabulary(rows, head)
     rows = keep(tokens_of(rows, known))
-    shared = spark.sparkContext.broadcast((train(rows, known.groups, rounds, batch, rate, seed).flat(), known.groups))  # not the class: executors may lack it
+    shared = spark.sparkContext.broadcast((train(rows, known.groups, least_rounds, batch, rate, seed).flat(), known.groups))  # not the class: executors may lack it
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = WindowNetwork({}, shared.value[1]).filled(shared.value[0])

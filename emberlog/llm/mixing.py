@@ -76,8 +76,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null sources are one source, the last. Documents without words take none and stay in the result. Rows that repeat an
     id each have their own words; equal rows may stand in for one another. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = keep(rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(id_col, text_col, F.lit(seed)).alias("h"))  # of id and text: a null or repeated id is no hot chunk
+    rows = keep(rows)
     sizes = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = keep(sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("src").isNull(), "src"))).coalesce(1))
     length = F.least(F.greatest(F.expr(f"source_size div {slots_a_source}"), F.lit(1)), F.lit(block_words)).cast("long")

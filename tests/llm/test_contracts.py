@@ -1,6 +1,8 @@
 """Methods against brute force, held-out accuracy, odd rows, empty tables and models without the package."""
 
+import collections
 import hashlib
+import math
 import random
 import subprocess
 import sys
@@ -8,6 +10,7 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from emberlog.llm import decontaminate, exact_dedup, html_text, langid, linear, lm_score, mixing, near_dedup, quality, substring_dedup, warc
@@ -412,6 +415,58 @@ def test_scores_do_not_depend_on_the_partitions(spark):
     assert one == pytest.approx(many, abs=1e-4)  # products in single precision
 
 
+def test_scores_equal_a_plain_loop_over_windows_classes_and_words(spark):
+    texts = made(53, 40, 30) + ["", None, "alone", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lm_score.words_of(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    v = lm_score.vocabulary(rows, 1 << 18)
+    net = lm_score.train(lm_score.tokens_of(rows, v), v.groups, 3, 8192, 0.2, 1)
+    p, g = {k: x.astype(float) for k, x in net.p.items()}, v.groups
+    words = [(t or "").lower().split() for t in texts]
+    counts = collections.Counter(w for d in words for w in d)
+    token = dict(zip(v.words.tolist(), v.token.tolist(), strict=True))
+    token = {w: token[lm_score.word_hash(w.encode())] for w in counts}
+    total, kinds = collections.Counter(), collections.Counter(token.values())
+    for w, n in counts.items():
+        total[token[w]] += n
+    got = {r["doc_id"]: r for r in lm_score.lm_score(docs).collect()}
+    for i, d in enumerate(words):
+        want = 0.0
+        for at, w in enumerate(d):
+            sides = [token[d[k]] if 0 <= k < len(d) else g * g for k in (at - 2, at - 1, at + 1, at + 2)]
+            x = [value for t in sides for value in p["embed"][t]]
+            h = [math.tanh(sum(a * b for a, b in zip(x, column, strict=True)) + c) for column, c in zip(p["w1"].T, p["b1"], strict=True)]
+            group, place = divmod(token[w], g)
+            for weights, bias, k in ((p["wg"], p["bg"], group), (p["wt"][group], p["bt"][group], place)):
+                z = [sum(a * b for a, b in zip(h, weights[:, j], strict=True)) + bias[j] for j in range(g)]
+                want += z[k] - math.log(sum(math.exp(y) for y in z))
+            want += math.log(counts[w] / (total[token[w]] + kinds[token[w]]))
+        assert got[i]["log_prob"] == pytest.approx(want, abs=1e-3 + 1e-4 * len(d)) and got[i]["n_tokens"] == len(d)
+
+
+def test_training_gains_from_more_text(spark):
+    """Held-out texts against their own words in random order: the gap, and the log-probability, grow with the text that is learnt from."""
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").dropDuplicates(["text"])
+    rows = lm_score.words_of(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    v = lm_score.vocabulary(rows, 1 << 18)
+    rows = lm_score.keep(lm_score.tokens_of(rows, v))
+    held, seen = [np.frombuffer(r["tokens"], np.uint16) for r in rows.filter("pmod(h, 8) = 0 and n > 5").orderBy("h").collect()], rows.filter("pmod(h, 8) > 0")
+    draw, found = np.random.default_rng(1), []
+    both = [np.concatenate(held), np.concatenate([draw.permutation(d) for d in held])]
+    ctx = [lm_score.contexts(ids, np.array([len(d) for d in held]), v.groups**2) for ids in both]
+    for part in (seen.filter("pmod(h, 64) < 4"), seen):
+        net = lm_score.train(part, v.groups, 3, 256, 0.2, 1, shard_words=1 << 15)  # 128 steps a shard, as at full size
+        found.append([net.log_probability(ids, c).mean() for ids, c in zip(both, ctx, strict=True)])
+    (few, mixed), (all_, mixed_all) = found
+    assert all_ > few + 0.05 and all_ - mixed_all > few - mixed > 0, found
+
+
+def test_a_null_id_of_many_rows_is_no_hot_chunk(spark):
+    docs = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(docs).agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).first()
+    assert got["n"] == 9000 and abs(got["taken"] - got["target"]) <= 0.01 * got["target"] and got["most"] <= 2
+
+
 def test_mixing_sql_columns(spark):
     import duckdb
 
