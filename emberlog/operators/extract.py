@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -27,6 +27,11 @@ def none() -> Column:
     return F.expr(NO_FIELDS)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it: a Column that is used twice is its whole tree twice."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def named(pairs: list[tuple[str, Column]]) -> Column:
     """A map of the pairs whose value isn't null."""
     flat = [x for name, value in pairs for x in (F.lit(name), value.cast("string"))]
@@ -122,34 +127,45 @@ def syslog(text: Column, options: dict) -> Column:
     """
     s = F.regexp_replace(F.regexp_replace(text, "^﻿+", ""), "[\r\n]+$", "")
     pri = F.regexp_extract(s, r"^<(\d{1,3})>", 1).try_cast("int")
-    s = F.regexp_replace(s, r"^<\d{1,3}>", "")
-    common = [("syslog_pri", pri), ("syslog_facility", F.shiftright(pri, 3)), ("syslog_severity", pri.bitwiseAND(7))]
+    headless = lambda h: _modern_or_old(h["s"], h["pri"], options)
+    return F.when(text.isNotNull(), bound(F.struct(F.regexp_replace(s, r"^<\d{1,3}>", "").alias("s"), pri.alias("pri")), headless))
 
-    g, _ = groups(s, RFC5424)
-    field = lambda i: F.when(F.get(g, F.lit(i)) != "-", F.get(g, F.lit(i)))
-    elements = F.regexp_extract_all(F.get(g, F.lit(5)), F.lit(r'(\[[^\s\]]+(?:\s+[^=\s]+="(?:[^"\\]|\\.)*")*\])'), 1)
-    name = lambda e: F.regexp_extract(e, r"^\[([^\s\]]+)", 1)
-    parameter = r'([^=\s\[]+)="((?:[^"\\]|\\.)*)"'
+
+def _modern_or_old(s: Column, pri: Column, options: dict) -> Column:
+    common = [("syslog_pri", pri), ("syslog_facility", F.shiftright(pri, 3)), ("syslog_severity", pri.bitwiseAND(7))]
     flat = options.get("sd_prefix", True) is False
-    keys = lambda e: F.transform(F.regexp_extract_all(e, F.lit(parameter), 1), lambda k: k if flat else F.concat(F.lit("sd."), name(e), F.lit("."), k))
-    entries = F.flatten(F.transform(elements, lambda e: F.arrays_zip(keys(e).alias("k"), F.transform(F.regexp_extract_all(e, F.lit(parameter), 2), lambda v: F.replace(v, F.lit('\\"'), F.lit('"'))).alias("v"))))
-    data = F.map_from_entries(F.transform(entries, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
-    new = [("syslog_timestamp", field(0)), ("syslog_host", field(1)), ("syslog_app", field(2)), ("syslog_procid", field(3)), ("syslog_msgid", field(4))]
-    tail = [("message", F.regexp_replace(F.get(g, F.lit(6)), "^﻿+", "")), ("syslog_format", F.lit("rfc5424"))]
-    first = [("sd_id", F.when(F.size(elements) > 0, name(F.get(elements, F.lit(0)))))] if flat else []
-    modern = F.map_concat(named(common + new + first), F.coalesce(data, none()), named(tail))
-
-    stamp = F.regexp_extract(s, STAMP, 1)
-    rest = F.when(stamp == "", s).otherwise(F.ltrim(F.substring(s, F.length(stamp) + 1, F.length(s))))
-    host = F.when((stamp != "") & ~rest.rlike("^(?:%|:|CEF:|LEEF:)") & F.lit(not options.get("no_host")), F.regexp_extract(rest, HOST, 1))
-    host = F.when(host != "", host)
-    rest = F.when(host.isNotNull(), F.substring(rest, F.length(host) + 2, F.length(rest))).otherwise(rest)
-    rest = F.regexp_replace(rest, "^[: ]+", "")
-    tagged = F.lit(not options.get("no_tag")) & ~rest.rlike(r"^(?:CEF:|LEEF:|\{)") & rest.rlike(TAG)
-    app, proc = F.when(tagged, F.regexp_extract(rest, TAG, 1)), F.when(tagged, F.regexp_extract(rest, TAG, 2))
-    rest = F.when(tagged, F.regexp_replace(rest, TAG, "")).otherwise(rest)
-    old = named([*common, ("syslog_timestamp", F.when(stamp != "", stamp)), ("syslog_host", host), ("syslog_app", app), ("syslog_procid", F.when(proc != "", proc)), ("message", rest), ("syslog_format", F.lit("rfc3164"))])
-    return F.when(text.isNotNull(), F.when(g.isNotNull(), modern).otherwise(old))
+
+    def modern(g: Column) -> Column:
+        field = lambda i: F.when(F.get(g, F.lit(i)) != "-", F.get(g, F.lit(i)))
+        name = lambda e: F.regexp_extract(e, r"^\[([^\s\]]+)", 1)
+        parameter = r'([^=\s\[]+)="((?:[^"\\]|\\.)*)"'
+        keys = lambda e: F.transform(F.regexp_extract_all(e, F.lit(parameter), 1), lambda k: k if flat else F.concat(F.lit("sd."), name(e), F.lit("."), k))
+        new = [("syslog_timestamp", field(0)), ("syslog_host", field(1)), ("syslog_app", field(2)), ("syslog_procid", field(3)), ("syslog_msgid", field(4))]
+        tail = [("message", F.regexp_replace(F.get(g, F.lit(6)), "^﻿+", "")), ("syslog_format", F.lit("rfc5424"))]
+
+        def with_data(elements: Column) -> Column:
+            entries = F.flatten(F.transform(elements, lambda e: F.arrays_zip(keys(e).alias("k"), F.transform(F.regexp_extract_all(e, F.lit(parameter), 2), lambda v: F.replace(v, F.lit('\\"'), F.lit('"'))).alias("v"))))
+            data = F.map_from_entries(F.transform(entries, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
+            first = [("sd_id", F.when(F.size(elements) > 0, name(F.get(elements, F.lit(0)))))] if flat else []
+            return F.map_concat(named(common + new + first), F.coalesce(data, none()), named(tail))
+
+        return bound(F.regexp_extract_all(F.get(g, F.lit(5)), F.lit(r'(\[[^\s\]]+(?:\s+[^=\s]+="(?:[^"\\]|\\.)*")*\])'), 1), with_data)
+
+    def hosted(stamp: Column, rest: Column) -> Column:
+        host = F.when((stamp != "") & ~rest.rlike("^(?:%|:|CEF:|LEEF:)") & F.lit(not options.get("no_host")), F.regexp_extract(rest, HOST, 1))
+        return bound(F.when(host != "", host), lambda host: bound(F.regexp_replace(F.when(host.isNotNull(), F.substring(rest, F.length(host) + 2, F.length(rest))).otherwise(rest), "^[: ]+", ""), lambda rest: tagged(stamp, host, rest)))
+
+    def tagged(stamp: Column, host: Column, rest: Column) -> Column:
+        yes = F.lit(not options.get("no_tag")) & ~rest.rlike(r"^(?:CEF:|LEEF:|\{)") & rest.rlike(TAG)
+        parts = F.when(yes, F.struct(F.regexp_extract(rest, TAG, 1).alias("app"), F.regexp_extract(rest, TAG, 2).alias("proc"), F.regexp_replace(rest, TAG, "").alias("rest")))
+        parts = parts.otherwise(F.struct(F.lit(None).cast("string").alias("app"), F.lit(None).cast("string").alias("proc"), rest.alias("rest")))
+        return bound(parts, lambda p: named([*common, ("syslog_timestamp", F.when(stamp != "", stamp)), ("syslog_host", host), ("syslog_app", p["app"]), ("syslog_procid", F.when(p["proc"] != "", p["proc"])), ("message", p["rest"]), ("syslog_format", F.lit("rfc3164"))]))
+
+    def old() -> Column:
+        after = lambda stamp: F.when(stamp == "", s).otherwise(F.ltrim(F.substring(s, F.length(stamp) + 1, F.length(s))))
+        return bound(F.regexp_extract(s, STAMP, 1), lambda stamp: bound(after(stamp), lambda rest: hosted(stamp, rest)))
+
+    return bound(F.when(s.startswith("1 "), groups(s, RFC5424)[0]), lambda g: F.when(g.isNotNull(), modern(g)).otherwise(old()))
 
 
 # The base patterns that %{NAME} stands for.
