@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.operators.lineage import BATCH, GENESIS, LEVELS, joined, root
+from emberlog.operators.lineage import BATCH, GENESIS, joined, root, tree
 
 CHAIN = "shard string, batch_id long, count long, merkle_root string, prev_chain string, chain_hash string"
 
@@ -59,19 +59,15 @@ def broken(chain: DataFrame) -> DataFrame:
     return seen.withColumn("reason", reason).filter("reason is not null").select("shard", "batch_id", "reason")
 
 
-def proof(leaves: Column, at: Column) -> Column:
-    """The siblings from a leaf to the root, as structs (left, digest); ``left`` says that the sibling stands before."""
-    first = F.struct(leaves.alias("level"), at.cast("int").alias("at"), F.expr("cast(array() as array<struct<left:boolean,digest:string>>)").alias("path"))
+def proof(levels: Column, at: Column) -> Column:
+    """The siblings from a leaf to the root, out of the tree's levels, as structs (left, digest); ``left`` says that the sibling stands before."""
 
-    def up(state: Column, _: Column) -> Column:
-        level, i = state["level"], state["at"]
+    def step(level: Column, k: Column) -> Column:
+        i = F.call_function("shiftright", at.cast("int"), k)
         other = i + 1 - 2 * (i % 2)
-        step = F.when(other < F.size(level), F.array(F.struct((other < i).alias("left"), F.get(level, other).alias("digest")))).otherwise(F.expr("cast(array() as array<struct<left:boolean,digest:string>>)"))
-        pair = lambda k: F.when(k + 1 < F.size(level), joined("01", F.get(level, k), F.get(level, k + 1))).otherwise(F.get(level, k))
-        above = F.when(F.size(level) <= 1, level).otherwise(F.transform(F.sequence(F.lit(0), F.size(level) - 1, F.lit(2)), pair))
-        return F.struct(above.alias("level"), F.floor(i / 2).cast("int").alias("at"), F.concat(state["path"], step).alias("path"))
+        return F.when(other < F.size(level), F.struct((other < i).alias("left"), F.get(level, other).alias("digest")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), first, up)["path"]
+    return F.array_compact(F.transform(levels, step))
 
 
 def proven(leaf: Column, path: Column) -> Column:
@@ -80,10 +76,11 @@ def proven(leaf: Column, path: Column) -> Column:
 
 
 def proofs(leaves: DataFrame, size: int = BATCH) -> DataFrame:
-    """shard, seq, batch_id, leaf and path for each row (shard, seq, leaf)."""
+    """shard, seq, batch_id, leaf and path for each row (shard, seq, leaf). A batch's tree is built once, and all its paths are read from it."""
     grouped = leaves.groupBy("shard", F.expr(f"seq div {size}").alias("batch_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "leaf"))).alias("l"))
-    each = grouped.select("shard", "batch_id", F.col("l.leaf").alias("all"), F.posexplode("l").alias("at", "x"))
-    return each.select("shard", "x.seq", "batch_id", "x.leaf", proof(F.col("all"), F.col("at")).alias("path"))
+    trees = grouped.select("shard", "batch_id", "l", tree(F.col("l.leaf")).alias("levels"))
+    each = trees.select("shard", "batch_id", F.explode(F.transform("l", lambda x, at: F.struct(x["seq"], x["leaf"], proof(F.col("levels"), at).alias("path")))).alias("x"))
+    return each.select("shard", "x.seq", "batch_id", "x.leaf", "x.path")
 
 
 def verified(events: DataFrame, proofs_: DataFrame, chain: DataFrame, digests: DataFrame | None = None, signed: DataFrame | None = None) -> DataFrame:

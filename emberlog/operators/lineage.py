@@ -20,14 +20,20 @@ def leaf(raw_sha256: Column, norm_sha256: Column) -> Column:
     return joined("00", raw_sha256, norm_sha256)
 
 
-def root(leaves: Column) -> Column:
-    """The root over an ordered array of at most 2 ** LEVELS leaves; an odd one moves up as it is, no leaf gives the digest of nothing."""
+def above(level: Column) -> Column:
+    """The level over one of a tree; an odd digest moves up as it is."""
+    pair = lambda i: F.when(i + 1 < F.size(level), joined("01", F.get(level, i), F.get(level, i + 1))).otherwise(F.get(level, i))
+    return F.when(F.size(level) <= 1, level).otherwise(F.transform(F.sequence(F.lit(0), F.size(level) - 1, F.lit(2)), pair))
+
 
-    def up(level: Column) -> Column:
-        pair = lambda i: F.when(i + 1 < F.size(level), joined("01", F.get(level, i), F.get(level, i + 1))).otherwise(F.get(level, i))
-        return F.when(F.size(level) <= 1, level).otherwise(F.transform(F.sequence(F.lit(0), F.size(level) - 1, F.lit(2)), pair))
+def tree(leaves: Column) -> Column:
+    """All levels over an ordered array of at most 2 ** LEVELS leaves, from the leaves to the root."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.array(leaves), lambda levels, _: F.concat(levels, F.array(above(F.element_at(levels, -1)))))
 
-    top = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), leaves, lambda level, _: up(level))
+
+def root(leaves: Column) -> Column:
+    """The root over an ordered array of at most 2 ** LEVELS leaves; no leaf gives the digest of nothing."""
+    top = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), leaves, lambda level, _: above(level))
     return F.coalesce(F.get(top, F.lit(0)), F.sha2(F.lit(""), 256))
 
 

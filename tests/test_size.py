@@ -1,8 +1,10 @@
 """Work that must stay small: plans don't grow with how often a value is used."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from emberlog.operators import extract
+from emberlog.operators import extract, ledger
 
 
 def nodes(column, spark):
@@ -18,3 +20,26 @@ def test_a_header_is_worked_out_once(spark):
     assert got[0] == {"syslog_pri": "14", "syslog_facility": "1", "syslog_severity": "6", "syslog_host": "h", "sd.a.b": "c", "message": "m", "syslog_format": "rfc5424"}
     assert got[1] == {"syslog_pri": "13", "syslog_facility": "1", "syslog_severity": "5", "syslog_timestamp": "Jan  2 03:04:05", "syslog_host": "h", "syslog_app": "app", "syslog_procid": "7", "message": "did it", "syslog_format": "rfc3164"}
     assert got[2:] == [{"syslog_app": "app", "message": "x", "syslog_format": "rfc3164"}, None]
+
+
+def test_a_batch_builds_its_tree_once(spark):
+    """Paths come from the tree of their batch, also of batches that aren't full: no hash stands above the row of each leaf."""
+    leaves = spark.createDataFrame([("a", i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(256 + 11)], "shard string, seq long, leaf string")
+    proofs = ledger.proofs(leaves)
+    above, generate, below = proofs._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")
+    assert generate and "sha2" not in above and "sha2" in below
+
+    def parent(a, b):
+        return hashlib.sha256(b"\x01" + bytes.fromhex(a) + bytes.fromhex(b)).hexdigest()
+
+    levels = [[r["leaf"] for r in leaves.orderBy("seq").collect()[256:]]]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([parent(*last[i : i + 2]) if i + 1 < len(last) else last[i] for i in range(0, len(last), 2)])
+    for r in proofs.filter("batch_id = 1").collect():
+        i, want = r["seq"] - 256, []
+        for level in levels[:-1]:
+            if (i ^ 1) < len(level):
+                want.append((bool(i % 2), level[i ^ 1]))
+            i //= 2
+        assert [(p["left"], p["digest"]) for p in r["path"]] == want and r["leaf"] == levels[0][r["seq"] - 256]
