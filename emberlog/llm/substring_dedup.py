@@ -20,10 +20,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import BROADCAST_ROWS, as_bytes, join_groups, keep, mixed, small_batches, table
+from emberlog.llm.common import as_bytes, join_groups, keep, mixed, small_batches, table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -261,6 +262,24 @@ def covered(n: int, spans: list, k: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def bit_of(bits: int) -> Column:
+    """The place of a document in a map of so many bits."""
+    return F.pmod(F.xxhash64("doc_id", "th"), F.lit(bits))
+
+
+def marked_bits(marks: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 28) -> tuple[int, Broadcast]:
+    """A map with the bits of all documents that have marks, and the number of its bits: a document without its bit has none, so its text
+    needs no join. Pieces of the map reach the driver, ``bits_per_row`` bits a document and ``max_bits`` at most, never rows."""
+    bits = min(max_bits, 1 << max(15, (bits_per_row * marks.count()).bit_length()))
+    at = marks.select((bit_of(bits) + 1).alias("p"))  # the built-in functions count from 1
+    pieces = at.groupBy(F.bitmap_bucket_number("p").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    held = np.zeros(bits // 8, np.uint8)
+    for r in pieces.collect():
+        step = len(r["bits"])
+        held[(r["piece"] - 1) * step : r["piece"] * step] = np.frombuffer(r["bits"], np.uint8)
+    return bits, marks.sparkSession.sparkContext.broadcast(held)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 50, m: int = 3, bucket_bytes: int = 6 << 20, chunk_bytes: int = 8 << 20, most_bytes: int = 96 << 20) -> DataFrame:
     """Removes every word in a window of ``k`` words that also starts earlier: doc_id, n_words, n_removed, kept_text.
 
@@ -276,23 +295,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("t").alias("th"), "t")
     marks = keep(marked(rows, k, m, bucket_bytes, chunk_bytes, most_bytes))
-    count, spans_held = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    few = count <= BROADCAST_ROWS and spans_held <= 2 * BROADCAST_ROWS  # then texts stay where they are
-    spans = F.broadcast(marks.select("doc_id", "th", "spans")) if few else marks.select("doc_id", "th", "spans")
+    places, held = marked_bits(marks)
+    tests = rows.select("doc_id", "th", "t", bit_of(places).alias("p"))
+
+    def row(i: int, words: list[bytes], spans: list | None) -> tuple:
+        gone = covered(len(words), spans, k) if spans else None
+        left = words if gone is None else [x for x, g in zip(words, gone, strict=True) if not g]
+        return None if i == NO_ID else i, len(words), len(words) - len(left), b" ".join(left).decode()
+
+    def result(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    def hit(b: pa.RecordBatch) -> np.ndarray:
+        at = b.column(3).to_numpy(zero_copy_only=False)
+        return (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~hit(b)))
+            yield result([row(i, t.split(), None) for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(2)), strict=True)])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(hit(b))).select(["doc_id", "th", "t"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, t, s in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                w = t.split()
-                gone = covered(len(w), s, k) if s else None
-                left = w if gone is None else [x for x, g in zip(w, gone, strict=True) if not g]
-                out.append((None if i == NO_ID else i, len(w), len(w) - len(left), b" ".join(left).decode()))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    joined = rows.join(spans, ["doc_id", "th"], "left").select("doc_id", "t", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+            yield result([row(i, t.split(), s) for i, t, s in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True)])
+
+    kind = "doc_id long, n_words long, n_removed long, kept_text string"
+    joined = tests.mapInArrow(possible, "doc_id long, th long, t string").join(marks, ["doc_id", "th"], "left").select("doc_id", "t", "spans")
+    return tests.mapInArrow(whole, kind).unionByName(joined.mapInArrow(cut, kind))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -161,3 +161,25 @@ def test_language_of_odd_texts(docs):
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, near_dedup.near_dedup, substring_dedup.substring_dedup, mixing.mix, lm_score.lm_score])
 def test_empty_tables(docs, run):
     assert run(docs.filter("false")).count() == 0
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    """op8: only texts that may have marks are joined with them, whatever their number; results are those of a plain loop."""
+    from emberlog.llm.substring_dedup import marked_bits, substring_dedup
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(9)) + (" a b c d e f" if i % 10 == 3 else "") for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, None), (None, texts[3]), (501, "a b")], "doc_id long, text string")
+    out = substring_dedup(docs, k=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "broadcast" not in plan
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()}
+    want = {i: (len(t.split()), 0, t) for i, t in enumerate(texts)} | {500: (0, 0, ""), 501: (2, 0, "a b"), None: (15, 0, texts[3])}
+    for i in range(3, 200, 10):
+        want[i] = (15, 15, "") if i == 3 else (15, 6, " ".join(texts[i].split()[:9]))
+    assert got == want
+    marks = spark.createDataFrame([(i, i * 7) for i in range(5000)], "doc_id long, th long")
+    bits, held = marked_bits(marks)
+    from emberlog.llm.substring_dedup import bit_of
+
+    places = [r["p"] for r in marks.select(bit_of(bits).alias("p")).collect()]
+    assert all(held.value[p >> 3] >> (p & 7) & 1 for p in places) and sum(bin(x).count("1") for x in held.value) == len(set(places))
