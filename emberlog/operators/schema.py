@@ -146,6 +146,12 @@ def whole(value: Column) -> Column:
     return F.schema_of_variant(value).rlike(r"^(BIGINT|BOOLEAN|DECIMAL\(\d+,0\))$")
 
 
+def names_in(text: Column) -> Column:
+    """How many names of members a JSON text has, at all levels."""
+    bare = F.regexp_replace(text, r"\\.", "")
+    return F.size(F.filter(F.regexp_extract_all(bare, F.lit(r'"[^"]*+"(\s*:)?'), F.lit(1)), lambda x: x != ""))
+
+
 def faults(events: DataFrame, schema: Schema, key: str = "uid", event: str = "event", envelope: tuple[str, ...] = ENVELOPE) -> DataFrame:
     """What is wrong with events (``key`` and the event as JSON): key, kind, path, expected; nothing for a valid event.
 
@@ -165,7 +171,9 @@ def faults(events: DataFrame, schema: Schema, key: str = "uid", event: str = "ev
     members = "map<string,variant>"
     rows = events.select(F.col(key).alias("_key"), F.col(event).cast("string").alias("_text"))
     depth = rows.agg(F.coalesce(F.max(json_depth(F.col("_text"))), F.lit(0))).first()[0]
-    rows = rows.select("_key", F.expr("try_variant_get(try_parse_json(_text), '$', 'map<string,variant>')").alias("members"))
+    rows = rows.withColumn("_json", F.try_parse_json("_text"))
+    doubled = names_in(F.col("_text")) > names_in(F.to_json("_json"))  # extractors let the session's parser keep the last of repeated names
+    rows = rows.select("_key", F.when(~doubled, F.try_variant_get("_json", "$", members)).alias("members"))
     uid = F.coalesce(F.expr("try_variant_get(try_element_at(members, 'class_uid'), '$', 'bigint')"), F.lit(0))
     none = F.expr("cast(array() as array<struct<kind:string,path:string,expected:string>>)")
     found = F.when(F.col("members").isNull(), F.array(F.struct(F.lit("json").alias("kind"), F.lit("").alias("path"), F.lit("object").alias("expected")))).otherwise(none)

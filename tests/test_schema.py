@@ -101,3 +101,16 @@ def test_repeated_keys_keep_their_faults(spark, tmp_path):
     df = spark.createDataFrame([(None, '{"class_uid": 4001}'), (None, '{"class_uid": "4001"}'), (1, '{"class_uid": 0}')], "uid long, event string")
     got = [(r["kind"], r["path"]) for r in schema.faults(df, s).collect()]
     assert sorted(got) == sorted(2 * [("missing", n) for n in ("category_uid", "activity_id", "type_uid", "severity_id", "time", "metadata", "dst_endpoint")] + [("type", "class_uid")])
+
+
+def test_repeated_names_are_faults_in_any_session(spark, tmp_path):
+    s = schema.compiled(schemas.definitions(spark)).kept(f"{tmp_path}/k")
+    texts = ['{"class_uid": 0, "a": 1, "a": 2}', '{"class_uid": 0, "a": {"b": [{"c": 1, "c": 1}]}}', '{"class_uid": 0, "\\u0061": 1, "a": 1}', '{"class_uid": 0, "a": "\\": 1, \\"a\\": ", "b" : {"a": "x:"}, "c": ["a", ":", {"a": "\\\\"}]}', '{"class_uid": 0, "": 1}']
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, event string")
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    try:
+        for allowed in ("true", "false"):  # extractors allow them
+            spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+            assert sorted((r["uid"], r["kind"]) for r in schema.faults(df, s).collect()) == [(0, "json"), (1, "json"), (2, "json")]
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
