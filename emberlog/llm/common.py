@@ -102,25 +102,28 @@ def vector_rows(name: str, vector: np.ndarray, weight: float, chunk: int = 4096,
     """One task's vector in pieces, as rows for ``sum_vectors``; ``task`` numbers it, if not its partition."""
     at = range(0, len(vector), chunk)
     if len(vector):
-        yield pd.DataFrame({"name": name, "chunk": [i // chunk for i in at], "task": task_id() if task is None else task, "weight": float(weight), "values": [vector[i : i + chunk].astype(np.float64) for i in at]})
+        yield pd.DataFrame({"name": name, "chunk": [i // chunk for i in at], "task": task_id() if task is None else task, "weight": float(weight), "values": [vector[i : i + chunk].astype(np.float32 if vector.dtype == np.float32 else np.float64) for i in at]})
 
 
 VECTORS = "name string, chunk int, task long, weight double, values array<double>"
+#: Vectors whose own precision is that: half the bytes to shuffle.
+SINGLES = VECTORS.replace("array<double>", "array<float>")
 
 
-def sum_vectors(parts: DataFrame, fan_in: int = 256) -> dict[str, tuple[float, np.ndarray]]:
+def sum_vectors(parts: DataFrame, fan_in: int = 256, weighed: bool = False) -> dict[str, tuple[float, np.ndarray]]:
     """Adds up the tasks' vectors, piece by piece, in two shuffled levels of bounded groups; in the order of tasks, so that reruns agree.
 
-    Only the sums come to the driver: their size is that of a model, whatever the input's.
+    Only the sums come to the driver: their size is that of a model, whatever the input's. With ``weighed``, each task's vector counts as often as its weight says.
     """
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+    def added(pdf: pd.DataFrame, weighed: bool = False) -> pd.DataFrame:
         pdf = pdf.sort_values("task")
-        total = np.sum(np.stack(pdf["values"].to_list()), axis=0)
+        values = np.stack(pdf["values"].to_list()).astype(np.float64)
+        total = np.sum(values * pdf["weight"].to_numpy()[:, None] if weighed else values, axis=0)
         return pd.DataFrame({"name": [pdf["name"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "task": [pdf["task"].iloc[0]], "weight": [pdf["weight"].sum()], "values": [total]})
 
-    level = parts.groupBy("name", "chunk", F.floor(F.col("task") / fan_in).alias("_block")).applyInPandas(lambda key, pdf: added(pdf), VECTORS)
-    sums = level.groupBy("name", "chunk").applyInPandas(added, VECTORS).collect()
+    level = parts.groupBy("name", "chunk", F.floor(F.col("task") / fan_in).alias("_block")).applyInPandas(lambda key, pdf: added(pdf, weighed), VECTORS)
+    sums = level.groupBy("name", "chunk").applyInPandas(lambda pdf: added(pdf), VECTORS).collect()
     out: dict[str, tuple[float, np.ndarray]] = {}
     for name in sorted({r["name"] for r in sums}):
         mine = sorted((r for r in sums if r["name"] == name), key=lambda r: r["chunk"])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import VECTORS, WordHash, as_bytes, keep, rows_of, shared_dir, small_batches, sum_vectors, table, vector_rows, with_key
+from emberlog.llm.common import SINGLES, WordHash, as_bytes, keep, rows_of, shared_dir, small_batches, sum_vectors, table, vector_rows, with_key
 
 SIDE, WIDTH, HIDDEN = 2, 8, 32
 INPUT = 2 * SIDE * WIDTH
@@ -32,7 +32,7 @@ INPUT = 2 * SIDE * WIDTH
 UNIT = 10**9
 #: Where memories of squared gradients begin. Gradients are means of a batch: a larger start would hold back all but the commonest words.
 FIRST = 1e-8
-PARTS = pa.schema([("name", pa.string()), ("chunk", pa.int32()), ("task", pa.int64()), ("weight", pa.float64()), ("values", pa.list_(pa.float64()))])
+PARTS = pa.schema([("name", pa.string()), ("chunk", pa.int32()), ("task", pa.int64()), ("weight", pa.float64()), ("values", pa.list_(pa.float32()))])
 
 
 def word_hash(word: bytes) -> int:
@@ -101,9 +101,14 @@ class WindowNetwork:
     def forward(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, hidden values and the probabilities of groups."""
         p = self.p
-        x = p["embed"][ctx].reshape(len(ctx), INPUT)
-        h = np.tanh(x @ p["w1"] + p["b1"])
-        return x, h, softmax(h @ p["wg"] + p["bg"])
+        x = p["embed"].take(ctx.ravel(), 0).reshape(len(ctx), INPUT)
+        h = x @ p["w1"]
+        h += p["b1"]
+        np.tanh(h, out=h)
+        z = held("groups", len(ctx), self.groups)
+        np.matmul(h, p["wg"], out=z)
+        z += p["bg"]
+        return x, h, softmax(z)
 
     def within(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
         """Places in the order of their token's group, their hidden values and scores of the tokens in the group, and each group's part."""
@@ -111,7 +116,7 @@ class WindowNetwork:
         order = np.argsort(group, kind="stable")
         edge = np.searchsorted(group[order], np.arange(self.groups + 1))
         parts = [(g, slice(edge[g], edge[g + 1])) for g in range(self.groups) if edge[g + 1] > edge[g]]
-        hs, z = h[order], np.empty((len(ids), self.groups), np.float32)
+        hs, z = h.take(order, 0), held("within", len(ids), self.groups)
         for g, at in parts:
             np.matmul(hs[at], self.p["wt"][g], out=z[at])
             z[at] += self.p["bt"][g]
@@ -126,39 +131,62 @@ class WindowNetwork:
         return out + np.log(np.maximum(pg[row, ids // self.groups], 1e-30))
 
     def gradient(self, ids: np.ndarray, ctx: np.ndarray) -> dict[str, np.ndarray]:
-        """The gradient of a batch's summed negative log-probability."""
+        """The gradient of a batch's summed negative log-probability; its arrays hold until the next call."""
         p, n = self.p, len(ids)
         row = np.arange(n)
         x, h, pg = self.forward(ctx)
         pg[row, ids // self.groups] -= 1
-        grad = {"wg": h.T @ pg, "bg": pg.sum(axis=0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
+        ones = np.ones(n, np.float32)
+        grad = {"wg": h.T @ pg, "bg": ones @ pg, "wt": held("wt", *p["wt"].reshape(-1, self.groups).shape).reshape(p["wt"].shape), "bt": np.zeros_like(p["bt"])}
+        grad["wt"].fill(0)
         order, hs, z, parts = self.within(h, ids)
-        q, dh, back = softmax(z), np.empty_like(h), np.empty_like(hs)
+        q, back = softmax(z), held("back", n, HIDDEN)
         q[row, ids[order] % self.groups] -= 1
         for g, at in parts:
-            grad["wt"][g], grad["bt"][g] = hs[at].T @ q[at], q[at].sum(axis=0)
+            np.matmul(hs[at].T, q[at], out=grad["wt"][g])
+            np.matmul(ones[at], q[at], out=grad["bt"][g])
             np.matmul(q[at], p["wt"][g].T, out=back[at])
-        dh[order] = back
-        dh += pg @ p["wg"].T
-        dz = dh * (1 - h * h)
-        grad["w1"], grad["b1"] = x.T @ dz, dz.sum(axis=0)
-        dx = (dz @ p["w1"].T).reshape(n, 2 * SIDE, WIDTH)
-        grad["embed"] = np.stack([np.bincount(ctx.ravel(), dx[:, :, j].ravel(), self.groups**2 + 1) for j in range(WIDTH)], axis=1)
+        dz = np.matmul(pg, p["wg"].T, out=held("hidden", n, HIDDEN))
+        dz[order] += back
+        np.square(h, out=h)
+        dz *= np.subtract(1, h, out=h)
+        grad["w1"], grad["b1"] = x.T @ dz, ones @ dz
+        dx = np.matmul(dz, p["w1"].T, out=x).reshape(-1, WIDTH).T.astype(np.float64)
+        at = ctx.ravel().astype(np.intp)
+        grad["embed"] = np.stack([np.bincount(at, d, self.groups**2 + 1) for d in dx], axis=1)
         return grad
 
     def step(self, ids: np.ndarray, ctx: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> None:
         """One step of gradient descent on a batch, each parameter by its own past gradients."""
         for k, d in self.gradient(ids, ctx).items():
             d = (d / len(ids)).astype(np.float32)
-            memory[k] += d * d
-            self.p[k] -= rate * d / (np.sqrt(memory[k]) + 1e-6)
+            by = np.square(d)
+            memory[k] += by
+            np.sqrt(memory[k], out=by)
+            by += 1e-6
+            d *= rate
+            d /= by
+            self.p[k] -= d
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    """Shares of each row, in float32; changes its argument."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+_HELD: dict[str, np.ndarray] = {}
+
+
+def held(name: str, rows: int, columns: int) -> np.ndarray:
+    """A float32 array that the next call with this name overwrites: memory that is asked for anew with each batch costs more than the work in it."""
+    if name not in _HELD or _HELD[name].size < rows * columns:
+        _HELD[name] = np.empty(rows * columns, np.float32)
+    return _HELD[name][: rows * columns].reshape(rows, columns)
+
+
+def softmax(z: np.ndarray, rows: int = 512) -> np.ndarray:
+    """Shares of each row, in float32; changes its argument, so many rows at a time as a core's cache holds."""
+    ones = np.ones(z.shape[1], np.float32)
+    for at in range(0, len(z), rows):
+        part = z[at : at + rows]
+        part -= part.max(axis=1, keepdims=True)
+        np.exp(part, out=part)
+        part *= (1 / (part @ ones))[:, None]
     return z
 
 
@@ -331,7 +359,7 @@ def train(docs: DataFrame, groups: int, least_rounds: int, batch: int, rate: flo
                     take()
                 if seen:
                     for name, flat in (("p", net.flat()), ("memory", WindowNetwork(memory, groups).flat())):
-                        for pdf in vector_rows(name, flat.astype(np.float64) * seen, seen, task=now):
+                        for pdf in vector_rows(name, flat, seen, task=now):
                             yield pa.RecordBatch.from_pandas(pdf, schema=PARTS, preserve_index=False)
 
             for whole in batches:
@@ -349,7 +377,7 @@ def train(docs: DataFrame, groups: int, least_rounds: int, batch: int, rate: flo
                         waiting = 0
             yield from learnt()
 
-        found = sum_vectors(part.mapInArrow(learn, VECTORS))
+        found = sum_vectors(part.mapInArrow(learn, SINGLES), weighed=True)
         if found:
             net, past = net.filled(found["p"][1] / found["p"][0]), (found["memory"][1] / found["memory"][0]).astype(np.float32)
     return net

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from emberlog.llm import decontaminate, exact_dedup, html_text, langid, lm_score, mixing, near_dedup, substring_dedup
+from emberlog.llm import common, decontaminate, exact_dedup, html_text, langid, lm_score, mixing, near_dedup, substring_dedup
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -183,3 +183,13 @@ def test_texts_without_repeats_are_not_shuffled(spark):
 
     places = [r["p"] for r in marks.select(bit_of(bits).alias("p")).collect()]
     assert all(held.value[p >> 3] >> (p & 7) & 1 for p in places) and sum(bin(x).count("1") for x in held.value) == len(set(places))
+
+
+def test_vectors_travel_in_their_own_precision(spark):
+    draw = np.random.default_rng(2)
+    flats, weights = draw.normal(size=(5, 9000)).astype(np.float32), [3, 70_001, 5, 999_983, 12]
+    rows = [(*r[:4], [float(x) for x in r[4]]) for task in range(5) for pdf in common.vector_rows("p", flats[task], weights[task], task=task) for r in pdf[["name", "chunk", "task", "weight", "values"]].itertuples(index=False)]
+    assert next(iter(common.vector_rows("p", flats[0], 3, task=0)))["values"][0].dtype == np.float32
+    weight, total = common.sum_vectors(spark.createDataFrame(rows, common.SINGLES).repartition(3), fan_in=2, weighed=True)["p"]
+    want = [flats[k].astype(np.float64) * weights[k] for k in range(5)]
+    assert weight == sum(weights) and np.array_equal(total, ((want[0] + want[1]) + (want[2] + want[3])) + want[4])
