@@ -107,25 +107,25 @@ def trees_of(least: float, depth: int, miss: float) -> int:
 
 
 def nodes_at(sets: DataFrame, depth: int, trees: int) -> DataFrame:
-    """(v, node) at the given depth of each tree. A tree's first place is its own; each next one is chosen by the path so far."""
+    """(v, part, node) at the given depth of each tree. A tree's first place is its own; each next one is chosen by the path so far."""
     if depth == 1:
-        return sets.select("v", F.explode(F.transform("roots", lambda value, tree: F.xxhash64(tree, value))).alias("node"))
+        return sets.select("v", "part", F.explode(F.transform("roots", lambda value, tree: F.xxhash64(tree, value))).alias("node"))
     value = lambda place: F.substring("sig", place.cast("int") + 1, F.lit(1))
     root = lambda tree: F.xxhash64(tree, value(F.pmod(tree * 37, F.lit(PLACES))))
     deeper = lambda node, _: F.xxhash64(node, value(F.pmod(F.xxhash64(node, F.lit("place")), F.lit(PLACES))))
-    return sets.select("v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.aggregate(F.sequence(F.lit(2), F.lit(depth)), root(tree), deeper))).alias("node"))
+    return sets.select("v", "part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.aggregate(F.sequence(F.lit(2), F.lit(depth)), root(tree), deeper))).alias("node"))
 
 
 def grow(sets: DataFrame, depth: int, trees: int, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """The trees at one depth: (node, v) of distinct lists of 2 to ``small`` sets, and (node, v) of larger nodes (None: no such node)."""
+    """The trees at one depth, for sets with their components: (node, v, part) of distinct lists of 2 to ``small`` sets, and of larger nodes (None: no such node)."""
     rows = keep(nodes_at(sets, depth, trees))
     count = keep(rows.groupBy("node").count().filter("count > 1"))
     wide = not count.filter(F.col("count") > small).isEmpty()
     placed = with_key(rows, count, "node", "inner")
     placed = keep(placed) if wide else placed
-    lists = placed.filter(F.col("count") <= small).groupBy("node").agg(F.array_sort(F.collect_set("v")).alias("vs")).filter("size(vs) > 1").select("vs").distinct()
-    lists = keep(lists.select(F.xxhash64("vs").alias("node"), F.explode("vs").alias("v")))
-    return lists, keep(placed.filter(F.col("count") > small).select("node", "v")) if wide else None
+    lists = placed.filter(F.col("count") <= small).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("v", "part"))).alias("vs")).filter("size(vs) > 1").select("vs").distinct()
+    lists = keep(lists.select(F.xxhash64("vs.v").alias("node"), F.explode("vs").alias("x")).select("node", "x.v", "x.part"))
+    return lists, keep(placed.filter(F.col("count") > small).select("node", "v", "part")) if wide else None
 
 
 def agreement(least: float) -> float:
@@ -289,6 +289,17 @@ def star_pairs(large: DataFrame, sets: DataFrame, least: float, pivots: int = 8)
     return members.select("v", "n", "part", "sig", "p").mapInArrow(near, "a long, b long").distinct()
 
 
+def labelled(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Sets with their components, by rows (v, part); a set without a row is its own."""
+    return with_key(sets, parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
+
+
+def placed_parts(placed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (node, v) with the sets' components. A set is looked up once, however many nodes hold it: at most one a tree."""
+    of = labelled(placed.groupBy("v").agg(F.collect_list("node").alias("nodes")), parts)
+    return of.select(F.explode("nodes").alias("node"), "v", "part")
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, need: DataFrame) -> DataFrame:
     """(v, t) of the sets in ``need`` (v, rid): the text that hashes to v, from the row with the id rid."""
     rows = docs.select(F.col(id_col).cast("long").alias("i"), text_hash(text_col).alias("v"), F.col(text_col).cast("string").alias("t"))
@@ -371,12 +382,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     one = F.struct(F.col("th").alias("v"), F.col("doc_id").alias("rid"), "n", "bytes", "roots", "sig")
     classes = keep(full.groupBy("sh").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.min_by(one, F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("s")))
     sets = classes.select("s.*")  # v names a set by a hash of one of its texts
-    links, parts, active = None, None, sets
-
-    def part(df: DataFrame) -> DataFrame:
-        if parts is None:
-            return df.withColumn("part", F.col("v"))
-        return with_key(df, parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
+    links, parts, active = None, None, sets.withColumn("part", F.col("v"))
 
     def lists(mine: DataFrame) -> DataFrame:
         return mine.join(active.select("v", "n", "sig"), "v").groupBy("node").agg(F.collect_list(F.struct("v", "n", "part", "sig")).alias("m"))
@@ -407,17 +413,17 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
 
     while True:
         placed, large = grow(active, depth, trees, small)
-        first = keep(similar(lists(part(placed) if parts is None else several(part(placed))), least))
+        first = keep(similar(lists(placed if parts is None else several(placed)), least))
         pairs = thinned(keep(first.filter("b is not null").select("a", "b").distinct()))
-        linked_by([between(pairs if large is None else pairs.unionByName(star_pairs(part(large), active, least)).distinct())])
-        if found := within(part(first.filter("b is null").select("node", F.col("a").alias("v")))):  # sets without a similar one are done
+        linked_by([between(pairs if large is None else pairs.unionByName(star_pairs(large, active, least)).distinct())])
+        if found := within(keep(placed_parts(first.filter("b is null").select("node", F.col("a").alias("v")), parts))):  # sets without a similar one are done
             linked_by(found)
-        again = keep(several(part(large)).select("v").distinct()) if large is not None else None
+        again = keep(several(keep(placed_parts(large, parts))).select("v").distinct()) if large is not None else None
         if again is None or again.isEmpty():
             break
         depth += STEP
         trees = trees_of(least, depth, miss)
-        active = keep(with_key(sets, again, "v", "left_semi"))
+        active = keep(labelled(with_key(sets, again, "v", "left_semi"), parts))
     mine = keep(with_key(classes.select("sh", F.col("s.v").alias("v"), "first", "size"), parts, "v", "left"))
     least_ids = keep(mine.filter("part is not null").groupBy("part").agg(F.min("first").alias("low")))
     groups = with_key(mine, least_ids, "part", "left").select("sh", "size", F.coalesce("low", "first").alias("component_id"))

@@ -185,6 +185,15 @@ def test_texts_without_repeats_are_not_shuffled(spark):
     assert all(held.value[p >> 3] >> (p & 7) & 1 for p in places) and sum(bin(x).count("1") for x in held.value) == len(set(places))
 
 
+def test_a_set_is_looked_up_once_for_all_its_nodes(spark):
+    placed = spark.createDataFrame([(node, v) for v in range(40) for node in range(v % 7 + 1)], "node long, v long")
+    parts = spark.createDataFrame([(v, v % 3) for v in range(20)], "v long, part long")
+    got = near_dedup.placed_parts(placed, parts)
+    assert Counter(tuple(r) for r in got.collect()) == Counter((node, v, v % 3 if v < 20 else v) for v in range(40) for node in range(v % 7 + 1))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(nodes") < plan.index("Join LeftOuter") < plan.index("Aggregate [v")  # rows of nodes are made after the join
+
+
 def test_vectors_travel_in_their_own_precision(spark):
     draw = np.random.default_rng(2)
     flats, weights = draw.normal(size=(5, 9000)).astype(np.float32), [3, 70_001, 5, 999_983, 12]
