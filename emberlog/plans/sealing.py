@@ -67,6 +67,7 @@ class Ledger:
         """Gives the rows (shard, leaf, order) their numbers within their shards, after those that are there.
 
         A shard may hold most rows: they are dealt out by ranges and numbered within them, and only the ranges' counts are summed.
+        The join is one of sorted rows, which they are by then: left to the planner, it may send all rows to the driver and broadcast them.
         """
         ranged = rows.repartitionByRange("shard", *order, "leaf").select("shard", "leaf", *order, F.spark_partition_id().alias("_range"))
         ranged.write.mode("overwrite").parquet(self.path("ranges", number))
@@ -77,7 +78,7 @@ class Ledger:
         start = counts.withColumn("before", before).join(heads.select("shard", "batches"), "shard", "left").join(held, "shard", "left")
         start = start.select("shard", "_range", (F.col("before") + F.coalesce("batches", F.lit(0)) * self.size + F.coalesce("held", F.lit(0))).alias("start"))
         place = F.row_number().over(Window.partitionBy("shard", "_range").orderBy(*order, "leaf")) - 1
-        return ranged.withColumn("_place", place).join(start, ["shard", "_range"]).select("shard", (F.col("start") + F.col("_place")).cast("long").alias("seq"), "leaf")
+        return ranged.withColumn("_place", place).join(start.hint("merge"), ["shard", "_range"]).select("shard", (F.col("start") + F.col("_place")).cast("long").alias("seq"), "leaf")
 
     def append(self, rows: DataFrame, number: int, order: tuple[str, ...], close: bool = False) -> bool:
         """Adds rows (shard, leaf and ``order``, by which they follow each other); false if that append has happened already.
@@ -95,7 +96,7 @@ class Ledger:
         new = self.spark.read.schema(LEAVES).parquet(self.path("leaves", number))
         due = waiting.unionByName(new)
         full = due.groupBy("shard").agg(F.max("seq").alias("last")).select("shard", ((F.col("last") + 1) if not close else F.expr(f"(last div {self.size} + 1) * {self.size}")).alias("_end"))
-        due = due.join(full, "shard").withColumn("_sealed", F.expr(f"(seq div {self.size} + 1) * {self.size}") <= F.col("_end"))
+        due = due.join(F.broadcast(full), "shard").withColumn("_sealed", F.expr(f"(seq div {self.size} + 1) * {self.size}") <= F.col("_end"))
         sealed = ledger.batches(due.filter("_sealed"), self.size)
         ledger.chained(sealed, heads).write.mode("overwrite").parquet(self.path("batches", number))
         due.filter("not _sealed").select("shard", "seq", "leaf").write.mode("overwrite").parquet(self.path("waiting", number))

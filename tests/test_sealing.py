@@ -97,3 +97,15 @@ def test_all_checks(spark):
     bad = ledger.verified(now, ledger.proofs(made, 16), chained, made, spark.createDataFrame([("s", True)], "shard string, signed boolean")).filter("not verified").collect()
     assert [(r["seq"], r["raw_match"], r["norm_match"], r["signature_match"]) for r in bad] == [(7, True, False, True)]
     assert ledger.verified(now, ledger.proofs(made, 16), chained, made, spark.createDataFrame([], "shard string, signed boolean")).filter("verified").collect() == []
+
+
+def test_numbering_broadcasts_no_rows(spark, tmp_path):
+    """The rows are joined to the starts of their ranges, where they are: a plan may not send them to the driver, however small it takes them to be."""
+    kept = Ledger(spark, str(tmp_path / "ledger"), 8)
+    named = frame(spark, rows()).fillna({"shard": "null"})
+    numbered = kept.numbered(named, ("at",), 0, kept.heads(), kept.waiting())
+    joins = [line for line in numbered._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [shard" in line and "_range" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    got = {(r["shard"], r["seq"]): r["leaf"] for r in numbered.collect()}
+    want = {shard: [leaf for s, _, leaf in rows() if (s or "null") == shard] for shard in ("a", "b", "null")}
+    assert got == {(shard, i): leaf for shard, leaves in want.items() for i, leaf in enumerate(leaves)}
