@@ -176,12 +176,11 @@ class Compiled:
             out = F.when(number == i, epoch_ms(v, fmt, tz, F.col("_now")).cast("string")).otherwise(out)
         return out
 
-    def _cast(self, x: Column) -> Column:
-        """struct(s, v, src, done): the value after ``cast``."""
-        v, kind = x["v"], x["s"]["kind"]
+    def _cast(self, s: Column, v: Column) -> Column:
+        """A spec's value after ``cast``."""
+        kind = s["kind"]
         done = F.when(kind.isNull(), v).when(kind == "int", to_integer(v).cast("string")).when(kind == "float", v.try_cast("double").cast("string")).when(kind == "bool", to_boolean(v).cast("string"))
-        done = done.when(kind == "ip", canonical_ip(v)).when(kind == "timestamp", self._times(x["s"]["stamp"], v)).when(kind == "lower", F.lower(v)).when(kind == "upper", F.upper(v)).otherwise(v)
-        return F.struct(x["s"].alias("s"), v.alias("v"), x["src"].alias("src"), done.alias("done"))
+        return done.when(kind == "ip", canonical_ip(v)).when(kind == "timestamp", self._times(s["stamp"], v)).when(kind == "lower", F.lower(v)).when(kind == "upper", F.upper(v)).otherwise(v)
 
     def _typed(self, x: Column) -> Column:
         """struct(p, r, v, t): an attribute's value in its type."""
@@ -192,31 +191,35 @@ class Compiled:
         return F.struct(x["e"]["path"].alias("p"), kind.alias("k"), x["r"].alias("r"), out.otherwise(v).alias("v"), (kind == "timestamp").alias("t"))
 
     def _values(self) -> list[dict[str, Column]]:
-        """Columns worked out one after the other: the results of all specs of a row, then its attributes."""
+        """Columns worked out one after the other: the results of all specs of a row, then its attributes.
+
+        Most specs of a rule find nothing in a line. Only values go from step to step, each beside its spec, and what isn't there is left out at once:
+        such functions are interpreted and copy what they make, so a spec that went along would cost more than all its steps.
+        """
         look = "try_element_at(fields_{}, {})".format
         conds = {i: F.array(*[condition(c, F.col("fields")) for c in found]) for i, found in self.book.conds.items() if found}
-        first = f"""transform(specs, s -> named_struct('s', s,
-          'v', CASE WHEN s.constant IS NOT NULL THEN s.constant
+        first = f"""CASE WHEN s.constant IS NOT NULL THEN s.constant
                WHEN s.parts IS NOT NULL THEN IF(size(filter(s.parts, (p, i) -> i % 2 = 1 AND {look('filled', 'p')} IS NULL)) > 0, NULL, array_join(transform(s.parts, (p, i) -> IF(i % 2 = 1, {look('filled', 'p')}, p)), ''))
                WHEN size(s.names) = 1 THEN {look('present', 's.names[0]')}
-               WHEN size(s.names) > 1 AND NOT exists(s.names, n -> {look('present', 'n')} IS NULL) THEN array_join(transform(s.names, n -> {look('present', 'n')}), s.glue) END,
-          'src', CASE WHEN s.constant IS NOT NULL THEN {TEXTS}
+               WHEN size(s.names) > 1 AND NOT exists(s.names, n -> {look('present', 'n')} IS NULL) THEN array_join(transform(s.names, n -> {look('present', 'n')}), s.glue) END"""
+        source = f"""CASE WHEN s.constant IS NOT NULL THEN {TEXTS}
                  WHEN s.parts IS NOT NULL THEN filter(s.parts, (p, i) -> i % 2 = 1 AND {look('filled', 'p')} IS NOT NULL)
-                 WHEN exists(s.names, n -> {look('present', 'n')} IS NULL) THEN {TEXTS} ELSE s.names END))"""
-        step = lambda v: f"transform(_r, x -> named_struct('s', x.s, 'v', {v}, 'src', x.src))"
-        finished = f"""transform(_r, x -> CASE WHEN x.s.cond IS NOT NULL AND NOT coalesce(get(_conds, x.s.cond), false) THEN NULL
-          WHEN x.v <> '' THEN named_struct('v', IF(x.s.factor IS NULL, x.done, cast(try_cast(try_cast(x.done AS double) * x.s.factor AS bigint) AS string)), 'src', IF(x.s.constant IS NOT NULL, array('const'), x.src),
-            'e', coalesce(IF(x.s.kind IS NOT NULL AND x.done IS NULL, concat('not a valid ', x.s.kind, ': ', x.v), NULL), IF(x.s.factor IS NOT NULL AND try_cast(try_cast(x.done AS double) * x.s.factor AS bigint) IS NULL, concat('not a number: ', x.v), NULL)))
-          WHEN x.s.fallback IS NOT NULL THEN named_struct('v', x.s.fallback, 'src', IF(size(x.src) > 0, x.src, array('default')), 'e', cast(NULL AS string)) END)"""
-        pick = lambda at, n: f"CASE WHEN {n} = 1 THEN get(_r, {at}) WHEN {n} > 1 THEN get(filter(slice(_r, {at} + 1, {n}), r -> coalesce(r.v <> '', false) OR r.e IS NOT NULL), 0) END"
+                 WHEN exists(s.names, n -> {look('present', 'n')} IS NULL) THEN {TEXTS} ELSE s.names END"""
+        cut = "IF(s.sep IS NULL, v, try_element_at(split(v, s.sep), s.pos))"
+        found = f"CASE WHEN s.pattern IS NULL THEN {cut} WHEN {cut} RLIKE s.pattern THEN regexp_extract({cut}, s.pattern, s.grp) END"
+        coded = f"CASE WHEN s.codes IS NULL THEN {found} WHEN {found} IS NOT NULL AND map_contains_key(s.codes, coalesce(lower({found}), '')) THEN try_element_at(s.codes, lower({found})) WHEN s.pass THEN {found} END"
+        scaled = "try_cast(try_cast(get(_d, i) AS double) * s.factor AS bigint)"
+        finished = f"""transform(specs, (s, i) -> CASE WHEN s.cond IS NOT NULL AND NOT coalesce(get(_conds, s.cond), false) THEN NULL
+          WHEN get(_v, i) <> '' THEN named_struct('v', IF(s.factor IS NULL, get(_d, i), cast({scaled} AS string)), 'src', IF(s.constant IS NOT NULL, array('const'), {source}),
+            'e', coalesce(IF(s.kind IS NOT NULL AND get(_d, i) IS NULL, concat('not a valid ', s.kind, ': ', get(_v, i)), NULL), IF(s.factor IS NOT NULL AND {scaled} IS NULL, concat('not a number: ', get(_v, i)), NULL)))
+          WHEN s.fallback IS NOT NULL THEN named_struct('v', s.fallback, 'src', IF(size({source}) > 0, {source}, array('default')), 'e', cast(NULL AS string)) END)"""
+        # slice() reads the whole array
+        pick = lambda at, n: f"CASE WHEN {n} = 1 THEN get(_r, {at}) WHEN {n} > 1 THEN get(filter(transform(sequence({at}, {at} + {n} - 1), k -> get(_r, k)), r -> coalesce(r.v <> '', false) OR r.e IS NOT NULL), 0) END"
         return [
-            {"_conds": self.by_pack(conds, F.expr("cast(array() as array<boolean>)")), "_r": F.expr(first)},
-            {"_r": F.expr(step("IF(x.s.sep IS NULL, x.v, try_element_at(split(x.v, x.s.sep), x.s.pos))"))},
-            {"_r": F.expr(step("CASE WHEN x.s.pattern IS NULL THEN x.v WHEN x.v RLIKE x.s.pattern THEN regexp_extract(x.v, x.s.pattern, x.s.grp) END"))},
-            {"_r": F.expr(step("CASE WHEN x.s.codes IS NULL THEN x.v WHEN map_contains_key(x.s.codes, coalesce(lower(x.v), '')) AND x.v IS NOT NULL THEN try_element_at(x.s.codes, lower(x.v)) WHEN x.s.pass THEN x.v END"))},
-            {"_r": F.transform("_r", self._cast)},
+            {"_conds": self.by_pack(conds, F.expr("cast(array() as array<boolean>)")), "_v": F.expr(f"zip_with(specs, transform(specs, s -> {first}), (s, v) -> IF(v IS NULL, NULL, {coded}))")},
+            {"_d": F.zip_with("specs", "_v", lambda s, v: F.when(v != "", self._cast(s, v)))},
             {"_r": F.expr(finished)},
-            {"_e": F.expr(f"transform(entries, e -> named_struct('e', e, 'r', {pick('e.lo', 'e.n')}))"), "_activity": F.expr(pick("activity_at", "activity_n")), "_severity": F.expr(pick("severity_at", "severity_n"))},
+            {"_e": F.expr(f"filter(transform(entries, e -> IF(e.n = 1 AND get(_r, e.lo) IS NULL, NULL, named_struct('e', e, 'r', {pick('e.lo', 'e.n')}))), x -> x.r IS NOT NULL)"), "_activity": F.expr(pick("activity_at", "activity_n")), "_severity": F.expr(pick("severity_at", "severity_n"))},
             {"_e": F.transform("_e", self._typed)},
             {"_e": F.expr("filter(transform(_e, x -> named_struct('p', x.p, 'v', x.v, 'src', x.r.src, 'e', coalesce(x.r.e, IF(x.r.v IS NOT NULL AND x.v IS NULL, concat('cannot be ', x.k, ': ', x.r.v), NULL)), 't', x.t)), x -> x.v IS NOT NULL OR x.e IS NOT NULL)")},
             {"_good": F.expr("filter(_e, x -> x.e IS NULL)")},
@@ -236,4 +239,4 @@ class Compiled:
         rows = rows.withColumns({"_now": now, "fields_filled": filled}).withColumn("fields_present", F.map_filter("fields_filled", lambda k, v: v != "-"))
         for columns in self.once("values", self._values):
             rows = rows.withColumns(columns)
-        return rows.drop("_r", "_e", "_good", "_conds", "_now", "_activity", "_severity", "fields_filled", "fields_present", "specs", "entries", "activity_at", "activity_n", "severity_at", "severity_n", "used", "failure", "rule_no", "pack_no")
+        return rows.drop("_v", "_d", "_r", "_e", "_good", "_conds", "_now", "_activity", "_severity", "fields_filled", "fields_present", "specs", "entries", "activity_at", "activity_n", "severity_at", "severity_n", "used", "failure", "rule_no", "pack_no")

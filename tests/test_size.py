@@ -5,6 +5,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from emberlog.operators import extract, ledger
+from emberlog.operators.packs import Registry
+from emberlog.plans.library import library
 
 
 def nodes(column, spark):
@@ -43,3 +45,14 @@ def test_a_batch_builds_its_tree_once(spark):
                 want.append((bool(i % 2), level[i ^ 1]))
             i //= 2
         assert [(p["left"], p["digest"]) for p in r["path"]] == want and r["leaf"] == levels[0][r["seq"] - 256]
+
+
+def test_specs_stay_where_they_are(spark):
+    """Between the steps of a mapping only values go along, one text or result for each spec: no step copies the specs."""
+    made = Registry.of(library).compiled[0]
+    rows = spark.createDataFrame([], "pack_no int, rule_no int, fields map<string,string>, used array<string>, failure string")
+    held = rows.join(made.rules(spark), ["pack_no", "rule_no"]).withColumns({"_now": F.lit(0), "fields_filled": F.col("fields"), "fields_present": F.col("fields")})
+    for columns in made._values():
+        held = held.withColumns(columns)
+        for name in columns:
+            assert "pattern" not in held.schema[name].dataType.simpleString() and "slice(" not in str(columns[name])
