@@ -285,7 +285,7 @@ def star_pairs(large: DataFrame, sets: DataFrame, least: float, pivots: int = 8)
             a, w = v[row][ok], pv[ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, w)), pa.array(np.maximum(a, w))], ["a", "b"])
 
-    members = with_key(large, first, "node", "inner").join(sets.select("v", "n", "sig"), "v")
+    members = with_key(looked_up(large, sets.select("v", "n", "sig")), first, "node", "inner")
     return members.select("v", "n", "part", "sig", "p").mapInArrow(near, "a long, b long").distinct()
 
 
@@ -294,6 +294,12 @@ def labelled(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return with_key(sets, parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
 
 
+def looked_up(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, v, part) with the columns of their sets. A set is joined once, however many nodes hold it: at most one a tree."""
+    once = placed.groupBy("v").agg(F.collect_list(F.struct("node", "part")).alias("_at")).join(sets, "v")
+    return once.withColumn("_at", F.explode("_at")).select("_at.node", "v", "_at.part", *[c for c in sets.columns if c != "v"])
+
+
 def placed_parts(placed: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows (node, v) with the sets' components. A set is looked up once, however many nodes hold it: at most one a tree."""
     of = labelled(placed.groupBy("v").agg(F.collect_list("node").alias("nodes")), parts)
@@ -385,7 +391,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     links, parts, active = None, None, sets.withColumn("part", F.col("v"))
 
     def lists(mine: DataFrame) -> DataFrame:
-        return mine.join(active.select("v", "n", "sig"), "v").groupBy("node").agg(F.collect_list(F.struct("v", "n", "part", "sig")).alias("m"))
+        return looked_up(mine, active.select("v", "n", "sig")).groupBy("node").agg(F.collect_list(F.struct("v", "n", "part", "sig")).alias("m"))
 
     def between(pairs: DataFrame) -> DataFrame:
         pairs = keep(pairs)
@@ -395,12 +401,12 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         mine = keep(several(mine))
         if mine.isEmpty():
             return []
-        weights = keep(mine.join(active.select("v", "bytes"), "v").groupBy("node").agg(F.sum("bytes").alias("held")))
+        weights = keep(looked_up(mine, active.select("v", "bytes")).groupBy("node").agg(F.sum("bytes").alias("held")))
         heavy = keep(weights.filter(F.col("held") > LIST_BYTES).select("node"))
         none = heavy.isEmpty()
         light = mine if none else with_key(mine, heavy, "node", "left_anti")
         need = keep(active.select("v", "rid").join(light.select("v").distinct(), "v"))
-        full_sets = light.join(active.select("v", "n", "sig"), "v").join(texts_of(docs, id_col, text_col, need), "v")
+        full_sets = looked_up(light, active.select("v", "n", "sig").join(texts_of(docs, id_col, text_col, need), "v"))
         out = [settled(full_sets.groupBy("node").agg(F.collect_list(F.struct("v", "n", "part", "sig", "t")).alias("m")).select("m"), least, width, num, den)]
         return out if none else [*out, between(similar(lists(with_key(mine, heavy, "node", "left_semi")), least, every=True).filter("b is not null").select("a", "b").distinct())]
 

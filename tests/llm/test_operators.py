@@ -202,3 +202,13 @@ def test_vectors_travel_in_their_own_precision(spark):
     weight, total = common.sum_vectors(spark.createDataFrame(rows, common.SINGLES).repartition(3), fan_in=2, weighed=True)["p"]
     want = [flats[k].astype(np.float64) * weights[k] for k in range(5)]
     assert weight == sum(weights) and np.array_equal(total, ((want[0] + want[1]) + (want[2] + want[3])) + want[4])
+
+
+def test_a_set_is_looked_up_once(spark):
+    """A set that many nodes hold goes through the join with its signature once, not once for each node."""
+    placed = spark.createDataFrame([(node, v, v // 2) for v in range(6) for node in range(50)], "node long, v long, part long")
+    sets = spark.createDataFrame([(v, 10 * v) for v in range(5)], "v long, n long")
+    held = near_dedup.looked_up(placed, sets)
+    above, join, below = held._jdf.queryExecution().optimizedPlan().toString().partition("Join Inner")
+    assert join and "Generate explode" in above and "collect_list" in below and "Generate" not in below
+    assert sorted(map(tuple, held.collect())) == [(node, v, v // 2, 10 * v) for node in range(50) for v in range(5)]
