@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import pickle
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberlog.operators import stage_rules
@@ -50,75 +52,60 @@ def limited(lines: DataFrame, rate: float, peer: str = "peer", at_ms: str = "rec
     return rows.groupBy(peer).applyInPandasWithState(spend, f"{peer} string, {at_ms} long, raw string, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-class Lanes(StatefulProcessor):
-    """The open match of one lane and rule, and its hits that the watermark hasn't passed.
+class Lanes:
+    """The open matches of the lanes and rules of one slot, and their hits that the watermark hasn't passed.
 
-    Hits wait until no earlier one can come, so they are folded in the order of a batch. One timer stands at the first moment that
-    matters: of the earliest hit that waits, or the last of the open match, after which its state goes.
+    Hits wait until no earlier one can come, so they are folded in the order of a batch. A lane's moment is the first that matters to it: of the
+    earliest hit that waits, or the last of the open match, after which it goes; a slot's timeout stands at the earliest. A call of Python costs
+    more than the work on a lane, and asking the store for each part of a state costs more still, so a slot's lanes share a call and a state.
     """
 
     def __init__(self, automata: dict[str, Automaton], names: list[str], order: list[str]):
         self.automata, self.names, self.order = automata, names, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.match = handle.getValueState("match", "state binary")
-        self.waiting = handle.getListState("waiting", "hit binary")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for pdf in rows:
+        self.known: dict[str, list[bool]] = {}
+
+    def advance(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs()
+        lanes: dict[tuple, tuple] = pickle.loads(state.get[0]) if state.exists else {}
+        due = {lane for lane, (_, _, moment) in lanes.items() if moment is not None and moment < passed}
+        for pdf in [] if state.hasTimedOut else rows:
+            named = zip(*(pdf[c].tolist() for c in self.names), strict=True)
             ties = pdf[self.order].itertuples(index=False, name=None) if self.order else [()] * len(pdf)
-            for at_ms, tie, flags, values in zip(pdf["at_ms"].tolist(), ties, pdf["flags"], pdf["values"], strict=True):
-                new.append((at_ms, tuple(tie), [bool(f) for f in flags], [list(v) for v in values]))
-        if new:
-            self.waiting.appendList([(pickle.dumps(h),) for h in new])
-            self.wake(min(h[0] for h in new))
-        yield from self.settle(key, timerValues)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.settle(key, timerValues)
-
-    def wake(self, at_ms: int) -> None:
-        """Keeps the earliest of the timer that stands and this one."""
-        held = list(self.handle.listTimers())
-        if not held or at_ms < min(held):
-            for t in held:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at_ms)
-
-    def settle(self, key: tuple, timers) -> Iterator[pd.DataFrame]:
-        """Folds the hits that the watermark has passed, drops a match that can't go on, and sets the next timer."""
-        passed = timers.getCurrentWatermarkInMs()
-        held = sorted((pickle.loads(r[0]) for r in self.waiting.get()), key=lambda h: (h[0], h[1], h[3]))
-        ready = [h for h in held if h[0] <= passed]
-        automaton = self.automata[key[-1]]
-        state = pickle.loads(self.match.get()[0]) if self.match.exists() else None
-        end = automaton.until(state)
-        if not ready and not (end is not None and end < passed):
-            return
-        state, alerts = run(automaton, state, [Hit(at_ms, flags, values) for at_ms, _, flags, values in ready])
-        end = automaton.until(state)
-        if state is None or (end is not None and end < passed):
-            self.match.clear()
-            end = None
-        else:
-            self.match.update((pickle.dumps(state),))
-        rest = held[len(ready) :]
-        if ready:
-            self.waiting.clear()
-            if rest:
-                self.waiting.put([(pickle.dumps(h),) for h in rest])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        moments = [h[0] for h in rest[:1]] + ([end] if end is not None else [])
-        if moments:
-            self.handle.registerTimer(max(min(moments), passed + 1))
+            for lane, at_ms, tie, flags, values in zip(named, pdf["at_ms"].tolist(), ties, pdf["flags"].tolist(), pdf["values"].tolist(), strict=True):
+                lanes.setdefault(lane, (None, [], None))[1].append((at_ms, tuple(tie), flags, json.loads(values)))
+                due.add(lane)
+        alerts = []
+        for lane in due:
+            match, waiting, moment, fired = self.settled(self.automata[lane[-1]], *lanes.pop(lane)[:2], passed)
+            alerts += [(*lane, t) for t in fired]
+            if match is not None or waiting:
+                lanes[lane] = (match, waiting, moment)
+        if lanes:
+            state.update((pickle.dumps(lanes),))
+            moments = [moment for _, _, moment in lanes.values() if moment is not None]
+            if moments:
+                state.setTimeoutTimestamp(max(min(moments), passed, 1))
+        elif state.exists:
+            state.remove()
         if alerts:
-            yield pd.DataFrame([(*key, t) for t in alerts], columns=[*self.names, "at_ms"])
-
-    def close(self) -> None:
-        pass
+            yield pd.DataFrame(alerts, columns=[*self.names, "at_ms"])
+
+    def settled(self, automaton: Automaton, match: tuple | None, waiting: list[tuple], passed: int) -> tuple[tuple | None, list[tuple], int | None, list[int]]:
+        """A lane's match after the hits that the watermark has passed, the hits that still wait, the moment that the watermark must pass next, and the alerts."""
+        waiting.sort(key=lambda h: h[:2] + h[3:])
+        ready = bisect_right(waiting, passed, key=lambda h: h[0])
+        match, alerts = run(automaton, match, [Hit(at_ms, self.outcomes(flags), values) for at_ms, _, flags, values in waiting[:ready]])
+        rest, end = waiting[ready:], automaton.until(match)
+        if end is not None and end < passed:
+            match = end = None
+        moments = [h[0] - 1 for h in rest[:1]] + ([end] if end is not None else [])  # passed means above it
+        return match, rest, min(moments, default=None), alerts
+
+    def outcomes(self, flags: str) -> list[bool]:
+        """A hit's tests, written as a digit each."""
+        if flags not in self.known:
+            self.known[flags] = [f == "1" for f in flags]
+        return self.known[flags]
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
@@ -126,18 +113,21 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def correlated(events: DataFrame, rules: dict[str, stage_rules.StageRule], keys: dict[str, Column], at_ms: str, late: str = "10 minutes", order: tuple[str, ...] = ()) -> DataFrame:
+def correlated(events: DataFrame, rules: dict[str, stage_rules.StageRule], keys: dict[str, Column], at_ms: str, late: str = "10 minutes", order: tuple[str, ...] = (), slots: int = 1024) -> DataFrame:
     """Alerts (keys, rule, at_ms) of a stream of events: those that ``stage_rules.hits`` and ``correlate.folded`` give for the same rows at once.
 
     Events may come late and out of order by ``late``; later ones are left out, as the watermark says. An alert comes out when the watermark has passed its
     time. A lane holds its hits of the last ``late``, and a match of bounded size, until it can't go on; a rule without a window holds its match for good.
+    Lanes are dealt by hash to ``slots``, each of which has one state, written anew when any of its lanes has a hit: more of them suit more open lanes. A stream's checkpoint holds to their number.
     """
     keep_state_on_disk(events.sparkSession)
     timed = events.withColumn("_at", F.timestamp_millis(F.col(at_ms).cast("long"))).withWatermark("_at", late)
     found = stage_rules.hits(timed, rules, keys, at_ms, (*order, "_at"))
+    plain = {"flags": F.concat_ws("", F.transform("flags", lambda f: f.cast("int").cast("string"))), "values": F.to_json("values")}  # nested columns are slow to cut into lanes
     by = [*keys, "rule"]
-    processor = Lanes({name: r.automaton for name, r in rules.items()}, by, list(order))
-    return found.groupBy(*by).transformWithStateInPandas(processor, ", ".join(f"{k} string" for k in by) + ", at_ms long", outputMode="Append", timeMode="EventTime")
+    lanes = Lanes({name: r.automaton for name, r in rules.items()}, by, list(order))
+    dealt = found.withColumns(plain).withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(slots)))
+    return dealt.groupBy("_slot").applyInPandasWithState(lanes.advance, ", ".join(f"{k} string" for k in by) + ", at_ms long", "lanes binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_counts(events: DataFrame, at: str, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:

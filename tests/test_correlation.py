@@ -135,3 +135,14 @@ def test_stream_gives_the_alerts_of_a_batch(spark, tmp_path):
 def test_stream_leaves_out_what_is_too_late(spark, tmp_path):
     files = [[(1, "x", 100, "a", "u"), (2, "x", 5000, "d", "u")], [(3, "x", 110, "c", "u"), (4, "x", 111, "c", "u"), (5, "x", 6000, "a", "u")], [(6, "x", 5990, "a", "u"), (7, "x", 6001, "c", "u"), (8, "x", 6002, "c", "u")], [(9, "x", 9000, "d", "u")], [(10, "x", 9001, "d", "u")]]
     assert streamed(spark, tmp_path, files) == [("x", "busy", 6001), ("x", "path", 6002)]
+
+
+def test_lanes_of_a_stream_share_states(spark, tmp_path):
+    rows = [(i, f"lane{i // 4}", 100 + i % 4, "abcc"[i % 4], "u") for i in range(1200)] + [(5000, "end", 10_000, "d", "u")]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    query = streams.correlated(stream, rules(), {"lane": F.col("lane")}, "t", "20 milliseconds", ("id",), slots=8).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(held) <= 8
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("lane", "rule", "at_ms").collect())) == brute(rows)
