@@ -58,5 +58,9 @@ def epoch_ms(value: Column, fmt: str | None = None, tz: str | None = None, now:
     s = F.regexp_replace(F.trim(value), r"\s+", " ")
     plain = F.regexp_replace(F.regexp_replace(s, "Z$", "+0000"), r"(:\d{2}(?:\.\d+)?\s?[+-]\d{2}):(\d{2})$", "$1$2")
     out = number_ms(F.trim(value))
-    tried = [fmt] if fmt else [f for f in FORMATS if ".%f" in f or f.replace("%S", "%S.%f", 1) not in FORMATS]  # a fraction is optional anyway
-    return F.coalesce(out, *[parsed_ms(plain, f, tz, now) for f in tried])
+    if fmt:
+        return F.coalesce(out, parsed_ms(plain, fmt, tz, now))
+    tried = [f for f in FORMATS if ".%f" in f or f.replace("%S", "%S.%f", 1) not in FORMATS]  # a fraction is optional anyway
+    hopeful = lambda p, f: F.when(F.lower(p).contains("t"), p) if "dT" in f else F.when(p.contains("/"), p) if "/" in f else p
+    # the text is made plain once for all formats; formats whose marks it lacks aren't tried, for a failure costs more than a parse
+    return F.coalesce(out, F.get(F.transform(F.array(plain), lambda p: F.coalesce(*[parsed_ms(hopeful(p, f), f, tz, now) for f in tried])), F.lit(0)))

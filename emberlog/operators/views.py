@@ -8,7 +8,6 @@ whole envelope only: the value was kept aside, or the lineage knows where it wen
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.text import snake
 from emberlog.functions.timestamps import epoch_ms
 from emberlog.operators import correlate, rules, stage_rules
+from emberlog.sources.shared import staged
 
 KINDS = ("native", "alias", "unmapped", "lineage", "lost", "absent")
 TEXTS = "cast(array() as array<string>)"
@@ -71,12 +71,12 @@ def changed(values: Column, candidate: Candidate) -> Column:
 
 def listed(value: Column) -> Column:
     """A map's value as a list of none or one."""
-    return F.when(F.coalesce(value, F.lit("")) == "", F.expr(TEXTS)).otherwise(F.array(value))
+    return F.filter(F.array(value), lambda v: v != "")
 
 
 def first_of(found: list[Column], otherwise: Column) -> Column:
-    """The first list that isn't empty; ``found`` are structs of kind and values."""
-    return reduce(lambda rest, one: F.when(F.size(one["values"]) > 0, one).otherwise(rest), reversed(found), otherwise)
+    """The first list that isn't empty; ``found`` are structs of kind and values, each worked out once and only if those before it are empty."""
+    return F.coalesce(*[F.get(F.filter(F.array(one), lambda x: F.size(x["values"]) > 0), F.lit(0)) for one in found], otherwise)
 
 
 def answer(kind: str, values: Column) -> Column:
@@ -84,15 +84,21 @@ def answer(kind: str, values: Column) -> Column:
 
 
 class RawView:
-    """The source's fields: names fit without regard to case and underscores, then by the dictionary."""
+    """The source's fields: names fit without regard to case and underscores, then by the dictionary.
 
-    def __init__(self, fields: str = "fields", dictionary: Dictionary | None = None):
-        self.fields, self.dictionary = fields, dictionary or Dictionary()
+    ``keys`` is a column that holds ``spelt_alike``, for who looks up many names.
+    """
+
+    def __init__(self, fields: str = "fields", dictionary: Dictionary | None = None, keys: str | None = None):
+        self.fields, self.dictionary, self.keys = fields, dictionary or Dictionary(), keys
+
+    def spelt_alike(self) -> Column:
+        """The fields' names without case and underscores."""
+        return F.transform(F.map_keys(self.fields), lambda k: F.replace(F.lower(k), F.lit("_"), F.lit("")))
 
     def direct(self, name: str) -> Column:
-        low = name.lower().replace("_", "")
-        same = F.filter(F.map_keys(self.fields), lambda k: F.replace(F.lower(k), F.lit("_"), F.lit("")) == low)
-        return listed(F.coalesce(F.try_element_at(self.fields, F.lit(name)), F.try_element_at(self.fields, F.get(same, F.lit(0)))))
+        at = F.array_position(F.col(self.keys) if self.keys else self.spelt_alike(), name.lower().replace("_", ""))
+        return listed(F.coalesce(F.try_element_at(self.fields, F.lit(name)), F.get(F.map_values(self.fields), at.cast("int") - 1)))
 
     def get(self, name: str) -> Column:
         """All values of a name."""
@@ -123,8 +129,8 @@ class EventView:
                 out = F.when(F.col("class_name") == c, of(c)).otherwise(out)
         return out
 
-    def lookup(self, name: str) -> Column:
-        """struct(kind, values) of a name."""
+    def found(self, name: str) -> list[Column]:
+        """struct(kind, values) of a name from each place that may hold it, in turn."""
         aside = name.startswith("unmapped.")
         plain = name.removeprefix("unmapped.")
         found = []
@@ -139,8 +145,16 @@ class EventView:
             values = F.array_compact(F.transform(known, lambda p: F.try_element_at("attrs", p)))
             longest = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
             found.append(answer("lineage", F.slice(longest, 1, 1)))
-        lost = F.size(self.raw.get(plain)) > 0
-        return first_of(found, F.struct(F.when(lost, F.lit("lost")).otherwise(F.lit("absent")).alias("kind"), F.expr(TEXTS).alias("values")))
+        return found
+
+    def values(self, name: str) -> Column:
+        """All values of a name."""
+        return first_of(self.found(name), answer("absent", F.expr(TEXTS)))["values"]
+
+    def lookup(self, name: str) -> Column:
+        """struct(kind, values) of a name."""
+        lost = F.size(self.raw.get(name.removeprefix("unmapped."))) > 0
+        return first_of(self.found(name), F.struct(F.when(lost, F.lit("lost")).otherwise(F.lit("absent")).alias("kind"), F.expr(TEXTS).alias("values")))
 
 
 def attribution(events: DataFrame, names: list[str], view: EventView) -> DataFrame:
@@ -174,7 +188,7 @@ def verdicts(events: DataFrame, docs: dict[str, dict], dictionary: Dictionary, c
     """
     names = sorted({n for doc in docs.values() for n in fields_of(doc)})
     raw = RawView(dictionary=dictionary)
-    views = {"raw": raw.get, "native": lambda n: EventView(dictionary, False, raw).lookup(n)["values"], "whole": lambda n: EventView(dictionary, True, raw).lookup(n)["values"]}
+    views = {"raw": raw.get, "native": EventView(dictionary, False, raw).values, "whole": EventView(dictionary, True, raw).values}
     for v, get in views.items():
         events = events.withColumn(f"_{v}", F.struct(*[F.get(get(n), F.lit(0)).alias(n) for n in names]) if names else F.lit(None))
         events = rules.matched(events, docs, {n: F.col(f"_{v}")[n] for n in names}).withColumnRenamed("alerts", f"_hits_{v}")
@@ -208,19 +222,20 @@ def stage_verdicts(events: DataFrame, docs: dict[str, dict], dictionary: Diction
     ``events`` has the columns that ``EventView`` reads, and the event's time. The source's view has lanes of its own; all views go by one time.
     Hits of all rules and views are folded in one pass, by case, lane and rule; ``order`` settles equal times. ``kinds`` are types that datasets state for rules.
     """
-    raw = RawView(dictionary=dictionary)
-    looks = {"raw": raw.get, "native": lambda n: EventView(dictionary, False, raw).lookup(n)["values"], "whole": lambda n: EventView(dictionary, True, raw).lookup(n)["values"]}
+    raw = RawView(dictionary=dictionary, keys="_keys")
+    events = events.withColumn("_keys", raw.spelt_alike())
+    looks = {"raw": raw.get, "native": EventView(dictionary, False, raw).values, "whole": EventView(dictionary, True, raw).values}
     asking = stage_rules.Looked()
     for doc in docs.values():
         stage_rules.compiled(doc, asking)
     names = {name: f"f{i}" for i, name in enumerate(sorted(asking.asked))}
     events = lanes_and_time(events, raw, time_col)
-    for view, get in looks.items():  # each name is looked up once for a view, whatever many conditions ask for it
-        events = events.withColumn(f"_{view}", F.struct(F.lit(0).alias("none"), *[get(name).alias(at) for name, at in names.items()]))
-    seen_by = lambda view: stage_rules.Looked(lambda name: F.col(f"_{view}")[names[name]])
+    # each name is looked up once for a view, whatever many conditions ask for it: a column for each, as the optimizer would look up a struct's fields anew for every use
+    events = events.withColumns({f"_{view}_{at}": stage_rules.low(get(name)) for view, get in looks.items() for name, at in names.items()})
+    seen_by = lambda view: stage_rules.Looked(lambda name: F.col(f"_{view}_{names[name]}"), ready=True)
     rules = {f"{view}:{name}": stage_rules.compiled(doc, seen_by(view), source, (kinds or {}).get(name)) for view in looks for name, doc in docs.items()}
     keys = {"_case": F.col(case), "lane": lambda name: F.col("lane_raw" if name.startswith("raw:") else "lane_event")}
-    found = stage_rules.hits(events, rules, keys, "at_ms", order)
+    found = staged(stage_rules.hits(events, rules, keys, "at_ms", order))  # what is read twice is looked up once
     alerts = correlate.folded(found, {name: r.automaton for name, r in rules.items()}, ("_case", "lane"), order)
     seen = alerts.select("_case", F.regexp_extract("rule", "^[a-z]+:(.*)$", 1).alias("rule"), F.substring_index("rule", ":", 1).alias("view"))
     flags = seen.groupBy("_case", "rule").agg(*[F.bool_or(F.col("view") == v).alias(v) for v in looks])

@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import correlate, ledger, mining, rules
+from emberlog.functions.timestamps import epoch_ms
+from emberlog.operators import correlate, ledger, mining, rules, views
 from emberlog.operators.lineage import GENESIS
 from emberlog.plans import store
 from emberlog.sources import readers, sinks
@@ -163,3 +164,24 @@ def test_fingerprints_and_clusters(spark):
     got = {r["fingerprint"]: (r["label"], r["count"], r["samples"]) for r in mining.clusters(prints, 1).collect()}
     name = lambda key: hashlib.sha256(key.encode()).hexdigest()[:12]
     assert got == {name("syslog:app:did # error"): ("syslog:app", 2, [rows[1][0]]), name("kv:a,b"): ("kv kv(2 keys)", 1, ["b=1 a=2"])}
+
+
+def test_names_are_looked_up_once_and_hits_worked_out_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(views, "staged", lambda hits: kept.append(hits) or hits)
+    rule = {"stages": [{"conditions": [{"field": "user_name", "value": v} for v in "abcdef"]}]}
+    e = spark.createDataFrame([(1, 1, 0, "x", {}, {}, {}, {"UserName": "a"})], "event_id long, case_id long, time long, class_name string, attrs map<string,string>, unmapped map<string,string>, lineage map<string,array<string>>, fields map<string,string>")
+    views.stage_verdicts(e, {"r": rule}, views.Dictionary(), order=("event_id",))
+    plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("username") == 2  # among the source's fields, and in the lineage, for six conditions and three views
+
+
+def test_fields_of_any_spelling_and_times_of_any_format(spark):
+    e = spark.sql("select map('USER_name', 'a', 'Empty', '') as fields union all select map('username', 'b', 'user_name', 'c') union all select map('x', 'y')")
+    raw = views.RawView()
+    got = e.select(raw.get("user_name").alias("u"), raw.get("empty").alias("e"), raw.get("UserName").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(["a"], [], ["a"]), (["c"], [], ["b"]), ([], [], [])]
+    times = ["2024-01-02T03:04:05Z", "2024-01-02t03:04:05.5+0100", "2024-01-02 03:04:05", "2024/01/02 03:04:05", "02/Jan/2024:03:04:05 +0000", "Jan 2 2024 03:04:05", "02-Jan-2024 03:04:05", "1704164645", "soon", ""]
+    base = 1_704_164_645_000
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in times], "t string").select(epoch_ms(F.col("t"))).collect()]
+    assert found == [base, base - 3_600_000 + 500, base, base, base, base, base, base, None, None]
