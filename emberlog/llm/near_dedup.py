@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import BROADCAST_ROWS, WordHash, as_bytes, join_groups, keep, mixed, rows_of, small_batches, table, text_hash, with_key, without_rows
+from emberlog.sources.shared import staged
 
 PLACES = 128
 #: Signature places that must agree before a pair is confirmed on its sets: 4.6 standard deviations below 0.85.
@@ -360,7 +361,8 @@ def contracted(links: DataFrame, most: int = 200_000) -> tuple[DataFrame, int]:
 
 def components(links: DataFrame) -> DataFrame:
     """(v, part): for each end of a link the smallest id that it reaches. Where one task can't hold the links, labels spread along
-    the contracted ones and then jump to their label's label."""
+    the contracted ones and then jump to their label's label. Labels are staged: a checkpoint keeps the estimate of the plan before it, which
+    each round's joins multiply, until the number itself fills the driver's memory."""
     links, tasks = contracted(links.select("a", "b"))
     if tasks == 1:
         return links.select(F.col("a").alias("v"), F.col("b").alias("part"))
@@ -370,7 +372,7 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, both["b"] == labels["v"]).groupBy(both["a"].alias("v")).agg(F.min("part").alias("low"))
         step = labels.join(near, "v").select("v", "part", F.least("part", "low").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("part").alias("far"))
-        step = keep(step.join(jump, "low", "left").select("v", F.col("part").alias("was"), F.least(F.col("low"), F.coalesce("far", "low")).alias("part")))
+        step = staged(step.join(jump, "low", "left").select("v", F.col("part").alias("was"), F.least(F.col("low"), F.coalesce("far", "low")).alias("part")))
         done = step.filter("part < was").isEmpty()
         labels = step.select("v", "part")
         if done:
@@ -414,7 +416,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         nonlocal links, parts
         for df in found:
             links = df if links is None else links.unionByName(df)
-        links = keep(links.distinct())
+        links = staged(links.distinct())  # as in components, so that estimates start anew at each depth
         parts = components(links)
 
     while True:

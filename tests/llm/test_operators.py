@@ -212,3 +212,19 @@ def test_a_set_is_looked_up_once(spark):
     above, join, below = held._jdf.queryExecution().optimizedPlan().toString().partition("Join Inner")
     assert join and "Generate explode" in above and "collect_list" in below and "Generate" not in below
     assert sorted(map(tuple, held.collect())) == [(node, v, v // 2, 10 * v) for node in range(50) for v in range(5)]
+
+
+def test_size_estimates_start_anew_with_each_round(spark, monkeypatch):
+    """Joins multiply the planner's estimates: carried from round to round, the numbers themselves fill the driver."""
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    real, seen = near_dedup.contracted, []
+    monkeypatch.setattr(near_dedup, "contracted", lambda links: (seen.append(bits(links)), real(links, 4))[1])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    parts = near_dedup.components(chain)
+    assert bits(parts) < 64 and {tuple(r) for r in parts.collect()} == {(i, 0) for i in range(41)}
+    del seen[:]
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:-1], f"x{i}"])) for i in range(8)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=85, small=2)
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert seen and max(seen) < 64
