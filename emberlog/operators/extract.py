@@ -63,21 +63,27 @@ def csv(text: Column, options: dict) -> Column:
     sep, q = quoted(options.get("delimiter", ",")), quoted(options.get("quote", '"'))
     mark = options.get("quote", '"')
     raw = F.regexp_extract_all(F.concat(F.trim(text), F.lit(options.get("delimiter", ","))), F.lit(f"({q}(?:[^{q}]|{q}{q})*{q}|[^{sep}]*){sep}"), 1)
-    row = F.transform(raw, lambda v: F.when((F.length(v) >= 2) & v.startswith(mark) & v.endswith(mark), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit(mark * 2), F.lit(mark))).otherwise(v))
+    plain = F.transform(raw, lambda v: F.when((F.length(v) >= 2) & v.startswith(mark) & v.endswith(mark), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit(mark * 2), F.lit(mark))).otherwise(v))
     names = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    columns = names(options.get("columns", []))
-    if by := options.get("columns_by"):
-        key = F.coalesce(F.try_element_at(row, F.lit(by["index"] + 1)), F.lit(""))
-        chosen = columns
+
+    def columns(key: Column) -> Column:
+        by, fixed = options["columns_by"], names(options.get("columns", []))
+        chosen = fixed
         for value, xs in [*by["map"].items()][::-1]:
             if value != "default":
                 chosen = F.when(key == value, names(xs)).otherwise(chosen)
         if "default" in by["map"]:
             chosen = F.when(key.isin([k for k in by["map"] if k != "default"]), chosen).otherwise(names(by["map"]["default"]))
-        columns = F.concat(columns, chosen) if by.get("append") else chosen
-    cells = F.transform(row, lambda v, i: F.struct(F.coalesce(F.get(columns, i), F.concat(F.lit("_col"), i.cast("string"))).alias("k"), v.alias("v")))
-    wanted = F.filter(cells, lambda c: (c["k"] != "_skip") & (F.lit(bool(options.get("keep_empty"))) | (c["v"] != "")))
-    return F.map_from_entries(wanted)
+        return F.concat(fixed, chosen) if by.get("append") else chosen
+
+    def fields(row: Column, columns: Column) -> Column:
+        cells = F.transform(row, lambda v, i: F.struct(F.coalesce(F.get(columns, i), F.concat(F.lit("_col"), i.cast("string"))).alias("k"), v.alias("v")))
+        return F.map_from_entries(F.filter(cells, lambda c: (c["k"] != "_skip") & (F.lit(bool(options.get("keep_empty"))) | (c["v"] != ""))))
+
+    if by := options.get("columns_by"):  # the row and its columns are bound: inside the function of a cell they would be worked out again for each cell
+        key = lambda row: F.coalesce(F.try_element_at(row, F.lit(by["index"] + 1)), F.lit(""))
+        return bound(plain, lambda row: bound(bound(key(row), columns), lambda chosen: fields(row, chosen)))
+    return fields(plain, names(options.get("columns", [])))
 
 
 CEF_HEADER = ["cef_version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity"]

@@ -24,6 +24,18 @@ def test_a_header_is_worked_out_once(spark):
     assert got[2:] == [{"syslog_app": "app", "message": "x", "syslog_format": "rfc3164"}, None]
 
 
+def test_a_csv_row_is_worked_out_once(spark):
+    """What picks a row's columns isn't worked out again for each cell."""
+    extract.prepare(spark)
+    options = {"columns": ["n", "kind"], "columns_by": {"index": 1, "append": True, "map": {"A": ["a", "_skip"], "B": ["b"], "default": ["d"]}}}
+    column = extract.csv(F.col("raw"), options)
+    plan = spark.range(1).select(F.lit("x").alias("raw")).select(column.alias("f"))._jdf.queryExecution().analyzed()
+    assert plan.expressions().head().toString().count("regexp_extract_all") == 1
+    lines = spark.createDataFrame([('1,A,"x,""y""",z,w',), ("2,B,x,,w",), ("3,C,x",), ("4",), (None,)], "raw string")
+    got = [r["f"] for r in lines.select(column.alias("f")).collect()]
+    assert got == [{"n": "1", "kind": "A", "a": 'x,"y"', "_col4": "w"}, {"n": "2", "kind": "B", "b": "x", "_col4": "w"}, {"n": "3", "kind": "C", "d": "x"}, {"n": "4"}, None]
+
+
 def test_a_batch_builds_its_tree_once(spark):
     """Paths come from the tree of their batch, also of batches that aren't full: no hash stands above the row of each leaf."""
     leaves = spark.createDataFrame([("a", i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(256 + 11)], "shard string, seq long, leaf string")
