@@ -110,7 +110,7 @@ def normalize(df: DataFrame, packs: list[dict] | Registry | None = None, now_ms:
     if of(REST) or not made:
         left = reduce(DataFrame.unionByName, of(REST)) if of(REST) else parts[0].filter(F.col("state") == REST).drop("state")
         left = staged(mapper.fallback_fields(numbered(left.drop("fields", "used", "failure", "rule_no", "pack_no"))), f"{path}/rest", None)
-        made.append(mapper.fallback_events(left, now))
+        made.append(staged(mapper.fallback_events(left, now), f"{path}/fallback", None))
     common = [c for c in made[0].columns if all(c in m.columns for m in made)]
     events = finished(reduce(DataFrame.unionByName, [m.select(*common) for m in made]))
     dead = [guard.dead_letters(d) for d in of(DEAD)] + [guard.dead_letters(d.withColumn("rejected", guard.too_wide(F.col("fields")))) for d in of(WIDE)]

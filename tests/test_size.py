@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import extract, ledger
 from emberlog.operators.packs import Registry
 from emberlog.plans.library import library
+from emberlog.plans.normalize import normalize
 
 
 def nodes(column, spark):
@@ -68,3 +69,11 @@ def test_specs_stay_where_they_are(spark):
         held = held.withColumns(columns)
         for name in columns:
             assert "pattern" not in held.schema[name].dataType.simpleString() and "slice(" not in str(columns[name])
+
+
+def test_events_by_field_names_are_worked_out_once(spark):
+    """The matching of names is staged with its result: what reads the events doesn't join again."""
+    lines = spark.createDataFrame([("ts=2024-01-01T00:00:00Z fw=f1 src_ip=10.0.0.1 src_port=5 rule=1",)], "raw string")
+    events = normalize(lines, Registry.of(library), now_ms=0)[0].select("src_ip", "src_port", "pack")
+    assert "Join" not in events._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in events.collect()] == [("10.0.0.1", 5, None)]
